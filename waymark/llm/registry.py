@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op5_format_chats": chat.op5_format_chats,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op5_format_chats": chat.OP5_SQL,
 }
