@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, quality
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_format_chats": chat.op5_format_chats,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
