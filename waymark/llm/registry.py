@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, html, mixing, quality
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_format_chats": chat.op5_format_chats,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_extract_html": html.op10_extract_html,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
