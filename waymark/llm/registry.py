@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, quality
+from . import chat, html, mixing, quality, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_format_chats": chat.op5_format_chats,
+    "op7_scan_secrets": secrets.op7_scan_secrets,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_extract_html": html.op10_extract_html,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op5_format_chats": chat.OP5_SQL,
+    "op7_scan_secrets": secrets.OP7_SQL,
 }
