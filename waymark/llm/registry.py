@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, quality, secrets
+from . import chat, html, mixing, pii, quality, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op5_format_chats": chat.op5_format_chats,
+    "op6_find_pii": pii.op6_find_pii,
     "op7_scan_secrets": secrets.op7_scan_secrets,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_extract_html": html.op10_extract_html,
