@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, pii, quality, secrets
+from . import chat, html, mixing, pii, quality, secrets, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,10 +10,12 @@ QUERIES = {
     "op6_find_pii": pii.op6_find_pii,
     "op7_scan_secrets": secrets.op7_scan_secrets,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_top_k": topk.op9_top_k,
     "op10_extract_html": html.op10_extract_html,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op5_format_chats": chat.OP5_SQL,
     "op7_scan_secrets": secrets.OP7_SQL,
+    "op9_top_k": topk.OP9_SQL,
 }
