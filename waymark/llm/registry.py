@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, pii, quality, secrets, topk
+from . import chat, html, mixing, pieces, pii, quality, secrets, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_sample_pieces": pieces.op2_sample_pieces,
     "op5_format_chats": chat.op5_format_chats,
     "op6_find_pii": pii.op6_find_pii,
     "op7_scan_secrets": secrets.op7_scan_secrets,
