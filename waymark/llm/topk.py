@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DATA_BLOCK, QUERY_BLOCK, BLOCKS_A_TASK, LEAF = 2048, 1024, 4, 16
+DATA_BLOCK, QUERY_BLOCK, BLOCKS_A_TASK, LEAF = 2048, 1024, 4, 64
+#: Points below pruned pairs' survivors that are scored in one product.
+BATCH = 2048
 #: Stands for no score; its negative is an integer too.
 NOTHING = -(2**62)
 
@@ -84,16 +86,18 @@ class Best:
         self.score = np.full((n, k), NOTHING)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
-    def worst(self, rows: np.ndarray) -> int:
-        return int(self.score[rows, -1].min())
-
-    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: rows x candidates; ids: candidates."""
-        s = np.concatenate([self.score[rows], scores], axis=1)
-        i = np.concatenate([self.id[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-        order = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(s, order, 1)
-        self.id[rows] = np.take_along_axis(i, order, 1)
+    def offer(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates as parallel arrays."""
+        rows = np.unique(row)
+        row = np.concatenate([np.repeat(rows, self.k), row])
+        score = np.concatenate([self.score[rows].ravel(), score])
+        ids = np.concatenate([self.id[rows].ravel(), ids])
+        order = np.lexsort((ids, -score, row))
+        row, score, ids = row[order], score[order], ids[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        first = place < self.k
+        self.score[row[first], place[first]] = score[first]
+        self.id[row[first], place[first]] = ids[first]
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,56 +108,60 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search(q: np.ndarray, q_ids: np.ndarray, q_tree: Node, x: np.ndarray, copies: list[np.ndarray], x_tree: Node, best: Best) -> None:
-    """Walks pairs of nodes of both trees and offers what isn't pruned. copies: ids of each row of x."""
+    """Walks pairs of nodes of both trees and offers what isn't pruned. copies: ids of each row of x.
+
+    Sibling nodes are taken together: one matrix holds the bounds of all pairs
+    of two sets of siblings. Data nodes are opened in the order of their bounds.
+    """
+    counts = np.array([len(c) for c in copies])
+    alone = np.array([c[0] if len(c) == 1 else -1 for c in copies])
+    lone = np.array([len(c) == 1 for c in copies])
 
     def score(rows: np.ndarray, points: np.ndarray) -> None:
-        width = max(1, (1 << 20) // max(1, len(rows)))
-        for at in range(0, len(points), width):
-            part = points[at : at + width]
-            counts = np.array([len(copies[p]) for p in part])
-            ids = np.concatenate([copies[p] for p in part])
-            s = np.repeat(_product(q[rows], x[part]), counts, axis=1)
-            s[q_ids[rows][:, None] == ids[None, :]] = NOTHING
-            best.offer(rows, s, ids)
-
-    def bounds(a: Node, nodes: list[Node]) -> np.ndarray:
-        centers = np.array([n.center for n in nodes])
-        norms, radii = np.array([n.norm for n in nodes]), np.array([n.radius for n in nodes])
-        top = centers @ a.center + a.norm * radii + norms * a.radius + a.radius * radii
-        return top + 1e-9 * (1 + (a.norm + a.radius) * (norms + radii))
-
-    def visit(a: Node, nodes: list[Node]) -> None:
-        if not nodes:
-            return
-        top = bounds(a, nodes)
-        small: list[Node] = []
-        for i in np.argsort(-top, kind="stable"):
-            if top[i] < best.worst(a.points):
+        for at in range(0, len(points), BATCH):
+            part = points[at : at + BATCH]
+            s = _product(q[rows], x[part])
+            s[(q_ids[rows][:, None] == alone[part][None, :]) & lone[part][None, :]] = NOTHING
+            least = best.score[rows, -1]
+            if len(part) > best.k:  # a point is a candidate at least, so k points bound the kth score
+                least = np.maximum(least, np.partition(s, len(part) - best.k, axis=1)[:, len(part) - best.k])
+            r, p = np.nonzero((s >= least[:, None]) & (s > NOTHING))
+            if not len(r):
                 continue
-            n = nodes[i]
-            if n.children:
-                if small and len(small) >= 64:
-                    settle(a, small)
-                    small = []
-                visit(a, n.children)
-            else:
-                small.append(n)
-                if sum(len(s.points) for s in small) >= 256:
-                    settle(a, small)
-                    small = []
-        settle(a, small)
-
-    def settle(a: Node, leaves: list[Node]) -> None:
-        if not leaves:
+            row = np.repeat(rows[r], counts[part[p]])
+            ids = np.concatenate([copies[i] for i in part[p]])
+            value = np.repeat(s[r, p], counts[part[p]])
+            other = q_ids[row] != ids
+            if other.any():
+                best.offer(row[other], value[other], ids[other])
+
+    def bounds(a: list[Node], b: list[Node]) -> np.ndarray:
+        ca, cb = np.array([n.center for n in a]), np.array([n.center for n in b])
+        na, nb = np.array([n.norm for n in a])[:, None], np.array([n.norm for n in b])
+        ra, rb = np.array([n.radius for n in a])[:, None], np.array([n.radius for n in b])
+        return ca @ cb.T + na * rb + ra * nb + ra * rb + 1e-9 * (1 + (na + ra) * (nb + rb))
+
+    def visit(qs: list[Node], xs: list[Node]) -> None:
+        if not qs or not xs:
             return
-        if a.children:
-            for child in a.children:
-                keep = [n for n, t in zip(leaves, bounds(child, leaves)) if t >= best.worst(child.points)]
-                settle(child, keep)
-        else:
-            score(a.points, np.concatenate([n.points for n in leaves]))
-
-    visit(q_tree, [x_tree])
+        worst = np.array([best.score[n.points, -1].min() for n in qs])
+        live = bounds(qs, xs) >= worst[:, None]
+        inner = np.array([bool(n.children) for n in xs])
+        q_inner = np.array([bool(n.children) for n in qs])
+        some = live & ~inner[None, :]
+        rows = np.flatnonzero(some.any(axis=1) & ~q_inner)
+        if len(rows):
+            cols = np.flatnonzero(some[rows].any(axis=0))
+            score(np.concatenate([qs[i].points for i in rows]), np.concatenate([xs[j].points for j in cols]))
+        for i in np.flatnonzero(some.any(axis=1) & q_inner):
+            visit(qs[i].children, [xs[j] for j in np.flatnonzero(some[i])])
+        opened = np.flatnonzero(inner & live.any(axis=0))
+        if len(opened):
+            top = np.where(live, bounds(qs, xs), -np.inf).max(axis=0)
+            for j in opened[np.argsort(-top[opened], kind="stable")]:
+                visit([qs[i] for i in np.flatnonzero(live[:, j])], xs[j].children)
+
+    visit(q_tree.children or [q_tree], [x_tree])
 
 
 def components(vector: Column, scale: float = 256.0) -> Column:
