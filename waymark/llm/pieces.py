@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -333,7 +334,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", kee
     """key, the columns to keep, and ids: array of int."""
     kept = [key_col, *keep]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{key_col}`").cast("string").alias("__wm_key"), F.col(f"`{text_col}`").cast("string").alias("__wm_text"))
-    schema = source.select(*[f"`{c}`" for c in kept]).schema.add("ids", "array<int>")
+    schema = source.select(*[f"`{c}`" for c in kept]).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path, sharpness)
