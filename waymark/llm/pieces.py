@@ -362,7 +362,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "text", mod
     names = [c for c in encoded.columns if c != text_col]
     source = encoded.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(ids_col)
-    schema = source.schema.add(text_col, "string")
+    schema = T.StructType([*source.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
