@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, pieces, pii, quality, secrets, topk
+from . import chat, html, mixing, neardup, pieces, pii, quality, secrets, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_sample_pieces": pieces.op2_sample_pieces,
+    "op4_jaccard_join": neardup.op4_jaccard_join,
     "op5_format_chats": chat.op5_format_chats,
     "op6_find_pii": pii.op6_find_pii,
     "op7_scan_secrets": secrets.op7_scan_secrets,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op4_jaccard_join": neardup.OP4_SQL,
     "op5_format_chats": chat.OP5_SQL,
     "op7_scan_secrets": secrets.OP7_SQL,
     "op9_top_k": topk.OP9_SQL,
