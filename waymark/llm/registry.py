@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, neardup, pieces, pii, quality, secrets, topk
+from . import chat, html, mixing, neardup, pieces, pii, quality, secrets, suffixdedup, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_sample_pieces": pieces.op2_sample_pieces,
+    "op3_dedup_passages": suffixdedup.op3_dedup_passages,
     "op4_jaccard_join": neardup.op4_jaccard_join,
     "op5_format_chats": chat.op5_format_chats,
     "op6_find_pii": pii.op6_find_pii,
