@@ -57,13 +57,8 @@ def _repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) >= window, let(F.transform(words, lambda x: F.xxhash64(x)), from_hashes)).otherwise(F.lit(0))
 
 
-def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "__wm_") -> DataFrame:
-    """docs with the features of FEATURES under the prefix."""
-    out = docs.withColumn(f"{prefix}text", text_of(text_col))
-    text = F.col(f"{prefix}text")
-    out = out.withColumn(f"{prefix}words", words_of(text)).withColumn(f"{prefix}lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""))
-    words, lines = F.col(f"{prefix}words"), F.col(f"{prefix}lines")
-    values = {
+def _values(text: Column, words: Column, lines: Column) -> dict[str, Column]:
+    made = {
         "n_words": F.size(words),
         "word_chars": F.length(F.translate(text, WS_CHARS, "")),
         "n_symbols": _chars_in(text, SYMBOLS),
@@ -75,12 +70,34 @@ def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "__wm_"
         "n_ends": _chars_in(text, ".?"),
         "n_shouts": _chars_in(text, "!"),
     }
-    return out.select("*", *[values[k].cast("long").alias(f"{prefix}{k}") for k in FEATURES]).drop(f"{prefix}text", f"{prefix}words", f"{prefix}lines")
+    return {k: v.cast("long") for k, v in made.items()}
+
+
+def lines_of(text: Column) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
+
+
+def features(text: Column) -> Column:
+    """All features of a non-null text as one struct, computed once wherever it is used."""
+    return let(words_of(text), lambda w: let(lines_of(text), lambda l: F.struct(*[v.alias(k) for k, v in _values(text, w, l).items()])))
+
+
+def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "__wm_") -> DataFrame:
+    """docs with the features of FEATURES under the prefix."""
+    out = docs.withColumn(f"{prefix}text", text_of(text_col))
+    text = F.col(f"{prefix}text")
+    out = out.withColumn(f"{prefix}words", words_of(text)).withColumn(f"{prefix}lines", lines_of(text))
+    values = _values(text, F.col(f"{prefix}words"), F.col(f"{prefix}lines"))
+    return out.select("*", *[values[k].alias(f"{prefix}{k}") for k in FEATURES]).drop(f"{prefix}text", f"{prefix}words", f"{prefix}lines")
 
 
-def votes(prefix: str = "__wm_") -> dict[str, Column]:
-    """Each rule's vote: good, bad, or abstaining between its two bounds or on texts too short for it."""
-    f = {k: F.col(f"{prefix}{k}") for k in FEATURES}
+def _named(prefix: str) -> dict[str, Column]:
+    return {k: F.col(f"{prefix}{k}") for k in FEATURES}
+
+
+def votes(f: dict[str, Column]) -> dict[str, Column]:
+    """Each rule's vote on features: good, bad, or abstaining between its two bounds or on texts too short for it."""
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
@@ -155,21 +172,21 @@ def posterior(model: Model, vote_cols: Sequence[Column]) -> Column:
     return let(F.array(*logs), lambda x: F.exp(F.get(x, F.lit(0)) - F.array_max(x)) / F.aggregate(F.transform(x, lambda y: F.exp(y - F.array_max(x))), F.lit(0.0), lambda a, y: a + y))
 
 
-def base_failed(prefix: str = "__wm_") -> Column:
-    n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed(f: dict[str, Column]) -> Column:
+    n, r = f["n_words"], f["n_repeat_words"]
     return (n < MIN_WORDS) | (r * 100 > n * MAX_REPEAT_PERCENT)
 
 
 def fit(featured: DataFrame, prefix: str = "__wm_") -> Model:
     """The label model over all rows of a table with features."""
-    voted = featured.select(*[v.alias(k) for k, v in votes(prefix).items()])
+    voted = featured.select(*[v.alias(k) for k, v in votes(_named(prefix)).items()])
     return fit_label_model(pattern_counts(voted, RULES))
 
 
 def judge(featured: DataFrame, model: Model, threshold: float = 0.5, prefix: str = "__wm_") -> DataFrame:
     """featured with base_failed, posterior and kept under the prefix."""
-    p = posterior(model, list(votes(prefix).values()))
-    return featured.withColumns({f"{prefix}base_failed": base_failed(prefix), f"{prefix}posterior": p}).withColumn(
+    p = posterior(model, list(votes(_named(prefix)).values()))
+    return featured.withColumns({f"{prefix}base_failed": base_failed(_named(prefix)), f"{prefix}posterior": p}).withColumn(
         f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}posterior") >= threshold)
     )
 
@@ -177,8 +194,13 @@ def judge(featured: DataFrame, model: Model, threshold: float = 0.5, prefix: str
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     model = fit(with_features(docs.select(F.col(text_col).alias("text"))))
-    kept = judge(with_features(docs, text_col), model, threshold).where("__wm_kept")
-    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
+
+    def verdict(x: Column) -> Column:
+        f = {k: x[k] for k in FEATURES}
+        return ~base_failed(f) & (posterior(model, list(votes(f).values())) >= threshold)
+
+    # one expression, so that pushing the filter down doesn't copy the features
+    return docs.where(let(features(text_of(text_col)), verdict))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
