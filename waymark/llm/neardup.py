@@ -37,12 +37,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scaled_partitions, table
 from .components import connected_components
 
-BAND, BLOCK, THIN = 1.5, 1024, 3
-#: Longs of the dense sketch of sets of up to so many elements; larger sets have the last.
-DENSE = ((200, 4), (800, 16), (4000, 32))
+BAND, BLOCK, THIN = 1.3, 1024, 2
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -93,7 +91,7 @@ def sketch_keys(s: np.ndarray, num: int, den: int, starts: list[int]) -> np.ndar
     made = []
     for level in levels:
         d = 2 * (starts[level + 1] - 1) * (den - num) // (den + num)
-        spare = 0 if d == 0 else 2 + d // 4
+        spare = 0 if d == 0 else 2 + d // 6
         parts = d + 1 + spare
         part = ((s >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -110,8 +108,8 @@ def sketch_keys(s: np.ndarray, num: int, den: int, starts: list[int]) -> np.ndar
 
 
 def dense_sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements' hashes in a few longs."""
-    longs = next((w for most, w in DENSE if len(s) <= most), DENSE[-1][1])
+    """Parity of the elements' hashes in a power of two of longs, two bits an element at least; a wide sketch folds into a narrow one by XOR of its halves."""
+    longs = max(4, 1 << (max(1, len(s) // 32) - 1).bit_length())
     out = np.zeros(longs, np.uint64)
     at = _mix(s ^ _M3)
     np.bitwise_xor.at(out, (at % np.uint64(longs)).astype(np.int64), np.uint64(1) << (at >> np.uint64(58)))
@@ -157,11 +155,18 @@ def _may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     """Pairs (a, b) of sets that sizes and dense sketches don't rule out."""
     out = pairs
     for side in "ab":
-        out = out.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("dense").alias(f"d{side}")), side)
+        out = out.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}")), side)
     na, nb = F.col("na"), F.col("nb")
-    far = F.aggregate(F.zip_with("da", "db", lambda x, y: F.bit_count(F.coalesce(x, F.lit(0)).bitwiseXOR(F.coalesce(y, F.lit(0))))), F.lit(0), lambda s, x: s + x)
-    close = (F.size("da") != F.size("db")) | (far <= _bound(na, nb, num, den))
-    return out.where((F.least(na, nb) * den >= F.greatest(na, nb) * num) & close).select("a", "b")
+    out = out.where(F.least(na, nb) * den >= F.greatest(na, nb) * num)
+    for side in "ab":
+        out = out.join(sets.select(F.col("sid").alias(side), F.col("dense").alias(f"d{side}")), side)
+
+    def folded(x: str, y: str) -> Column:  # linked sizes differ by less than two, so one fold is enough
+        w = F.size(y)
+        return F.when(F.size(x) > w, F.zip_with(F.slice(x, F.lit(1), w), F.slice(x, w + 1, w), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    far = F.aggregate(F.zip_with(folded("da", "db"), folded("db", "da"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return out.where(far <= _bound(na, nb, num, den)).select("a", "b")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -194,41 +199,46 @@ def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, num: in
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _within_blocks(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+def _within_block(sid: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.ndarray, dense: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components of a block that sizes and dense sketches allow."""
-    sid, n, label, side = (pdf[c].to_numpy() for c in ("sid", "n", "label", "side"))
-    order = np.argsort(n, kind="stable")
-    sid, n, label, side = sid[order], n[order], label[order], side[order]
-    longs = np.array([len(d) for d in pdf["dense"]])[order]
-    sketch = [np.asarray(pdf["dense"].iloc[i]).view(np.uint64) for i in order]
-    out_a, out_b = [], []
-    for width in np.unique(longs):
-        same = np.flatnonzero(longs == width)
-        m = np.stack([sketch[i] for i in same])
-        for k in range(len(same) - 1):
-            i, rest = same[k], same[k + 1 :]
-            far = np.bitwise_count(m[k + 1 :] ^ m[k]).sum(axis=1)
-            fits = (n[rest] * num <= n[i] * den) & (far <= (n[rest] + n[i]) * (den - num) // (den + num)) & (label[rest] != label[i]) & ((side[rest] != side[i]) | (side[i] == 2))
-            got = rest[fits]
-            out_a.extend([sid[i]] * len(got))
-            out_b.extend(sid[got])
-    for i in range(len(sid)):  # sizes on either side of a change of width
-        rest = i + 1 + np.flatnonzero((longs[i + 1 :] != longs[i]) & (n[i + 1 :] * num <= n[i] * den) & (label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2)))
-        out_a.extend([sid[i]] * len(rest))
-        out_b.extend(sid[rest])
-    a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    width = min(len(d) for d in dense)
+    sketch = np.empty((len(dense), width), np.uint64)
+    for i, d in enumerate(dense):
+        while len(d) > width:
+            d = d[: len(d) // 2] ^ d[len(d) // 2 :]
+        sketch[i] = d
+    a, b = [], []
+    for i in range(len(sid) - 1):
+        low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+        fits = (low * den >= high * num) & (label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))
+        rest = i + 1 + np.flatnonzero(fits)
+        far = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
+        rest = rest[far <= (n[rest] + n[i]) * (den - num) // (den + num)]
+        a.append(np.full(len(rest), sid[i]))
+        b.append(sid[rest])
+    return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
 
 
 def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of groups (key, sid, n, dense, label, size), a block pair of a group in each task."""
+    """Candidate pairs of groups (key, sid, n, dense, label, size), each pair of blocks of a group in one task."""
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("m", count).withColumn("own", F.pmod(F.xxhash64("sid", "key"), F.col("m")).cast("int"))
     # a block meets each block of the group once: (i, j) with i <= j; side 2 is a block by itself
-    other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-    dealt = dealt.select("*", other.alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     dealt = dealt.withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("own") == F.col("i"), 0).otherwise(1))
-    return dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: _within_blocks(pdf, num, den), "a long, b long").distinct()
+    dealt = dealt.withColumn("block", F.xxhash64("key", "i", "j")).select("block", "sid", "n", "dense", "label", "side")
+    buckets = scaled_partitions(members.sparkSession, 8)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", kind="stable")
+        block, sid, n, label, side = (pdf[c].to_numpy() for c in ("block", "sid", "n", "label", "side"))
+        dense = [np.asarray(d).view(np.uint64) for d in pdf["dense"]]
+        cut = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else [0]
+        found = [_within_block(sid[x:y], n[x:y], label[x:y], side[x:y], dense[x:y], num, den) for x, y in zip(cut, cut[1:])]
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return dealt.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")).applyInPandas(run, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,9 +260,9 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     stars = shared.join(pivots, "key").where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
     links = materialize(_verify(_may_link(stars, sets, num, den), reps, texts, n, num, den), "links")
     labels = connected_components(links)
-    # groups that span components
+    # groups that span components; of two members both have been compared
     labelled = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    spanning = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    spanning = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi AND size > 2").select("key", "size")
     members = labelled.join(spanning, "key").join(sets, "sid").select("key", "sid", "n", "dense", "label", "size")
     rest = materialize(_blocks(members, num, den), "candidates")
     more = materialize(_verify(rest, reps, texts, n, num, den), "links")
