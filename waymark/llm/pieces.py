@@ -369,7 +369,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "text", mod
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [None if x is None else decode_ids(v, x) for x in part.column(at).to_pylist()]
+                column = part.column(at)
+                flat = column.flatten().to_numpy(zero_copy_only=False)  # holds no rows that are null
+                sizes = pc.coalesce(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                end = np.cumsum(sizes)
+                there = column.is_valid().to_pylist()
+                texts = [decode_ids(v, flat[e - n : e].tolist()) if ok else None for e, n, ok in zip(end.tolist(), sizes.tolist(), there)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, text_col])
 
     return source.mapInArrow(run, schema)
