@@ -41,6 +41,8 @@ from .common import materialize, scaled_partitions, table
 from .components import connected_components
 
 BAND, BLOCK, THIN = 1.3, 1024, 2
+#: Up to so many pairs, hence twice so many ids of 16 bytes, the ids are broadcast.
+FEW_PAIRS = 250_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -171,8 +173,10 @@ def _may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of sets that are linked, checked on their n-grams."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    held = needed.join(reps, "sid").select("sid", "rep").join(texts, F.col("rep") == F.col("t_id")).select("sid", "text")
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", "rep")
+    # few ids travel to the texts, so that only the texts needed are shuffled; many are shuffled with them
+    held = texts.join(F.broadcast(ids) if pairs.count() <= FEW_PAIRS else ids, F.col("rep") == F.col("t_id")).select("sid", "text")
     both = pairs.join(held.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,24 +250,24 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     made = materialize(sketches(docs, n, num, den, id_col, text_col), "sketches")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("t_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     reps = made.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    # keys that two sets share
+    # keys that two sets share; a set may stand in a group more than once, from several batches
     by_key = Window.partitionBy("key")
     keyed = made.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "sid")
-    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key)}).where("lo <> hi").select("key", "sid")
-    shared = materialize(shared.distinct(), "shared")
-    sets = shared.select("sid").distinct().join(made.where("dense IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("dense").alias("dense")), "sid")
-    sets = materialize(sets, "sets")
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key).cast("int")})
+    shared = materialize(shared.where("lo <> hi").select("key", "sid", "size"), "shared")
     # each member with the most central member of its group
-    central = shared.join(sizes, "key").groupBy("sid").agg(F.sum("size").alias("weight"))
-    pivots = shared.join(central, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("p")).select("key", F.col("p.sid").alias("pivot"))
-    stars = shared.join(pivots, "key").where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+    central = materialize(shared.groupBy("sid").agg(F.sum("size").alias("weight")), "central")
+    sets = central.select("sid").join(made.where("dense IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("dense").alias("dense")), "sid")
+    sets = materialize(sets, "sets")
+    weighed = shared.select("key", "sid").join(_few(central), "sid")
+    stars = weighed.withColumn("pivot", F.first("sid").over(by_key.orderBy(F.desc("weight"), "sid"))).where("sid <> pivot")
+    stars = stars.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
     links = materialize(_verify(_may_link(stars, sets, num, den), reps, texts, n, num, den), "links")
     labels = connected_components(links)
     # groups that span components; of two members both have been compared
-    labelled = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    spanning = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi AND size > 2").select("key", "size")
-    members = labelled.join(spanning, "key").join(sets, "sid").select("key", "sid", "n", "dense", "label", "size")
+    labelled = shared.where("size > 2").join(_few(labels.withColumnRenamed("node", "sid")), "sid", "left").select("key", "sid", "size", F.coalesce("label", "sid").alias("label"))
+    spanning = labelled.withColumns({"lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)}).where("lo <> hi")
+    members = spanning.join(sets, "sid").select("key", "sid", "n", "dense", "label", "size")
     rest = materialize(_blocks(members, num, den), "candidates")
     more = materialize(_verify(rest, reps, texts, n, num, den), "links")
     labels = connected_components(links.unionByName(more))
@@ -274,6 +278,11 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     return made.join(component, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of ids with a broadcast hint if it is small, counted first; as it is otherwise."""
+    return F.broadcast(df) if df.count() <= 2 * FEW_PAIRS else df
+
+
 def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are linked to a row with a smaller id; of rows with equal ids in one component one stays, the first by text."""
     linked = link_documents(docs, n, num, den, id_col, text_col)
