@@ -1,0 +1,32 @@
+"""The pipeline on awkward rows."""
+
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import random  # noqa: E402
+
+from fixtures import documents, frame, words  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+
+
+def test_stages(spark, tmp_path):
+    r = random.Random(8)
+    prose = [(100 + i, " ".join(words(r, 9).replace("0", "").capitalize() + "." for _ in range(8)), "en", "a", 1, None) for i in range(40)]
+    rows = [*documents(), *prose, (200, prose[0][1], "en", "b", 1, None), (201, prose[1][1] + ' token = "abcdef0123456789"', "en", "b", 1, None)]
+    frame(spark, rows).drop("__wm_text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert set(range(100, 140)) <= ids and not {0, 1, 2, 20, 11, 200} & ids
+    assert all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_empty_table(spark, tmp_path):
+    frame(spark, []).drop("__wm_text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
