@@ -109,7 +109,7 @@ def equal_stretches(segments: list[bytes], group: np.ndarray, min_len: int) -> t
 
 def _merged(pdf: pd.DataFrame) -> tuple[list[bytes], pd.DataFrame]:
     """Contexts of one group and document that overlap, made one segment; so each place stands once in a group."""
-    pdf = pdf.drop_duplicates(["h", "key", "start"]).sort_values(["h", "key", "start"], kind="stable")
+    pdf = pdf.sort_values(["h", "key", "start"], kind="stable")
     texts: list[bytes] = []
     rows: list[tuple] = []
     own_spans: list[list[tuple[int, int]]] = []
@@ -137,6 +137,39 @@ def _runs(key: np.ndarray, start: np.ndarray, min_len: int) -> pd.DataFrame:
     return pd.DataFrame({"key": key[new], "s": start[new], "e": start[last] + min_len})
 
 
+def _reach(texts: list[bytes], group: np.ndarray) -> np.ndarray:
+    """How many first bytes each text shares with any other one of its group, from its neighbours in sorted order."""
+    order = sorted(range(len(texts)), key=lambda i: (group[i], texts[i]))
+    sizes = np.array([len(texts[i]) for i in order])
+    width = int(sizes.max(initial=0))
+    out = np.zeros(len(texts), np.int64)
+    for at in range(0, len(order), 4096):  # one row of overlap, so that all neighbours meet
+        part = order[max(0, at - 1) : at + 4096]
+        grid = np.frombuffer(b"".join(texts[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
+        differ = grid[1:] != grid[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(len(part) - 1, np.int64)
+        n = np.array([len(texts[i]) for i in part])
+        same = np.minimum(same, np.minimum(n[1:], n[:-1]))
+        same[group[part[1:]] != group[part[:-1]]] = 0
+        np.maximum.at(out, np.array(part[1:], np.int64), same)
+        np.maximum.at(out, np.array(part[:-1], np.int64), same)
+    return out
+
+
+def _trimmed(pdf: pd.DataFrame, min_len: int) -> pd.DataFrame:
+    """Contexts cut to what they share with any other of their group on either side of the anchor; those that share too little are left out."""
+    pdf = pdf.drop_duplicates(["h", "key", "start", "left"])
+    group, _ = pd.factorize(pdf["h"])
+    data, left = list(pdf["data"]), pdf["left"].to_numpy()
+    after = _reach([d[k:] for d, k in zip(data, left)], group)
+    before = _reach([d[:k][::-1] for d, k in zip(data, left)], group)
+    keep = before + after >= min_len
+    pdf = pdf[keep].copy()
+    pdf["data"] = [d[k - b : k + a] for d, k, b, a, ok in zip(data, left, before, after, keep) if ok]
+    pdf["start"] = (pdf["start"].to_numpy() + left[keep] - before[keep]).astype(np.int64)
+    return pdf
+
+
 def _repeats(pdf: pd.DataFrame, min_len: int, keep: str) -> pd.DataFrame:
     """Intervals (key, s, e) of the repeats among contexts (h, key, start, data, own)."""
     out = []
@@ -144,11 +177,14 @@ def _repeats(pdf: pd.DataFrame, min_len: int, keep: str) -> pd.DataFrame:
     codes, _ = pd.factorize(pdf["h"])
     total = pdf["data"].map(len).cumsum().to_numpy()
     cut = [0]
-    for i in range(1, len(pdf)):  # whole groups, about a megabyte at a time
-        if codes[i] != codes[i - 1] and total[i] - total[cut[-1]] > 1_000_000:
+    for i in range(1, len(pdf)):  # whole groups, about four megabytes at a time
+        if codes[i] != codes[i - 1] and total[i] - total[cut[-1]] > 4_000_000:
             cut.append(i)
     for a, b in zip(cut, [*cut[1:], len(pdf)]):
-        texts, frame = _merged(pdf.iloc[a:b])
+        part = _trimmed(pdf.iloc[a:b], min_len)
+        if not len(part):
+            continue
+        texts, frame = _merged(part)
         group, _ = pd.factorize(frame["h"])
         segment, offset, rank = equal_stretches(texts, group, min_len)
         key, place = frame["key"].to_numpy()[segment], frame["start"].to_numpy()[segment] + offset
@@ -165,28 +201,47 @@ def repeated_intervals(docs: DataFrame, min_len: int, keep: str, most: int) -> D
     """(key, spans: array of (s, e)) of documents (key, doc_id, text) with repeats; ends may lie beyond the text."""
     back = min_len - GRAM
 
+    def runs_of(data: bytes) -> list[tuple[int, int, int, int, int]]:
+        """(gram hash, context hash, first anchor, last anchor, number) of anchors; equal contexts whose stretches touch are one row."""
+        at, h = anchors(data, min_len)
+        rows: list[list[int]] = []
+        last: dict[tuple[int, int], list[int]] = {}
+        for a, g in zip(at.tolist(), h.view(np.int64).tolist()):
+            c = xxhash.xxh64_intdigest(data[max(0, a - back) : a + min_len], min(a, back)) - 2**63
+            row = last.get((g, c))
+            if keep == "none" and row is not None and a - back <= row[3] + min_len:
+                row[3], row[4] = a, row[4] + 1
+            else:
+                last[g, c] = row = [g, c, a, a, 1]
+                rows.append(row)
+        return rows
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "c", "key", "a", "b", "w"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                cols: list[list[np.ndarray]] = [[], [], [], []]
-                for key, value in zip(part.column(0).to_pylist(), part.column(1)):
-                    data = value.as_buffer().to_pybytes()
-                    at, h = anchors(data, min_len)
-                    context = [xxhash.xxh64_intdigest(data[max(0, a - back) : a + min_len], min(a, back)) for a in at.tolist()]
-                    for col, values in zip(cols, (h.view(np.int64), np.array(context, np.uint64).view(np.int64), np.full(len(at), key), at.astype(np.int32))):
-                        col.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else []) for c in cols], names=["h", "c", "key", "a"])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                keys = part.column(0).to_pylist()
+                copies: dict[int, int] = {}
+                for key in keys:
+                    copies[key] = copies.get(key, 0) + 1
+                rows = []
+                for key, value in zip(keys, part.column(1)):
+                    n = copies.pop(key, 0) if keep == "none" else 1
+                    if n:  # copies in a batch count, but send one row
+                        rows.extend((h, c, key, a, b, w * n) for h, c, a, b, w in runs_of(value.as_buffer().to_pybytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
 
-    members = docs.select("key", "text").mapInArrow(find, "h long, c long, key long, a int")
+    members = docs.select("key", "text").mapInArrow(find, "h long, c long, key long, a int, b int, w long")
     by_gram, by_context = Window.partitionBy("h"), Window.partitionBy("h", "c")
     first = F.row_number().over(by_context.orderBy("key", "a"))
-    grouped = members.repartition("h").withColumns({"n": F.count(F.lit(1)).over(by_context), "rn": first}).withColumns(
-        {"all": F.count(F.lit(1)).over(by_gram), "contexts": F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(by_gram)}
+    grouped = members.repartition("h").withColumns({"n": F.sum("w").over(by_context), "rn": first}).withColumns(
+        {"all": F.sum("w").over(by_gram), "contexts": F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(by_gram)}
     )
     whole = (F.col("rn") > 1) if keep == "first" else (F.col("n") > 1)
     wanted = (F.col("rn") == 1) & (F.col("contexts") > 1)
-    flagged = grouped.where(F.col("all") > 1).select("h", "key", "a", whole.alias("whole"), wanted.alias("wanted"), "contexts").where("whole OR wanted")
+    flagged = grouped.where(F.col("all") > 1).select("h", "key", "a", "b", whole.alias("whole"), wanted.alias("wanted"), "contexts").where("whole OR wanted")
     flagged = materialize(flagged, "anchors")
 
     edges = flagged.where("wanted").groupBy("key").agg(F.collect_list(F.struct("h", "a", (~F.col("whole")).alias("own"), (F.col("contexts") > most).alias("many"))).alias("list"))
@@ -203,10 +258,10 @@ def repeated_intervals(docs: DataFrame, min_len: int, keep: str, most: int) -> D
                     data = text.as_buffer().to_pybytes()
                     for x in wanted_:
                         start = max(0, x["a"] - back)
-                        rows.append((x["h"], key, start, data[start : x["a"] + min_len], x["own"], x["many"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()))], names=["h", "key", "start", "data", "own", "many"])
+                        rows.append((x["h"], key, start, data[start : x["a"] + min_len], x["a"] - start, x["own"], x["many"]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_()))], names=["h", "key", "start", "data", "left", "own", "many"])
 
-    contexts = texts.mapInArrow(cut, "h long, key long, start int, data binary, own boolean, many boolean")
+    contexts = texts.mapInArrow(cut, "h long, key long, start int, data binary, left int, own boolean, many boolean")
     contexts = materialize(contexts, "contexts")
     buckets = scaled_partitions(docs.sparkSession, 4)
     few = contexts.where(~F.col("many")).groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
@@ -227,8 +282,8 @@ def repeated_intervals(docs: DataFrame, min_len: int, keep: str, most: int) -> D
     seen = F.row_number().over(same.orderBy("key", "s")) > 1 if keep == "first" else F.count(F.lit(1)).over(same) > 1
     many = many.withColumn("hit", seen).where("hit AND own").select("key", "s", (F.col("s") + min_len).alias("e"))
 
-    full = flagged.where("whole").select("key", F.greatest(F.lit(0), F.col("a") - back).alias("s"), (F.col("a") + min_len).alias("e"))
-    return full.unionByName(found).unionByName(many).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    full = flagged.where("whole").select("key", F.greatest(F.lit(0), F.col("a") - back).alias("s"), (F.col("b") + min_len).alias("e"))
+    return full.unionByName(found).unionByName(many).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _cut_out(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -247,7 +302,7 @@ def _cut_out(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(out), runs
 
 
-def dedup_passages(docs: DataFrame, min_len: int = 200, keep: str = "none", most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_passages(docs: DataFrame, min_len: int = 200, keep: str = "none", most: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept: binary, kept_sha256) of every row."""
     if keep not in ("none", "first") or min_len < 2 * GRAM:
         raise ValueError("keep is 'none' or 'first', and min_len 64 at least")
