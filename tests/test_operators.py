@@ -224,3 +224,72 @@ def test_search_source(spark):
     df = spark.read.format("waymark_search").option("queries", "a\nbad").option("limit", "3").option("client", "test_operators:fake_search").load()
     rows = df.collect()
     assert sum(r.error is None for r in rows) in (0, 3) and any(r.error for r in rows)
+
+
+LEAD = "seq int, text string, business_name string, business_type string, source_type string, signals array<string>, positioning string, carries_other_brands string, relationship string, geography string, excluded boolean, exclude_reason string, address string, website string, instagram string, facebook string, email string, phone string, maps_url string, is_business string"
+
+
+def test_lead_gate(spark):
+    from waymark.operators import lead
+
+    def row(i, **kw):
+        base = dict(seq=i, text="a concept store", business_name="A", business_type="UNKNOWN", source_type="WEBSITE", signals=[], positioning=None, carries_other_brands=None, relationship="SELF", geography="YES", excluded=False, exclude_reason=None, address=None, website="w", instagram=None, facebook=None, email=None, phone=None, maps_url=None, is_business="YES")
+        return tuple((base | kw).values())
+
+    rows = [
+        row(0), row(1, excluded=True, relationship="ARTICLE", exclude_reason="not_self_business:ARTICLE"), row(2, text="a wholesaler"), row(3, positioning="OWN_LABEL"), row(4, positioning="OWN_LABEL", carries_other_brands="YES"),
+        row(5, text="x", business_name=None, website=None), row(6, text="x"), row(7, website=None), row(8, source_type="DIRECTORY"),
+    ]
+    df = lead.assess(spark.createDataFrame(rows, LEAD))
+    got = df.orderBy("seq").select("stockist_lead", lead.failure_class(df).alias("f")).collect()
+    assert [r.stockist_lead for r in got] == ["YES", "NO", "NO", "NO", "YES", "UNKNOWN", "UNKNOWN", "UNKNOWN", "NO"]
+    assert got[7].f == "D_identified_contact_missing" and got[6].f == "A_found_insufficient_evidence"
+
+
+def test_names_and_facts(spark):
+    from waymark.operators import signals
+
+    fact = "struct<field string, value string, source string, evidence string, confidence string, schema_type string>".replace(" string", ":string")
+    schema = f"id int, role string, facts array<{fact}>, og_site_name string, meta_brand string, headings array<string>, title string, search_title string"
+    rows = [
+        (1, "homepage", [("name", "Org Name", "jsonld_organization", "", "HIGH", "")], "Site", None, ["Head"], "Title", None), (2, "about", [], None, None, ["About us: Rose Studio"], "About", "Rose"),
+        (3, "homepage", [], None, None, ["Home"], "10 best shops in Goa", None),
+    ]
+    got = {r.id: (r.name, r.source) for r in signals.choose_name(signals.name_candidates(spark.createDataFrame(rows, schema))).collect()}
+    assert got == {1: ("Org Name", "jsonld_organization"), 2: ("Rose Studio", "about_page_heading")}
+
+
+def test_snippets(spark):
+    from waymark.operators import signals
+
+    df = spark.createDataFrame([("Come to 12 Hill Road, Bandra. Now",), ("near the church Panjim 403001 Goa",), ("nothing",)], "t string")
+    assert [r.a for r in df.select(signals.snippet_address(F.col("t")).alias("a")).collect()] == ["12 Hill Road, Bandra", "near the church Panjim 403001", None]
+
+
+def test_seeds(spark):
+    from waymark.operators import seeds
+
+    s = spark.createDataFrame([(1, "Paper Boat Collective", "Goa"), (2, "Rangeela", "Goa")], "seed_id int, seed_name string, seed_city string")
+    h = spark.createDataFrame([(0, 1, "https://airbnb.com/x", "Paper Boat"), (1, 1, "https://paperboatcollective.com/", "Home"), (2, 2, "https://mag.com/blog/r", "Rangeela and others")], "seq int, seed_id int, url string, title string")
+    got = {r.seed_id: (r.website, r.mentioned, r.relation) for r in seeds.resolve(s, h).collect()}
+    assert got[1] == ("https://paperboatcollective.com/", True, "OFFICIAL_WEBSITE") and got[2] == (None, True, "UNRESOLVED")
+
+
+def test_configuration(spark):
+    from waymark.sources import config
+
+    assert config.check_places([{"key": "a", "name": "A", "type": "city", "country": "X", "bbox": [1, 2, 0, 3]}, {"key": "a"}])
+    p = spark.createDataFrame([("goa", "India", ["en", "xx"]), ("rome", "Italy", ["it"])], "key string, country string, languages array<string>")
+    m = spark.createDataFrame([("in", ["India"], ["en"], "INR")], "market string, countries array<string>, languages array<string>, currency string")
+    b = spark.createDataFrame([("in", "USD")], "market string, currency string")
+    problems = sorted(r.problem for r in config.cross_problems(p, m, b).collect())
+    assert problems == ["goa: market in has no words in xx", "market in: price band is in USD, not INR", "rome: no market covers Italy"]
+    assert config.robots_allow("User-agent: *\nDisallow: /x", 200, "https://a.com/y") and not config.robots_allow("User-agent: *\nDisallow: /x", 200, "https://a.com/x/1") and config.robots_allow(None, 404, "https://a.com")
+
+
+def test_expected_places(spark):
+    rows = [("Goa, India", None, None, None, None), (None, "Bangalore", None, None, None), (None, None, None, None, "shops in new delhi"), ("Atlantis, Sea", None, None, None, None), (None, None, None, None, "shops")]
+    got = geo.expected_places(spark.createDataFrame(rows, "label string, city string, state string, country string, query string"), places.places(spark)).collect()
+    found = {(r.label or r.city or r.query): (r.expected_city, r.expected_state, r.expected_country) for r in got}
+    assert found["Bangalore"] == ("Bengaluru", "Karnataka", "India") and found["shops in new delhi"][0] == "Delhi" and found["Atlantis, Sea"] == ("Atlantis", "Sea", "India") and found["shops"] == (None, None, None)
+    assert found["Goa, India"][:2] == ("Goa", "India")

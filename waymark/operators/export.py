@@ -118,6 +118,18 @@ def write_exports(df: DataFrame, folder: str) -> None:
     ordered.write.mode("overwrite").json(f"{folder}/json")
 
 
+# --- fixed values: columns of the flat shop list ------------------------------
+SHOP_COLUMNS = (
+    ("name", "Name"), ("city", "City"), ("address", "Address"), ("phone", "Phone"), ("email", "Email"), ("website", "Website"),
+    ("instagram", "Instagram"), ("facebook", "Facebook"), ("source", "Source"), ("notes", "Notes"),
+)
+
+
+def shop_list(df: DataFrame) -> DataFrame:
+    """The ten columns of the shop list under their titles; columns that a table lacks are null."""
+    return df.select(*[(F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(title) for c, title in SHOP_COLUMNS])
+
+
 def summary(df: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
     """Counts by group with zeros, and the commonest reasons, first seen first among equals."""
     groups = df.sparkSession.createDataFrame([(g,) for g in GROUPS], "export_group string")

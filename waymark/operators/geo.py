@@ -38,6 +38,29 @@ def find_places(queries: DataFrame, places: DataFrame, name: str = "name") -> Da
     return queries.join(small(first), normal_place(F.col(name)) == F.col("__known"), "left").drop("__known")
 
 
+def expected_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows (label, city, state, country, query) with expected_city, expected_state and expected_country.
+
+    Fields given win over the parts of the label "city, state, country"; a known
+    city brings its state and country; with neither, a city named in the query.
+    """
+    part = [F.nullif(F.btrim(F.get(F.split(F.coalesce("label", F.lit("")), ","), F.lit(i))), F.lit("")) for i in range(3)]
+    given = rows.withColumns({"__city": F.coalesce("city", part[0]), "__state": F.coalesce("state", part[1]), "__country": F.coalesce("country", part[2])})
+    known = places.select(F.explode(F.array_distinct(F.transform(F.concat(F.array("city"), "aliases"), normal_place))).alias("__known"), "ord", F.struct("city", "state", "country").alias("__p"))
+    by_name = known.groupBy("__known").agg(F.min_by("__p", "ord").alias("__spec"))
+    out = given.join(small(by_name), normal_place(F.col("__city")) == F.col("__known"), "left").drop("__known")
+    names = known.select(F.col("__known").alias("term"), "ord", F.col("__p").alias("__named"))
+    asked = out.where("__city IS NULL AND __state IS NULL AND query IS NOT NULL").select("query").distinct()
+    hits = term_hits(asked, names, "query", "query").groupBy("query").agg(F.min_by("__named", "ord").alias("__named"))
+    out = out.join(hits, "query", "left").withColumn("__named", F.when(F.col("__city").isNull() & F.col("__state").isNull(), F.col("__named")))
+    stated = F.col("__city").isNotNull()
+    made = {
+        "expected_city": F.coalesce("__spec.city", "__city", "__named.city"), "expected_state": F.coalesce("__state", "__spec.state", "__named.state", F.when(stated, F.lit(""))),
+        "expected_country": F.coalesce("__country", "__spec.country", "__named.country", F.when(stated, F.lit("India"))),
+    }
+    return out.withColumns(made).select(*rows.columns, *made)
+
+
 def expand(areas: DataFrame) -> DataFrame:
     """Areas inside each place: of a country its other places, of others their neighbourhoods, else the place itself.
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, places, rules, text, urls
-from ..operators import budget, candidates, export, geo, graph, ordered, queries, report, resolve, score, store
+from ..operators import budget, candidates, enrich, export, geo, graph, identify, lead, ordered, queries, report, resolve, score, seeds, signals, store
+from ..sources import pages as page_source
 
 EDGE = r"[^\p{L}\p{N}_]"
 
@@ -709,3 +710,112 @@ def segment_rollup(spark, sf):
 def customers_with_late_orders(spark, sf):
     c, o = read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
     return c.join(o.where("o_orderstatus = 'F'"), "c_custkey", "left_semi").join(o.where("o_orderstatus = 'P'"), "c_custkey", "left_anti")
+
+
+# --- pages to businesses ------------------------------------------------------
+
+
+@query("page_evidence")
+def page_evidence(spark, sf):
+    e = page_source.page_evidence(read(spark, sf, "pages"))
+    return e.select("url", "title", F.size("links").alias("n_links"), F.array_join("headings", "|").alias("headings"), F.length("text").alias("n_text"))
+
+
+@query("page_roles", f"""WITH {SQL_URL} SELECT page_id, CASE WHEN regexp_replace(path, '/', '', 'g') IN ('', 'index', 'index.html', 'home') THEN 'homepage' ELSE 'other' END AS role FROM u""")
+def page_roles(spark, sf):
+    p = read(spark, sf, "pages")
+    return p.select("page_id", enrich.page_role(F.col("url"), F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/"))).alias("role"))
+
+
+@query("business_signals")
+def business_signals(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "text", F.array().cast("array<struct<url:string>>").alias("links"))
+    s = signals.business_signals(d)
+    return s.select("doc_id", *[F.array_join(c, ";").alias(c) for c in ("emails", "phones", "social_urls", "whatsapp_urls", "address_candidates", "city_mentions")])
+
+
+@query("identified_businesses")
+def identified_businesses(spark, sf):
+    p = page_source.page_evidence(read(spark, sf, "pages")).join(read(spark, sf, "pages").select("page_id", "url").dropDuplicates(["url"]), "url")
+    rows = p.withColumns({"seq": F.col("page_id"), "result_type": urls.classify(F.col("url"))})
+    return identify.identify(rows).select("seq", "business_name", "website", "source_type", "name_source")
+
+
+NAME_SOURCES = ("og_site_name", "search_title", "homepage_h1", "page_title")
+
+
+@query("choose_name", "WITH c AS (SELECT user_id, event_id, 'N' || event_id AS name, CASE event_id % 4 WHEN 0 THEN 80 WHEN 1 THEN 20 WHEN 2 THEN 60 ELSE 48 END AS rank FROM events) SELECT user_id, name FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank DESC, event_id) = 1")
+def choose_name(spark, sf):
+    i = F.col("event_id") % 4
+    source = F.element_at(F.array(*map(F.lit, NAME_SOURCES)), (i + 1).cast("int"))
+    c = read(spark, sf, "events").select("user_id", F.concat(F.lit("N"), F.col("event_id").cast("string")).alias("name"), source.alias("source"), F.col("event_id").alias("ord"))
+    ranked = c.withColumns({"rank": F.coalesce(*[F.when(F.col("source") == s, r) for s, r, _ in signals.NAME_RANKS]), "confidence": F.coalesce(*[F.when(F.col("source") == s, k) for s, _, k in signals.NAME_RANKS])})
+    return signals.choose_name(ranked, "user_id").select("user_id", "name")
+
+
+@query("keyword_windows")
+def keyword_windows(spark, sf):
+    d = read(spark, sf, "documents")
+    return d.select("doc_id", signals.keyword_windows(F.col("text"), r"\\bthat\\b").alias("excerpt"))
+
+
+def lead_rows(spark, sf) -> DataFrame:
+    c = read(spark, sf, "customer")
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    return c.select(
+        k.alias("seq"), F.when(k % 3 == 0, "a designer boutique").when(k % 3 == 1, "a wholesaler").otherwise("plain").alias("text"), F.when(k % 5 != 0, F.col("c_name")).alias("business_name"),
+        F.when(k % 4 == 0, "RETAILER").otherwise("UNKNOWN").alias("business_type"), F.when(k % 13 == 0, "ARTICLE").otherwise("WEBSITE").alias("source_type"), F.array().cast("array<string>").alias("signals"),
+        F.when(k % 17 == 0, "OWN_LABEL").alias("positioning"), none.alias("carries_other_brands"), F.when(k % 11 == 0, "MEDIA").otherwise("SELF").alias("relationship"), F.lit("YES").alias("geography"),
+        (k % 11 == 0).alias("excluded"), F.when(k % 11 == 0, "not_self_business:MEDIA").alias("exclude_reason"), none.alias("address"), F.when(k % 7 != 0, "site").alias("website"), none.alias("instagram"), none.alias("facebook"),
+        none.alias("email"), none.alias("phone"), none.alias("maps_url"), F.lit("YES").alias("is_business"), F.when(k % 6 == 0, "YES").otherwise("UNKNOWN").alias("ai_stockist"),
+    )
+
+
+SQL_LEAD = """WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'not_self_business:MEDIA' WHEN c_custkey % 13 = 0 THEN 'discovery_page_not_lead' WHEN c_custkey % 3 = 1 THEN 'not_a_retail_prospect'
+  WHEN c_custkey % 17 = 0 THEN 'own_label_not_lead' WHEN c_custkey % 5 = 0 AND c_custkey % 7 = 0 THEN 'identity_insufficient' WHEN c_custkey % 3 <> 0 AND c_custkey % 4 <> 0 THEN 'fashion_retail_evidence_missing'
+  WHEN c_custkey % 7 = 0 THEN 'no_usable_contact_path' WHEN c_custkey % 3 = 0 THEN 'fashion_retail_page_evidence' ELSE 'official_website' END AS reason FROM customer),
+l AS (SELECT *, CASE WHEN reason IN ('fashion_retail_page_evidence', 'official_website') THEN 'YES' WHEN reason IN ('identity_insufficient', 'fashion_retail_evidence_missing', 'no_usable_contact_path') THEN 'UNKNOWN' ELSE 'NO' END AS lead FROM r)"""
+
+
+@query("lead_gate", f"{SQL_LEAD} SELECT k AS seq, lead AS stockist_lead, reason FROM l")
+def lead_gate(spark, sf):
+    return lead.assess(lead_rows(spark, sf)).select("seq", "stockist_lead", F.get("stockist_lead_reasons", F.lit(0)).alias("reason"))
+
+
+@query("failure_classes", f"""{SQL_LEAD} SELECT k AS seq, CASE WHEN k % 11 = 0 OR k % 13 = 0 THEN CASE WHEN k % 5 <> 0 AND k % 4 = 0 THEN 'C_listing_mistaken_for_business' END
+WHEN lead = 'UNKNOWN' AND reason = 'no_usable_contact_path' THEN 'D_identified_contact_missing' WHEN lead = 'UNKNOWN' THEN 'A_found_insufficient_evidence' END AS failure FROM l""")
+def failure_classes(spark, sf):
+    assessed = lead.assess(lead_rows(spark, sf))
+    return assessed.select("seq", lead.failure_class(assessed).alias("failure"))
+
+
+@query("reporting_buckets", """SELECT c_custkey AS seq, CASE WHEN c_custkey % 13 = 0 THEN 'E_article_or_editorial' WHEN c_custkey % 6 = 0 THEN 'A_multi_brand_or_curated_stockist' WHEN c_custkey % 17 = 0 THEN 'B_own_label_designer_or_brand'
+WHEN c_custkey % 4 = 0 THEN 'C_generic_clothing_retailer' ELSE 'F_other_or_unrelated' END AS bucket FROM customer""")
+def reporting_buckets(spark, sf):
+    return lead_rows(spark, sf).select("seq", lead.reporting_bucket().alias("bucket"))
+
+
+@query("seed_coverage", """SELECT s_suppkey AS seed_id, EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 9000 AND c_custkey = s_suppkey) AS in_leads FROM supplier WHERE s_suppkey < 9000""")
+def seed_coverage(spark, sf):
+    s = read(spark, sf, "supplier").where("s_suppkey < 9000").select(F.col("s_suppkey").alias("seed_id"), F.concat(F.lit("The Shop "), (F.col("s_suppkey") + 1000).cast("string")).alias("seed_name"))
+    c = read(spark, sf, "customer").where("c_custkey % 3 = 0 AND c_custkey < 9000").select(F.concat(F.lit("Store "), (F.col("c_custkey") + 1000).cast("string")).alias("business_name"))
+    return seeds.covered(s, c).select("seed_id", "in_leads")
+
+
+@query("primary_row", """SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey) = 1""")
+def primary_row(spark, sf):
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") != "F").cast("int").alias("other"))
+    return ordered.first_of_each(o, ["o_custkey"], ["other", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("last_writer", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_writer(spark, sf):
+    return read(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+
+
+@query("expected_places", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'Goa' WHEN n_nationkey % 3 = 1 THEN 'Mumbai' ELSE 'Elsewhere' END AS expected_city,
+CASE WHEN n_nationkey % 3 = 0 THEN 'Goa' WHEN n_nationkey % 3 = 1 THEN 'Maharashtra' ELSE 'X' END AS expected_state FROM nation""")
+def expected_places(spark, sf):
+    i, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    rows = read(spark, sf, "nation").select(i.alias("id"), F.when(i % 3 == 2, "Elsewhere, X").alias("label"), F.when(i % 3 == 1, "bombay").alias("city"), none.alias("state"), none.alias("country"), F.when(i % 3 == 0, "boutiques in North Goa").otherwise("q").alias("query"))
+    return geo.expected_places(rows, places.places(spark)).select("id", "expected_city", "expected_state")
