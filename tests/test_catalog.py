@@ -3,7 +3,7 @@ import os
 import pytest
 from oracle import same_rows
 
-from waymark.plans.catalog import CATALOG
+from waymark.plans import CATALOG
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")

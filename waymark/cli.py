@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import export
-from .plans.catalog import CATALOG
+from .plans import CATALOG
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -1 +1,6 @@
+"""All registered queries."""
 
+from . import golden  # noqa: F401  registers its queries
+from .catalog import CATALOG, Query
+
+__all__ = ["CATALOG", "Query"]
