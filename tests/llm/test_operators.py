@@ -376,3 +376,10 @@ def test_pages(spark):
     assert got[1] == "Title & more\nPara one is quite long and has text <b> ok.\nshort.\nAnother paragraph here with bold text which is long enough."
     assert got[2] == got[3] == "" and got[4] == "plain & text" and got[5] == "a\nb\nc"
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_layout_classes_do_not_hide_articles():
+    page = '<body class="home"><div class="page sidebar-left"><div class="menu"><ul><li>One<li>Two</ul></div><article><header><h1>Head</h1></header><p>Text of the article.</p><footer>by me</footer></article><div class="widget">w</div></div><section id="comments"><article class="comment"><p>A reader says something long about the article above.</p></article></section></body>'
+    assert html.main_text(page) == "Head\nText of the article."
+    parts = '<div class="header">x</div><p>First part of a text that has no marked article around it at all.</p><div class="ad">a</div><div class="ad">b</div><div class="ad">c</div><div class="ad">d</div><p>Second part of the same text, long enough to be over the threshold.</p><div id="footer">f</div>'
+    assert html.main_text(parts).count("\n") == 1

@@ -7,8 +7,9 @@ styles) or whose class or id names an advert, a notice or comments weigh
 nothing; where the page marks its article, only its own lines are looked at.
 Text lengths are summed over sliding windows of lines. A surge point is where
 a window's sum rises from zero past the threshold, a dive point where it falls
-back to zero; of the stretches between them the one with most text is kept,
-and of it every line that weighs something.
+back to zero; between them every line that weighs something is kept. A class
+that would also take in a marked article counts for what surrounds the article
+only (a page with a sidebar is not a sidebar).
 
 One pass per page, no shuffle. Defined cases: null or empty html gives an
 empty text; unclosed and stray tags are tolerated; a page without any line over
@@ -44,6 +45,8 @@ OUTSIDE_NAMES = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Of these, an article inside stays outside.
+COMMENT_NAMES = re.compile(r"comment|disqus|repl(?:y|ies)|respond|related|recommend", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -52,8 +55,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     """(text, weighs something, inside a marked article) of each line with text, in page order."""
     lines: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, outside an article from here on, a marked article
-    outside = marked = 0
+    open_: list[tuple[str, int, int, int]] = []  # element, and what holds outside of it: hard and soft exclusions, marked articles
+    hard = soft = marked = 0  # soft exclusions, by class, end at a marked article
     at, end = 0, len(page)
     low = ""
 
@@ -62,7 +65,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                lines.append((text, not outside, marked > 0))
+                lines.append((text, not hard and not soft, marked > 0))
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -80,9 +83,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if m[1]:
             if any(x[0] == name for x in open_):
                 while True:
-                    tag, was_outside, was_marked = open_.pop()
-                    outside -= was_outside
-                    marked -= was_marked
+                    tag, hard, soft, marked = open_.pop()
                     if tag == name:
                         break
             continue
@@ -96,30 +97,33 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and open_ and open_[-1][0] == name:
-            _, was_outside, was_marked = open_.pop()
-            outside -= was_outside
-            marked -= was_marked
-        attributes = m[3]
-        is_outside = (name in OUTSIDE and not (name == "header" and marked)) or bool(
-            attributes and name not in ("html", "body") and name not in MARKED and (any(OUTSIDE_NAMES.search(a or b or c or "") for a, b, c in ATTRIBUTE.findall(attributes)) or HIDDEN.search(attributes))
-        )
-        is_marked = name in MARKED
-        open_.append((name, is_outside, is_marked))
-        outside += is_outside
-        marked += is_marked
+            _, hard, soft, marked = open_.pop()
+        open_.append((name, hard, soft, marked))
+        named = [a or b or c or "" for a, b, c in ATTRIBUTE.findall(m[3])] if m[3] and name not in ("html", "body") else []
+        out = [n for n in named if OUTSIDE_NAMES.search(n)]
+        if name in MARKED:
+            marked += 1
+            if any(COMMENT_NAMES.search(n) for n in out):
+                hard += 1
+            else:
+                soft = 0
+        elif (name in OUTSIDE and not (name == "header" and marked)) or any(COMMENT_NAMES.search(n) for n in out) or (m[3] and HIDDEN.search(m[3])):
+            hard += 1
+        elif out:
+            soft += 1
     flush()
     return lines
 
 
 def main_text(page: str | None, window: int = 3, threshold: int = 40) -> str:
-    """The page's main text: lines between the best surge and dive points, joined by newlines."""
+    """The page's main text: lines between surge and dive points, joined by newlines; without any, the fullest stretch."""
     lines = lines_of(page or "")
     if any(weighs and inside for _, weighs, inside in lines):
         lines = [x for x in lines if x[1] and x[2]]  # an advert inside a marked article must not part it
     sizes = [len(t) if weighs else 0 for t, weighs, _ in lines]
     n = len(sizes)
     sums = [sum(sizes[i : i + window]) for i in range(n)]
-    best, most, i = (0, 0), (0, 0), 0
+    stretches, i = [], 0
     while i < n:
         if not sums[i]:
             i += 1
@@ -127,10 +131,9 @@ def main_text(page: str | None, window: int = 3, threshold: int = 40) -> str:
         start = i
         while i < n and sums[i]:
             i += 1
-        here = (int(max(sums[start:i]) >= threshold), sum(sizes[start:i]))
-        if here > most:
-            best, most = (start, i), here
-    return "\n".join(lines[k][0] for k in range(*best) if sizes[k])
+        stretches.append((start, i, max(sums[start:i])))
+    kept = [x for x in stretches if x[2] >= threshold] or sorted(stretches, key=lambda x: -x[2])[:1]
+    return "\n".join(lines[k][0] for a, b, _ in kept for k in range(a, b) if sizes[k])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", window: int = 3, threshold: int = 40) -> DataFrame:
