@@ -8,8 +8,8 @@ corpus. ``run`` writes each stage's result to the shared folder and rereads it.
 2. n-gram Jaccard join: of each component of near duplicates (five words,
    similarity 0.8) the document with the least id stays.
 3. secret scans: secrets in texts are replaced; no document goes.
-4. mixing: each document is repeated as often as the mix takes it in whole
-   copies, at least once, so that no clean document is lost.
+4. mixing: each document is there as often as the mix takes it, in order of
+   training position; what a source has beyond its share isn't taken.
 5. SentencePiece: sampled segmentations, seeded by row key.
 
 Null and empty texts fail the first stage's base rule; extra columns are
@@ -43,7 +43,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat_documents(docs, mixing.FIXED_WEIGHTS)
+    return mixing.mix_documents(docs, mixing.FIXED_WEIGHTS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

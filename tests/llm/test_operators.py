@@ -41,12 +41,24 @@ def test_mix_meets_targets(spark):
 def test_curriculum_positions(spark):
     d = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
     plan = mixing.plan(d, [((0.0, 1.0), (1.0, 0.0)), ((0.0, 0.0), (1.0, 1.0))])
-    rows = mixing.stream(plan).collect()
+    rows = mixing.in_training_order(mixing.stream(plan)).collect()
+    assert rows == sorted(rows, key=lambda r: (r.position, r.doc_id, r.copy))
     assert all(0 <= r.position <= 1 for r in rows)
     early = Counter(r.source for r in rows if r.position < 0.2)
     late = Counter(r.source for r in rows if r.position > 0.8)
     assert early["a"] > 4 * early["b"] and late["b"] > 4 * late["a"]
-    assert rows == mixing.stream(plan).collect()
+    assert rows == mixing.in_training_order(mixing.stream(plan)).collect()
+
+
+def test_mixed_documents(spark):
+    d = frame(spark, [r for r in documents() if r[0] is not None])
+    mixed = mixing.mix_documents(d, mixing.FIXED_WEIGHTS)
+    taken = {}
+    for r in mixing.plan(d, mixing.FIXED_WEIGHTS).collect():
+        taken.setdefault(r.doc_id, []).append(-(-r.taken // r.size) if r.size else 0)
+    got = Counter(r.doc_id for r in mixed.collect())
+    assert mixed.columns == d.columns
+    assert all(got[i] == max(n) * len(n) for i, n in taken.items())
 
 
 def test_mix_of_nothing(spark):
