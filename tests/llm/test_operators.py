@@ -395,3 +395,12 @@ def test_layout_classes_do_not_hide_articles():
     assert html.main_text(page) == "Head\nText of the article."
     parts = '<div class="header">x</div><p>First part of a text that has no marked article around it at all.</p><div class="ad">a</div><div class="ad">b</div><div class="ad">c</div><div class="ad">d</div><p>Second part of the same text, long enough to be over the threshold.</p><div id="footer">f</div>'
     assert html.main_text(parts).count("\n") == 1
+
+
+def test_written_tables_can_be_removed(spark):
+    from waymark.llm import common
+
+    df = common.materialize(spark.range(3), "test")
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert df.count() == 3 and Path(path).exists()
+    assert common.remove_written(spark) >= 1 and not Path(path).exists()

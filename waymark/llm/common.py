@@ -37,14 +37,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/waymark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder; call it when no result is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def text_of(name: str) -> Column:
     """The column as text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
