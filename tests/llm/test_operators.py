@@ -100,6 +100,15 @@ def test_pieces_are_sampled_by_weight():
         assert abs(c - n * p) < 6 * (n * p) ** 0.5 + 3
 
 
+def test_long_texts_in_parts_give_the_same_ids():
+    v = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    r = random.Random(3)
+    for text in (words(r, 400), "a  b " * 50 + "   ", " x" * 90, "y" * 300, " " * 80):
+        whole = pieces.encode_slice(v, ["7"], [text])[0].tolist()
+        assert pieces.encode_long(v, "7", text, most=37).tolist() == whole
+        assert pieces.decode_ids(v, whole) == text
+
+
 # --- passages -----------------------------------------------------------------
 
 

@@ -43,6 +43,7 @@ from .common import table
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
+BOUNDARY = re.compile("[^ ](?= )")
 #: Characters of a chunk that the vectorised filter takes; longer ones go one by one in logarithms.
 LONG = 48
 #: Characters of text filtered and sampled together.
@@ -260,22 +261,43 @@ def sample_long(v: Vocabulary, chunk: str, state: np.uint64) -> list[int]:
     return out[::-1]
 
 
+def _salt(seed: int, key: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{'' if key is None else '=' + key}".encode(), digest_size=8).digest(), "little")
+
+
 def encode_slice(v: Vocabulary, keys: Sequence[str | None], texts: Sequence[str], seed: int = 0) -> list[np.ndarray]:
     """Ids of each text."""
+    bodies = [" " + t if t else "" for t in texts]
+    return [ids for ids, _ in _encode(v, [_salt(seed, k) for k in keys], bodies, [0] * len(bodies))]
+
+
+def encode_long(v: Vocabulary, key: str | None, text: str, seed: int = 0, most: int = SLICE) -> np.ndarray:
+    """The same ids for one text of any length, in parts that end before a space that follows another character."""
+    body, at, first, out, salt = " " + text, 0, 0, [], _salt(seed, key)
+    while at < len(body):
+        end = BOUNDARY.search(body, at + most)
+        cut = end.start() + 1 if end else len(body)
+        (ids, n), = _encode(v, [salt], [body[at:cut]], [first])
+        out.append(ids)
+        at, first = cut, first + n
+    return np.concatenate(out)
+
+
+def _encode(v: Vocabulary, salts: Sequence[int], bodies: Sequence[str], firsts: Sequence[int]) -> list[tuple[np.ndarray, int]]:
+    """Ids and number of chunks of each body; firsts: numbers of their first chunks."""
     numbers: dict[str, int] = {}
     which: list[int] = []
     per_text = []
     number = numbers.setdefault
-    for t in texts:
-        found = CHUNK.findall(" " + t) if t else ()
+    for t in bodies:
+        found = CHUNK.findall(t)
         which.extend([number(c, len(numbers)) for c in found])
         per_text.append(len(found))
     chunk, per = np.array(which, np.int64), np.array(per_text, np.int64)
-    salt = [int.from_bytes(hashlib.blake2b(f"{seed}:{'' if k is None else '=' + k}".encode(), digest_size=8).digest(), "little") for k in keys]
     begin = np.concatenate([[0], np.cumsum(per)])
-    index = (np.arange(len(chunk)) - np.repeat(begin[:-1], per)).astype(np.uint64)
+    index = (np.arange(len(chunk)) - np.repeat(begin[:-1] - np.array(firsts, np.int64), per)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        state = _mix(np.repeat(np.array(salt, np.uint64), per) + index * np.uint64(0xD1342543DE82EF95))
+        state = _mix(np.repeat(np.array(salts, np.uint64), per) + index * np.uint64(0xD1342543DE82EF95))
     distinct = list(numbers)
     short = np.fromiter((len(c) <= LONG for c in distinct), bool, len(distinct))
     renumber = np.cumsum(short) - 1
@@ -285,7 +307,7 @@ def encode_slice(v: Vocabulary, keys: Sequence[str | None], texts: Sequence[str]
     if not is_short.all():
         pieces, counts = _with_long(v, distinct, chunk, state, is_short, pieces, counts)
     cut = np.concatenate([[0], np.cumsum(counts)])[begin]
-    return [_spell(v, pieces[cut[i] : cut[i + 1]]) for i in range(len(texts))]
+    return [(_spell(v, pieces[cut[i] : cut[i + 1]]), int(per[i])) for i in range(len(bodies))]
 
 
 def _with_long(v, distinct, chunk, state, is_short, pieces, counts):
@@ -319,10 +341,11 @@ def decode_ids(v: Vocabulary, ids: Sequence[int]) -> str:
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of up to SLICE bytes of text; a longer text is a run of its own."""
     sizes = pc.coalesce(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, size in enumerate(sizes):
-        if total and total + size > SLICE:
+        if i > start and total + size > SLICE:
             yield start, i
             start, total = i, 0
         total += int(size)
@@ -344,7 +367,10 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", kee
                 texts = part.column(len(kept) + 1).to_pylist()
                 there = [i for i, t in enumerate(texts) if t is not None]
                 keys = part.column(len(kept)).to_pylist()
-                got = encode_slice(v, [keys[i] for i in there], [texts[i] for i in there], seed)
+                if len(there) == 1 and len(texts[there[0]]) > SLICE:  # a longer text is a slice by itself
+                    got = [encode_long(v, keys[there[0]], texts[there[0]], seed)]
+                else:
+                    got = encode_slice(v, [keys[i] for i in there], [texts[i] for i in there], seed)
                 sizes = np.zeros(len(texts), np.int64)
                 sizes[there] = [len(g) for g in got]
                 mask = np.ones(len(texts) + 1, bool)
