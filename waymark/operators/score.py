@@ -18,15 +18,28 @@ from ..functions.text import present
 Signals = Sequence[tuple[str, int, str]]
 
 
-def points(text: Column, signals: Signals) -> Column:
+def hits(text: Column, signals: Sequence[tuple]) -> Column:
+    """Which patterns match, in table order; a column to compute points and labels from."""
+    return F.array(*[F.coalesce(text.rlike("(?i)" + s[0]), F.lit(False)) for s in signals])
+
+
+def points_of(hit: Column, signals: Signals) -> Column:
     """Sum of the points of all matching patterns; equal labels add up."""
+    return reduce(lambda a, b: a + b, [F.when(F.get(hit, F.lit(i)), n).otherwise(0) for i, (_, n, _) in enumerate(signals)])
+
+
+def labels_of(hit: Column, signals: Sequence[tuple]) -> Column:
+    """Distinct labels of matching patterns, in table order."""
+    found = F.array(*[F.when(F.get(hit, F.lit(i)), F.lit(s[-1])) for i, s in enumerate(signals)])
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+
+
+def points(text: Column, signals: Signals) -> Column:
     return reduce(lambda a, b: a + b, [F.when(text.rlike("(?i)" + p), n).otherwise(0) for p, n, _ in signals])
 
 
 def labels(text: Column, signals: Sequence[tuple]) -> Column:
-    """Distinct labels of matching patterns, in table order."""
-    hits = F.array(*[F.when(text.rlike("(?i)" + s[0]), F.lit(s[-1])) for s in signals])
-    return F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
+    return labels_of(hits(text, signals), signals)
 
 
 def band(score: Column, bands: Sequence[tuple[int, str]], otherwise: str = "UNKNOWN") -> Column:
@@ -50,22 +63,31 @@ def assess_fit(df: DataFrame, geography: str = "geography") -> DataFrame:
     text_columns = ("business_name", "address", "city", "text", "instagram", "facebook")
     out = df.withColumn("blob", F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in text_columns]))
     blob = F.col("blob")
+    tables = {"physical": rules.PHYSICAL_SIGNALS, "fashion": rules.FASHION_SIGNALS, "multi": rules.MULTI_BRAND_SIGNALS, "concept": rules.CONCEPT_SIGNALS, "fit": rules.FIT_SIGNALS}
+    out = out.withColumns({f"__{k}": hits(blob, t) for k, t in tables.items()})
+
+    def score_of(k: str) -> Column:
+        return points_of(F.col(f"__{k}"), tables[k])
+
+    def labels_in(k: str) -> Column:
+        return labels_of(F.col(f"__{k}"), tables[k])
+
     has_address, has_phone = present(F.col("address")), F.coalesce(F.col("phone") != "", F.lit(False))
     stated = F.upper(F.coalesce("physical_store", F.lit(""))) == "YES"
     out = out.withColumns(
         {
             "exclusions": labels(blob, rules.EXCLUSION_SIGNALS),
-            "physical_score": points(blob, rules.PHYSICAL_SIGNALS) + F.when(has_address, 5).otherwise(0) + F.when(has_phone, 1).otherwise(0) + F.when(stated, 4).otherwise(0),
+            "physical_score": score_of("physical") + F.when(has_address, 5).otherwise(0) + F.when(has_phone, 1).otherwise(0) + F.when(stated, 4).otherwise(0),
             "evidence_physical": F.array_distinct(
-                F.concat(F.when(has_address, F.array(F.lit("explicit physical address"))).otherwise(F.array().cast("array<string>")), labels(blob, rules.PHYSICAL_SIGNALS), F.when(has_phone, F.array(F.lit("phone number"))).otherwise(F.array().cast("array<string>")), F.when(stated, F.array(F.lit("structured physical store"))).otherwise(F.array().cast("array<string>")))
+                F.concat(F.when(has_address, F.array(F.lit("explicit physical address"))).otherwise(F.array().cast("array<string>")), labels_in("physical"), F.when(has_phone, F.array(F.lit("phone number"))).otherwise(F.array().cast("array<string>")), F.when(stated, F.array(F.lit("structured physical store"))).otherwise(F.array().cast("array<string>")))
             ),
-            "fashion_score": points(blob, rules.FASHION_SIGNALS),
-            "evidence_fashion": labels(blob, rules.FASHION_SIGNALS),
-            "multi_score": points(blob, rules.MULTI_BRAND_SIGNALS),
-            "concept_score": points(blob, rules.CONCEPT_SIGNALS),
-            "evidence_multi_brand": F.array_distinct(F.concat(labels(blob, rules.MULTI_BRAND_SIGNALS), labels(blob, rules.CONCEPT_SIGNALS))),
-            "fit_score": points(blob, rules.FIT_SIGNALS),
-            "evidence_fit": labels(blob, rules.FIT_SIGNALS),
+            "fashion_score": score_of("fashion"),
+            "evidence_fashion": labels_in("fashion"),
+            "multi_score": score_of("multi"),
+            "concept_score": score_of("concept"),
+            "evidence_multi_brand": F.array_distinct(F.concat(labels_in("multi"), labels_in("concept"))),
+            "fit_score": score_of("fit"),
+            "evidence_fit": labels_in("fit"),
             "model_label": first_label(blob, rules.RETAIL_MODELS),
             "named": present(F.col("business_name")),
         }
@@ -99,7 +121,7 @@ def assess_fit(df: DataFrame, geography: str = "geography") -> DataFrame:
     )
     status = F.when(source_page | (geo == "NO") | excluded | (F.col("business") == "NO"), "EXCLUDED").when(lead, "LEAD").when(promising | named, "REVIEW").otherwise("EXCLUDED")
     store = F.when(F.col("physical") == "NO", "LOW").when(F.col("physical") == "UNKNOWN", "UNKNOWN").when(F.col("physical_score") >= 7, "HIGH").when(F.col("physical_score") >= 4, "MEDIUM").otherwise("LOW")
-    return out.withColumns({"status": status, "reason": reason, "store_confidence": store}).drop("blob", "model_label", "named")
+    return out.withColumns({"status": status, "reason": reason, "store_confidence": store}).drop("blob", "model_label", "named", *[f"__{k}" for k in tables])
 
 
 def explain(df: DataFrame) -> Column:
