@@ -14,6 +14,8 @@ largest pair. Documents with many parts that hold few elements also sketch
 those; the others leave them out, as enough full parts agree without them.
 So the candidates hold every linked pair: nothing is sampled or capped.
 
+A set that shares fewer keys with others than any link of it takes is left out:
+of two linked sets so many parts agree that some of them are always sent.
 Candidates are verified on the sets themselves, and never as all pairs of a
 group: first each member of a group with the group's most central member; then,
 where a group still spans several components, blocks of at most BLOCK members
@@ -43,6 +45,7 @@ from .components import connected_components
 BAND, BLOCK, THIN = 1.3, 1024, 2
 #: Up to so many pairs, hence twice so many ids of 16 bytes, the ids are broadcast.
 FEW_PAIRS = 250_000
+SHORT = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -83,32 +86,51 @@ def band_starts(most: int = 1 << 40) -> list[int]:
     return out
 
 
+def _levels(n: int, num: int, den: int, starts: list[int]) -> list[int]:
+    """Bands for which a set of n elements sketches."""
+    own = bisect_right(starts, n) - 1
+    return [own] if n * den < starts[own + 1] * num else [own, own + 1]
+
+
+def _dealt(s: np.ndarray, level: int, num: int, den: int, starts: list[int]) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(parts, parts that agree at least, part of each element, elements of each part, parts that are sent)."""
+    d = 2 * (starts[level + 1] - 1) * (den - num) // (den + num)
+    parts = d + 1 + (0 if d == 0 else 2 + d // 4)
+    part = ((s >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+    count = np.bincount(part, minlength=parts)
+    full = np.flatnonzero(count >= THIN)
+    if parts - len(full) >= parts - d:  # so many thin parts that the agreeing ones could all be thin
+        full = np.arange(parts)
+    return parts, parts - d, part, count, full
+
+
 def sketch_keys(s: np.ndarray, num: int, den: int, starts: list[int]) -> np.ndarray:
     """One key for each part of the set's sketches that others could agree with."""
-    n = len(s)
-    if not n:
+    if not len(s):
         return np.zeros(0, np.uint64)
-    own = bisect_right(starts, n) - 1
-    levels = [own] if n * den < starts[own + 1] * num else [own, own + 1]
     made = []
-    for level in levels:
-        d = 2 * (starts[level + 1] - 1) * (den - num) // (den + num)
-        spare = 0 if d == 0 else 2 + d // 6
-        parts = d + 1 + spare
-        part = ((s >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+    for level in _levels(len(s), num, den, starts):
+        _, _, part, count, full = _dealt(s, level, num, den, starts)
         order = np.argsort(part, kind="stable")
         run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(s[order])])
-        count = np.bincount(part, minlength=parts)
         end = np.cumsum(count)
         word = run[end] ^ run[end - count]
-        full = np.flatnonzero(count >= THIN)
-        if parts - len(full) >= parts - d:  # so many thin parts that the agreeing ones could all be thin
-            full = np.arange(parts)
         with np.errstate(over="ignore"):
             made.append(_mix(word[full] + _mix(full.astype(np.uint64) * _M1 + np.uint64(level))))
     return np.concatenate(made)
 
 
+def keys_needed(s: np.ndarray, num: int, den: int, starts: list[int]) -> int:
+    """The least number of keys that a set shares with any set it is linked to: agreeing parts, less those not sent."""
+    if not len(s):
+        return 0
+    needed = []
+    for level in _levels(len(s), num, den, starts):
+        parts, agree, _, _, full = _dealt(s, level, num, den, starts)
+        needed.append(max(1, agree - (parts - len(full))))
+    return min(needed)
+
+
 def dense_sketch(s: np.ndarray) -> np.ndarray:
     """Parity of the elements' hashes in a power of two of longs, two bits an element at least; a wide sketch folds into a narrow one by XOR of its halves."""
     longs = max(4, 1 << (max(1, len(s) // 32) - 1).bit_length())
@@ -118,35 +140,69 @@ def dense_sketch(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sid, n, keys, dense): sid stands for the set. Within a batch only the first of equal sets carries keys and dense sketch."""
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def _set_id(s: np.ndarray) -> int | None:
+    """A hash of the set as a whole, null for the empty one."""
+    if not len(s):
+        return None
+    with np.errstate(over="ignore"):
+        return int((_mix(np.bitwise_xor.reduce(s) + np.uint64(len(s))) ^ np.add.reduce(_mix(s ^ _M1))).astype(np.int64))
+
+
+def _folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    while len(sketch) > width:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, sid, n, need, dense, short) of documents (doc_id, text): the set's id, its size, the keys it shares with any link, its dense sketch and that sketch folded to SHORT longs.
+
+    Within a batch only the first of equal sets carries sketches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, starts = Shingler(n), band_starts()
+        longs = pa.list_(pa.int64())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sids, sizes, keys, dense, seen = [], [], [], [], set()
+                sids, sizes, needs, dense, short, seen = [], [], [], [], [], set()
                 for text in part.column(1):
                     s = shingle(text.as_py())
-                    if len(s):
-                        with np.errstate(over="ignore"):
-                            sid = int((_mix(np.bitwise_xor.reduce(s) + np.uint64(len(s))) ^ np.add.reduce(_mix(s ^ _M1))).astype(np.int64))
-                    else:
-                        sid = None
+                    sid = _set_id(s)
                     new = sid is not None and sid not in seen
                     seen.add(sid)
+                    sketch = dense_sketch(s) if new else None
                     sids.append(sid)
                     sizes.append(len(s))
-                    keys.append(sketch_keys(s, num, den, starts).view(np.int64) if new else None)
-                    dense.append(dense_sketch(s).view(np.int64) if new else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.int64()))],
-                    names=["doc_id", "sid", "n", "keys", "dense"],
-                )
+                    needs.append(keys_needed(s, num, den, starts) if new else None)
+                    dense.append(sketch.view(np.int64) if new else None)
+                    short.append(_folded(sketch, SHORT).view(np.int64) if new else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(needs, pa.int32()), pa.array(dense, longs), pa.array(short, longs)], names=["doc_id", "sid", "n", "need", "dense", "short"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, n long, need int, dense array<long>, short array<long>")
+
+
+def key_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, sid): the keys of each document's set; of equal sets in a batch only the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, starts = Shingler(n), band_starts()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                keys, sids, seen = [], [], set()
+                for text in batch.column(0).slice(at, 500):
+                    s = shingle(text.as_py())
+                    sid = _set_id(s)
+                    if sid is not None and sid not in seen:
+                        seen.add(sid)
+                        k = sketch_keys(s, num, den, starts).view(np.int64)
+                        keys.append(k)
+                        sids.append(np.full(len(k), sid))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], names=["key", "sid"])
 
-    return source.mapInArrow(run, "doc_id long, sid long, n long, keys array<long>, dense array<long>")
+    return docs.select("text").mapInArrow(run, "key long, sid long")
 
 
 def _bound(a: Column, b: Column, num: int, den: int) -> Column:
@@ -160,15 +216,17 @@ def _may_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         out = out.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}")), side)
     na, nb = F.col("na"), F.col("nb")
     out = out.where(F.least(na, nb) * den >= F.greatest(na, nb) * num)
-    for side in "ab":
-        out = out.join(sets.select(F.col("sid").alias(side), F.col("dense").alias(f"d{side}")), side)
 
     def folded(x: str, y: str) -> Column:  # linked sizes differ by less than two, so one fold is enough
         w = F.size(y)
         return F.when(F.size(x) > w, F.zip_with(F.slice(x, F.lit(1), w), F.slice(x, w + 1, w), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
 
-    far = F.aggregate(F.zip_with(folded("da", "db"), folded("db", "da"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return out.where(far <= _bound(na, nb, num, den)).select("a", "b")
+    for sketch in ("short", "dense"):  # the short ones rule out most pairs
+        for side in "ab":
+            out = out.join(sets.select(F.col("sid").alias(side), F.col(sketch).alias(f"d{side}")), side)
+        far = F.aggregate(F.zip_with(folded("da", "db"), folded("db", "da"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        out = out.where(far <= _bound(na, nb, num, den)).select("a", "b", "na", "nb")
+    return out.select("a", "b")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -224,13 +282,17 @@ def _within_block(sid: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.nd
 
 
 def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of groups (key, sid, n, dense, label, size), each pair of blocks of a group in one task."""
+    """Candidate pairs of groups (key, sid, n, dense, label, lo, size), each pair of blocks of a group in one task.
+
+    Groups with the same least member meet in one task, as a cluster of near
+    copies shares many keys; so most pairs are found once, not once per key.
+    """
     count = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("m", count).withColumn("own", F.pmod(F.xxhash64("sid", "key"), F.col("m")).cast("int"))
+    dealt = members.withColumn("m", count).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int"))
     # a block meets each block of the group once: (i, j) with i <= j; side 2 is a block by itself
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     dealt = dealt.withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("own") == F.col("i"), 0).otherwise(1))
-    dealt = dealt.withColumn("block", F.xxhash64("key", "i", "j")).select("block", "sid", "n", "dense", "label", "side")
+    dealt = dealt.withColumn("block", F.xxhash64("key", "i", "j")).withColumn("place", F.xxhash64("lo", "i", "j")).select("block", "place", "sid", "n", "dense", "label", "side")
     buckets = scaled_partitions(members.sparkSession, 8)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,32 +304,38 @@ def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    return dealt.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")).applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy(F.pmod("place", F.lit(buckets)).alias("bucket")).applyInPandas(run, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
-    made = materialize(sketches(docs, n, num, den, id_col, text_col), "sketches")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("t_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = base.withColumnRenamed("doc_id", "t_id")
+    made = materialize(set_table(base, n, num, den), "sets")
     reps = made.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    # keys that two sets share; a set may stand in a group more than once, from several batches
+    # keys that two sets share; copies needn't send theirs again if they are few enough to be told
+    copies = materialize(made.join(reps, "sid").where("doc_id <> rep").select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    alone = base.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= 2 * FEW_PAIRS else base
     by_key = Window.partitionBy("key")
-    keyed = made.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "sid")
-    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key).cast("int")})
+    keyed = key_table(alone, n, num, den)
+    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)})
     shared = materialize(shared.where("lo <> hi").select("key", "sid", "size"), "shared")
+    # sets with fewer shared keys than a link takes have no link
+    counted = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("size").alias("weight"))
+    known = made.where("dense IS NOT NULL").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "need", "dense", "short")])
+    sets = materialize(counted.join(known, "sid").where("n_keys >= need"), "shared-sets")
     # each member with the most central member of its group
-    central = materialize(shared.groupBy("sid").agg(F.sum("size").alias("weight")), "central")
-    sets = central.select("sid").join(made.where("dense IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("dense").alias("dense")), "sid")
-    sets = materialize(sets, "sets")
-    weighed = shared.select("key", "sid").join(_few(central), "sid")
-    stars = weighed.withColumn("pivot", F.first("sid").over(by_key.orderBy(F.desc("weight"), "sid"))).where("sid <> pivot")
-    stars = stars.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
+    central = by_key.orderBy(F.desc("weight"), "sid")
+    grouped = shared.select("key", "sid").join(_few(sets.select("sid", "weight")), "sid")
+    grouped = grouped.withColumns({"pivot": F.first("sid").over(central), "lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)})
+    grouped = materialize(grouped.where("lo <> hi").select("key", "sid", "pivot", "size"), "grouped")
+    stars = grouped.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
     links = materialize(_verify(_may_link(stars, sets, num, den), reps, texts, n, num, den), "links")
     labels = connected_components(links)
-    # groups that span components; of two members both have been compared
-    labelled = shared.where("size > 2").join(_few(labels.withColumnRenamed("node", "sid")), "sid", "left").select("key", "sid", "size", F.coalesce("label", "sid").alias("label"))
-    spanning = labelled.withColumns({"lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)}).where("lo <> hi")
-    members = spanning.join(sets, "sid").select("key", "sid", "n", "dense", "label", "size")
+    # groups that span components; the pivot has been compared with all
+    rest = grouped.where("size > 2 AND sid <> pivot").join(_few(labels.withColumnRenamed("node", "sid")), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
+    spanning = rest.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key), "lo": F.min("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)}).where("low <> high")
+    members = spanning.select("key", "sid", "label", "lo", "size").join(sets.select("sid", "n", "dense"), "sid")
     rest = materialize(_blocks(members, num, den), "candidates")
     more = materialize(_verify(rest, reps, texts, n, num, den), "links")
     labels = connected_components(links.unionByName(more))
@@ -284,7 +352,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are linked to a row with a smaller id; of rows with equal ids in one component one stays, the first by text."""
+    """docs without the rows that are linked to a row with a smaller id; rows with equal ids share one fate, rows without an id stay."""
     linked = link_documents(docs, n, num, den, id_col, text_col)
     first = linked.where("n_shingles = 0 OR doc_id = component_id").select(F.col("doc_id").alias("__wm_id")).distinct()
     kept = docs.join(first, F.col(f"`{id_col}`") == F.col("__wm_id"), "left_semi")
