@@ -6,6 +6,8 @@ projection of its own, before the decisions that refer to it.
 
 from __future__ import annotations
 
+import re._constants as rc
+import re._parser as rp
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,9 +20,44 @@ from ..functions.text import present
 Signals = Sequence[tuple[str, int, str]]
 
 
-def hits(text: Column, signals: Sequence[tuple]) -> Column:
-    """Which patterns match, in table order; a column to compute points and labels from."""
-    return F.array(*[F.coalesce(text.rlike("(?i)" + s[0]), F.lit(False)) for s in signals])
+def literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings one of which every match holds; empty if the pattern has none of three characters or more."""
+
+    def read(items) -> tuple[str, ...]:
+        found: list[tuple[str, ...]] = []
+        run = ""
+        for op, arg in [*items, (None, None)]:
+            if op is rc.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if len(run) >= 3:
+                found.append((run,))
+            run = ""
+            if op is rc.SUBPATTERN:
+                found.append(read(arg[3]))
+            elif op is rc.BRANCH:
+                parts = [read(x) for x in arg[1]]
+                found.append(tuple(x for p in parts for x in p) if all(parts) else ())
+            elif op is rc.MAX_REPEAT and arg[0] >= 1:
+                found.append(read(arg[2]))
+        return max((f for f in found if f), key=lambda f: min(map(len, f)), default=())
+
+    return tuple(dict.fromkeys(read(rp.parse(pattern))))
+
+
+def hits(text: Column, signals: Sequence[tuple], low: Column | None = None) -> Column:
+    """Which patterns match, in table order; a column to compute points and labels from.
+
+    low: the text in lower case. A pattern is tried only where one of the
+    strings that it must hold occurs, which costs much less to find out.
+    """
+
+    def hit(pattern: str) -> Column:
+        match = F.coalesce(text.rlike("(?i)" + pattern), F.lit(False))
+        must = literals(pattern) if low is not None else ()
+        return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in must]), match).otherwise(False) if must else match
+
+    return F.array(*[hit(s[0]) for s in signals])
 
 
 def points_of(hit: Column, signals: Signals) -> Column:
@@ -62,9 +99,10 @@ def assess_fit(df: DataFrame, geography: str = "geography") -> DataFrame:
     """LEAD, REVIEW or EXCLUDED for rows (text, business_name, city, address, website, instagram, facebook, phone, physical_store, relationship, geography)."""
     text_columns = ("business_name", "address", "city", "text", "instagram", "facebook")
     out = df.withColumn("blob", F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in text_columns]))
-    blob = F.col("blob")
-    tables = {"physical": rules.PHYSICAL_SIGNALS, "fashion": rules.FASHION_SIGNALS, "multi": rules.MULTI_BRAND_SIGNALS, "concept": rules.CONCEPT_SIGNALS, "fit": rules.FIT_SIGNALS}
-    out = out.withColumns({f"__{k}": hits(blob, t) for k, t in tables.items()})
+    out = out.withColumn("__low", F.lower("blob"))
+    blob, low = F.col("blob"), F.col("__low")
+    tables = {"physical": rules.PHYSICAL_SIGNALS, "fashion": rules.FASHION_SIGNALS, "multi": rules.MULTI_BRAND_SIGNALS, "concept": rules.CONCEPT_SIGNALS, "fit": rules.FIT_SIGNALS, "exclusion": rules.EXCLUSION_SIGNALS, "model": rules.RETAIL_MODELS}
+    out = out.withColumns({f"__{k}": hits(blob, t, low) for k, t in tables.items()})
 
     def score_of(k: str) -> Column:
         return points_of(F.col(f"__{k}"), tables[k])
@@ -76,7 +114,7 @@ def assess_fit(df: DataFrame, geography: str = "geography") -> DataFrame:
     stated = F.upper(F.coalesce("physical_store", F.lit(""))) == "YES"
     out = out.withColumns(
         {
-            "exclusions": labels(blob, rules.EXCLUSION_SIGNALS),
+            "exclusions": labels_in("exclusion"),
             "physical_score": score_of("physical") + F.when(has_address, 5).otherwise(0) + F.when(has_phone, 1).otherwise(0) + F.when(stated, 4).otherwise(0),
             "evidence_physical": F.array_distinct(
                 F.concat(F.when(has_address, F.array(F.lit("explicit physical address"))).otherwise(F.array().cast("array<string>")), labels_in("physical"), F.when(has_phone, F.array(F.lit("phone number"))).otherwise(F.array().cast("array<string>")), F.when(stated, F.array(F.lit("structured physical store"))).otherwise(F.array().cast("array<string>")))
@@ -88,7 +126,7 @@ def assess_fit(df: DataFrame, geography: str = "geography") -> DataFrame:
             "evidence_multi_brand": F.array_distinct(F.concat(labels_in("multi"), labels_in("concept"))),
             "fit_score": score_of("fit"),
             "evidence_fit": labels_in("fit"),
-            "model_label": first_label(blob, rules.RETAIL_MODELS),
+            "model_label": F.get(labels_in("model"), F.lit(0)),
             "named": present(F.col("business_name")),
         }
     )
@@ -121,7 +159,7 @@ def assess_fit(df: DataFrame, geography: str = "geography") -> DataFrame:
     )
     status = F.when(source_page | (geo == "NO") | excluded | (F.col("business") == "NO"), "EXCLUDED").when(lead, "LEAD").when(promising | named, "REVIEW").otherwise("EXCLUDED")
     store = F.when(F.col("physical") == "NO", "LOW").when(F.col("physical") == "UNKNOWN", "UNKNOWN").when(F.col("physical_score") >= 7, "HIGH").when(F.col("physical_score") >= 4, "MEDIUM").otherwise("LOW")
-    return out.withColumns({"status": status, "reason": reason, "store_confidence": store}).drop("blob", "model_label", "named", *[f"__{k}" for k in tables])
+    return out.withColumns({"status": status, "reason": reason, "store_confidence": store}).drop("blob", "__low", "model_label", "named", *[f"__{k}" for k in tables])
 
 
 def explain(df: DataFrame) -> Column:
