@@ -192,6 +192,37 @@ def test_links(spark, n, num):
     assert neardup.link_documents(df.limit(0), n, num, 100).count() == 0
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_linked_sets_share_the_keys_they_need(num):
+    r = np.random.default_rng(num)
+    starts = neardup.band_starts()
+    checked = 0
+    for _ in range(6000):
+        both, more, less = (int(r.integers(low, high)) for low, high in ((3, 90), (0, 15), (0, 15)))
+        if 100 * both < num * (both + more + less):
+            continue
+        s = r.integers(0, 2**64, both + more + less, dtype=np.uint64)
+        a, b = np.sort(s[: both + more]), np.sort(np.concatenate([s[:both], s[both + more :]]))
+        shared = len(np.intersect1d(neardup.sketch_keys(a, num, 100, starts), neardup.sketch_keys(b, num, 100, starts)))
+        assert shared >= max(neardup.keys_needed(x, num, 100, starts) for x in (a, b))
+        checked += 1
+    assert checked > 1000
+
+
+@pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
+def test_links_of_short_texts_near_the_threshold(spark, n, num):
+    r = random.Random(100 + n)
+    rows = []
+    for c in range(700):  # lone pairs that differ at one end by about as much as a link allows
+        size = r.randrange(5, 61)
+        most = size * (100 - num) // num
+        w = [f"c{c}w{i}" for i in range(size + n - 1)]
+        rows += [(2 * c, " ".join(w)), (2 * c + 1, " ".join([*w, *[f"c{c}x{i}" for i in range(max(1, most + r.choice((-1, 0, 0, 0, 1))))]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(x) for x in neardup.link_documents(df, n, num, 100).collect())
+    assert got == brute_links(rows, n, num, 100)
+
+
 def test_blocks_meet_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     r = random.Random(1)

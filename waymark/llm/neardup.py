@@ -121,13 +121,21 @@ def sketch_keys(s: np.ndarray, num: int, den: int, starts: list[int]) -> np.ndar
 
 
 def keys_needed(s: np.ndarray, num: int, den: int, starts: list[int]) -> int:
-    """The least number of keys that a set shares with any set it is linked to: agreeing parts, less those not sent."""
+    """The least number of keys that a set shares with any set it is linked to: agreeing parts, less those that either doesn't send.
+
+    A part that agrees holds the same elements on both sides, so it is thin on both or on neither.
+    """
     if not len(s):
         return 0
     needed = []
     for level in _levels(len(s), num, den, starts):
-        parts, agree, _, _, full = _dealt(s, level, num, den, starts)
-        needed.append(max(1, agree - (parts - len(full))))
+        parts, agree, _, count, _ = _dealt(s, level, num, den, starts)
+        largest = min(starts[level + 1] - 1, len(s) * den // num)
+        differ = (len(s) + largest) * (den - num) // (den + num)
+        thin = int((count < THIN).sum())
+        # a set withholds fewer thin parts than agree at least; every link of one with very many thin parts sends all of its own
+        unsent = thin if thin < agree else 0 if thin - differ >= agree else agree - 1
+        needed.append(parts - differ - unsent)
     return min(needed)
 
 
