@@ -293,3 +293,13 @@ def test_expected_places(spark):
     found = {(r.label or r.city or r.query): (r.expected_city, r.expected_state, r.expected_country) for r in got}
     assert found["Bangalore"] == ("Bengaluru", "Karnataka", "India") and found["shops in new delhi"][0] == "Delhi" and found["Atlantis, Sea"] == ("Atlantis", "Sea", "India") and found["shops"] == (None, None, None)
     assert found["Goa, India"][:2] == ("Goa", "India")
+
+
+def test_keyword_windows_reach_past_the_start(spark, tmp_path):
+    from waymark.plans import CATALOG
+
+    rows = [(1, "x " * 1500 + "seen only that once " + "y " * 1500), (2, "none " * 600), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.excerpt for r in CATALOG["keyword_windows"].run(spark, str(tmp_path)).collect()}
+    assert "seen only that once" in got[1]
+    assert got[2] == rows[1][1][:1500] and got[3] is None

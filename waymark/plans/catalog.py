@@ -756,7 +756,7 @@ def choose_name(spark, sf):
 @query("keyword_windows")
 def keyword_windows(spark, sf):
     d = read(spark, sf, "documents")
-    return d.select("doc_id", signals.keyword_windows(F.col("text"), r"\\bthat\\b").alias("excerpt"))
+    return d.select("doc_id", signals.keyword_windows(F.col("text"), r"\bthat\b").alias("excerpt"))
 
 
 def lead_rows(spark, sf) -> DataFrame:
