@@ -437,6 +437,17 @@ def test_layout_classes_do_not_hide_articles():
     assert html.main_text(parts).count("\n") == 1
 
 
+def test_a_marked_teaser_does_not_replace_the_body():
+    body = "<p>The body of this page is in a plain division and is much longer than the teaser.</p>" * 3
+    page = f'<body><div class="text">{body}</div><article class="more"><h2>Next story</h2><p>A teaser.</p></article></body>'
+    assert html.main_text(page) == "\n".join(["The body of this page is in a plain division and is much longer than the teaser."] * 3 + ["Next story", "A teaser."])
+
+
+def test_a_headline_away_from_the_text_stays():
+    page = "<div>A short headline</div>" + "<nav>x</nav>" * 5 + "<p>The text that belongs to it, which is long enough to be over the threshold.</p>"
+    assert html.main_text(page).split("\n")[0] == "A short headline"
+
+
 def test_written_tables_can_be_removed(spark):
     from waymark.llm import common
 

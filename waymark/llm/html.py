@@ -4,16 +4,17 @@ Markup is stripped to lines, one per block element, with white space inside a
 line made one space and character references decoded. Lines inside elements
 that never hold an article (menus, headers, footers, sidebars, forms, scripts,
 styles) or whose class or id names an advert, a notice or comments weigh
-nothing; where the page marks its article, only its own lines are looked at.
-Text lengths are summed over sliding windows of lines. A surge point is where
-a window's sum rises from zero past the threshold, a dive point where it falls
-back to zero; between them every line that weighs something is kept. A class
+nothing; lines of a marked article that weigh something are always kept.
+Text lengths of the others are summed over sliding windows of lines. A surge
+point is where a window's sum rises from zero past the threshold, a dive point
+where it falls back to zero; between them every line that weighs something is
+kept, and so is a short stretch next to a kept one, such as a headline. A class
 that would also take in a marked article counts for what surrounds the article
 only (a page with a sidebar is not a sidebar).
 
 One pass per page, no shuffle. Defined cases: null or empty html gives an
 empty text; unclosed and stray tags are tolerated; a page without any line over
-the threshold keeps its longest stretch; repeated rows get equal results.
+the threshold and without marked lines keeps its fullest stretch; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -116,13 +117,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
 
 
 def main_text(page: str | None, window: int = 3, threshold: int = 40) -> str:
-    """The page's main text: lines between surge and dive points, joined by newlines; without any, the fullest stretch."""
+    """The page's main text: marked lines and those between surge and dive points, joined by newlines; without any, the fullest stretch."""
     lines = lines_of(page or "")
-    if any(weighs and inside for _, weighs, inside in lines):
-        lines = [x for x in lines if x[1] and x[2]]  # an advert inside a marked article must not part it
     sizes = [len(t) if weighs else 0 for t, weighs, _ in lines]
-    n = len(sizes)
-    sums = [sum(sizes[i : i + window]) for i in range(n)]
+    marked = [k for k, x in enumerate(lines) if x[2]]  # not looked for, so an advert inside doesn't part them
+    rest = [k for k, x in enumerate(lines) if not x[2]]
+    n = len(rest)
+    sums = [sum(sizes[k] for k in rest[i : i + window]) for i in range(n)]
     stretches, i = [], 0
     while i < n:
         if not sums[i]:
@@ -132,8 +133,12 @@ def main_text(page: str | None, window: int = 3, threshold: int = 40) -> str:
         while i < n and sums[i]:
             i += 1
         stretches.append((start, i, max(sums[start:i])))
-    kept = [x for x in stretches if x[2] >= threshold] or sorted(stretches, key=lambda x: -x[2])[:1]
-    return "\n".join(lines[k][0] for a, b, _ in kept for k in range(a, b) if sizes[k])
+    full = [x[2] >= threshold for x in stretches]
+    kept = [x for i, x in enumerate(stretches) if any(full[max(0, i - 1) : i + 2])]
+    if not kept and not any(sizes[k] for k in marked):
+        kept = sorted(stretches, key=lambda x: -x[2])[:1]
+    shown = sorted(marked + [k for a, b, _ in kept for k in rest[a:b]])
+    return "\n".join(lines[k][0] for k in shown if sizes[k])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", window: int = 3, threshold: int = 40) -> DataFrame:
