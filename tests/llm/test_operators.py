@@ -413,6 +413,17 @@ def test_trees_prune_nothing_wrongly():
         assert [(-int(s), int(j)) for s, j in zip(best.score[i], best.id[i])] == want
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 0.5]), (1, [2.0**41, 0.0]), (2, [1.0, 1.0]), (3, [float("inf"), 1.0]), (4, [2.0**30, -(2.0**41)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 2**57), (0, 2, 2, 3 * 2**15), (0, 3, 4, 2**46 - 2**56)]
+    for i in (1, 5):  # a product, or a component, beyond 64 bits
+        far = df.unionByName(spark.createDataFrame([(5, [2.0**60, 1.0])], df.schema)) if i == 5 else df
+        with pytest.raises(Exception, match="too large|2\\^62"):
+            topk.exact_top_k(far, F.col("vec_id") == i, 5).collect()
+
+
 # --- pages --------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="header-fixed"><header><h1>Site</h1></header><nav><a>Home</a></nav>

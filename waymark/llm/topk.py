@@ -18,7 +18,8 @@ Defined cases: vectors that are null, empty, or hold null or non-finite
 components, and rows without an id, take no part; vectors of unequal length are
 filled up with zeros; repeated ids are separate candidates, none of which
 answers a query with that id; fewer than k candidates give fewer rows; no
-queries or an empty table give an empty result. Scores are exact integers.
+queries or an empty table give an empty result. Scores are exact integers; a
+component of 2^63 or more after scaling, or a compared score of 2^62, fails.
 """
 
 from __future__ import annotations
@@ -101,10 +102,16 @@ class Best:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; in floating point while all sums stay under 2^53."""
-    if len(a) and len(b) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**52:
+    """Exact integer products; in floating point while all sums stay under 2^53, of Python's integers where they could leave 63 bits."""
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] if len(a) and len(b) else 0.0
+    if most < 2**52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < 2**61:
+        return a @ b.T
+    wide = a.astype(object) @ b.astype(object).T
+    if max(wide.max(), -wide.min()) >= -NOTHING:
+        raise OverflowError("a score of 2^62 or more")
+    return wide.astype(np.int64)
 
 
 def search(q: np.ndarray, q_ids: np.ndarray, q_tree: Node, x: np.ndarray, copies: list[np.ndarray], x_tree: Node, best: Best) -> None:
@@ -167,8 +174,13 @@ def search(q: np.ndarray, q_ids: np.ndarray, q_tree: Node, x: np.ndarray, copies
 def components(vector: Column, scale: float = 256.0) -> Column:
     """Integer components; null where the vector takes no part."""
     floats = F.transform(vector, lambda v: v.cast("double"))
-    fine = F.forall(floats, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0**40))
-    return F.when((F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.transform(floats, lambda v: F.floor(v * scale).cast("long")))
+    fine = F.forall(floats, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+    def whole(v: Column) -> Column:
+        large = (F.abs(v * scale) >= 2.0**63) & (F.abs(v) < float("inf"))
+        return F.when(large, F.raise_error(F.lit("a vector component too large for 64 bits")).cast("long")).otherwise(F.floor(v * scale).cast("long"))
+
+    return F.when((F.size(vector) > 0) & F.coalesce(fine, F.lit(False)), F.transform(floats, whole))
 
 
 def _matrix(rows: list) -> np.ndarray:
