@@ -59,9 +59,17 @@ def remove_written(spark: SparkSession) -> int:
     return n
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, f"__wm_{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def text_of(name: str) -> Column:
     """The column as text, null as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def n_words(text: Column) -> Column:

@@ -1,20 +1,26 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element, with white space inside a
-line made one space and character references decoded. Lines inside elements
-that never hold an article (menus, headers, footers, sidebars, forms, scripts,
-styles) or whose class or id names an advert, a notice or comments weigh
-nothing; lines of a marked article that weigh something are always kept.
-Text lengths of the others are summed over sliding windows of lines. A surge
-point is where a window's sum rises from zero past the threshold, a dive point
-where it falls back to zero; between them every line that weighs something is
-kept, and so is a short stretch next to a kept one, such as a headline. A class
-that would also take in a marked article counts for what surrounds the article
-only (a page with a sidebar is not a sidebar).
+line made one space and character references decoded. A line weighs the length
+of its text outside of links, a headline all of it. Weights are summed over
+sliding windows of lines: a surge point is where the sum rises from zero, a
+dive point where it falls back to zero. A stretch between them that reaches the
+threshold is kept with all its lines, and so is a short stretch next to a kept
+one, such as a headline; lines of a marked article stay in any case.
+
+Some elements take no part, so that their lines weigh nothing and stay out:
+menus, headers, footers, sidebars, dialogs and controls by their tags, hidden
+ones, forms, reader comments, and elements that a word of class, id or role
+names an advert, a notice or the like. As wrappers of whole pages carry such
+names too, text outranks them: a named element that holds half of the page's
+text outside of links, or one with a weak name ("social", "legal") whose text
+is prose and not links, is no such part, nor is a form or a list of comments
+around page structure.
 
 One pass per page, no shuffle. Defined cases: null or empty html gives an
-empty text; unclosed and stray tags are tolerated; a page without any line over
-the threshold and without marked lines keeps its fullest stretch; repeated rows get equal results.
+empty text; unclosed and stray tags are tolerated; a page without any stretch over
+the threshold and without marked lines keeps its fullest stretch; repeated rows get equal results;
+columns beside html and text are kept.
 """
 
 from __future__ import annotations
@@ -22,109 +28,182 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spare, table
 
 #: Elements that start and end a line.
 BLOCKS = frozenset(
     "address article aside blockquote body br button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements whose content is never shown as text.
-RAW = frozenset("script style noscript template svg iframe textarea object canvas math".split())
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose content is never shown as text, with their ends.
+RAW = {x: re.compile(rf"</{x}\b[^>]*(?:>|\Z)", re.I) for x in "script style noscript template svg iframe textarea object canvas math".split()}
 #: Elements whose lines are never part of an article.
-OUTSIDE = frozenset("nav header footer aside form head menu dialog button select fieldset label".split())
+OUTSIDE = frozenset("nav header footer aside head menu dialog button select fieldset label".split())
 MARKED = frozenset(("article", "main"))
+#: Around one of these, a form or a list of comments is the page's frame; a form around an article, too.
+FRAMED = frozenset("main h1 header footer nav".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark such lines.
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|footer|header|masthead|comments?\w*|disqus|replies|respond|related|recommend\w*|share|sharing|social|search|login|toolbar|pagination|pager|legal|copyright|navigation|complementary|contentinfo|dialog)(?:$|[\s_-])",
+#: Words of class, id and role that name parts beside an article; the weak ones name topics, too.
+NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|widget\w*|footer|header|masthead|related|recommend\w*|sharing|toolbar|pagination|pager|copyright|complementary|contentinfo|dialog)(?:$|[\s_-])",
     re.I,
 )
+WEAK_NAMES = re.compile(r"(?:^|[\s_-])(?:side|share|social|search|login|legal)(?:$|[\s_-])", re.I)
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-#: Of these, an article inside stays outside.
-COMMENT_NAMES = re.compile(r"comment|disqus|repl(?:y|ies)|respond|related|recommend", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
-
-
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, weighs something, inside a marked article) of each line with text, in page order."""
-    lines: list[tuple[str, bool, bool]] = []
-    parts: list[str] = []
-    open_: list[tuple[str, int, int, int]] = []  # element, and what holds outside of it: hard and soft exclusions, marked articles
-    hard = soft = marked = 0  # soft exclusions, by class, end at a marked article
+APART = re.compile(r"[\W_]+")
+
+
+@dataclass
+class Part:
+    """An element that may be a part beside the article: kind is out, comments, form, named or weak."""
+
+    kind: str
+    framed: bool = False  # holds page structure
+    prose: int = 0  # characters outside of links
+    linked: int = 0
+    lines: int = 0
+    marked: int = 0  # lines in marked articles
+
+
+@dataclass
+class Line:
+    text: str
+    prose: int  # characters outside of links
+    headline: bool
+    marked: bool  # inside a marked article
+    parts: list[Part] = field(default_factory=list)
+    out: bool = False
+
+
+def lines_of(page: str, threshold: int = 40) -> list[Line]:
+    """The lines with text, in page order, told which are out."""
+    lines: list[Line] = []
+    texts: list[str] = []
+    linked = 0
+    open_: list[tuple[str, list[Part], bool, bool]] = []  # element, and what holds outside of it: parts, marked, in a link
+    parts: list[Part] = []
+    marked = link = False
     at, end = 0, len(page)
-    low = ""
 
-    def flush() -> None:
-        if parts:
-            text = SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
-            parts.clear()
+    def flush(headline: bool) -> None:
+        nonlocal linked
+        if texts:
+            text = SPACE.sub(" ", html_lib.unescape("".join(texts))).strip()
             if text:
-                lines.append((text, not hard and not soft, marked > 0))
+                prose = max(0, len(APART.sub("", text)) - linked) if linked else len(text)  # between links, bars and spaces are no text
+                lines.append(Line(text, prose, headline, marked, parts))
+            texts.clear()
+        linked = 0
+
+    def add(raw: str) -> None:
+        nonlocal linked
+        texts.append(raw)
+        if link:
+            linked += len(APART.sub("", html_lib.unescape(raw)))
 
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if name in BLOCKS:
-            flush()
+            flush(any(x[0] in HEADLINES for x in open_[-4:]))
         if m[1]:
             if any(x[0] == name for x in open_):
                 while True:
-                    tag, hard, soft, marked = open_.pop()
+                    tag, parts, marked, link = open_.pop()
                     if tag == name:
                         break
             continue
+        attributes = m[3]
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                low = low or page.lower()
-                stop = low.find(f"</{name}", at)
-                close = page.find(">", stop) if stop >= 0 else -1
-                at = close + 1 if close >= 0 else end
+            if not attributes.rstrip().endswith("/"):
+                stop = RAW[name].search(page, at)
+                at = stop.end() if stop else end
             continue
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/"):
             continue
         if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and open_ and open_[-1][0] == name:
-            _, hard, soft, marked = open_.pop()
-        open_.append((name, hard, soft, marked))
-        named = [a or b or c or "" for a, b, c in ATTRIBUTE.findall(m[3])] if m[3] and name not in ("html", "body") else []
-        out = [n for n in named if OUTSIDE_NAMES.search(n)]
+            _, parts, marked, link = open_.pop()
+        if name == "a" and link:
+            continue
+        open_.append((name, parts, marked, link))
+        link = link or name == "a"
+        if name in FRAMED or name == "article":
+            for p in parts:
+                p.framed |= name in FRAMED or p.kind == "form"
+        named = [a or b or c or "" for a, b, c in ATTRIBUTE.findall(attributes)] if attributes and name not in ("html", "body") else []
+        if (name in OUTSIDE and not (name == "header" and marked)) or (attributes and name not in ("html", "body") and HIDDEN.search(attributes)):
+            kind = "out"
+        elif any(COMMENT_NAMES.search(x) for x in named):
+            kind = "comments"
+        elif name == "form":
+            kind = "form"
+        elif any(NAMES.search(x) for x in named):
+            kind = "named"
+        elif any(WEAK_NAMES.search(x) for x in named):
+            kind = "weak"
+        else:
+            kind = ""
+        if kind:
+            parts = [*parts, Part(kind)]
         if name in MARKED:
-            marked += 1
-            if any(COMMENT_NAMES.search(n) for n in out):
-                hard += 1
-            else:
-                soft = 0
-        elif (name in OUTSIDE and not (name == "header" and marked)) or any(COMMENT_NAMES.search(n) for n in out) or (m[3] and HIDDEN.search(m[3])):
-            hard += 1
-        elif out:
-            soft += 1
-    flush()
+            marked = True
+    flush(any(x[0] in HEADLINES for x in open_[-4:]))
+    return _judged(lines, threshold)
+
+
+def _judged(lines: list[Line], threshold: int) -> list[Line]:
+    """Marks the lines that are out: those of a part that isn't the page's own text."""
+
+
+    def apart(p: Part) -> bool:
+        return p.kind == "out" or (p.kind in ("comments", "form") and not p.framed)
+
+    surely = [any(map(apart, x.parts)) for x in lines]
+    prose = sum(x.prose for x, out in zip(lines, surely) if not out)
+    marked = sum(x.marked for x, out in zip(lines, surely) if not out)
+    for x, out in zip(lines, surely):
+        for p in x.parts:
+            p.lines += 1
+            p.linked += len(x.text) - x.prose
+            if not out:
+                p.prose += x.prose
+                p.marked += x.marked
+
+    def beside(p: Part) -> bool:
+        if p.kind not in ("named", "weak"):
+            return apart(p)
+        if p.prose * 2 >= prose > 0 and p.lines > 1 and p.marked == marked:
+            return False
+        return p.kind == "named" or p.linked >= p.prose or p.prose < threshold * p.lines
+
+    for x in lines:
+        x.out = any(beside(p) for p in x.parts)
     return lines
 
 
-def main_text(page: str | None, window: int = 3, threshold: int = 40) -> str:
-    """The page's main text: marked lines and those between surge and dive points, joined by newlines; without any, the fullest stretch."""
-    lines = lines_of(page or "")
-    sizes = [len(t) if weighs else 0 for t, weighs, _ in lines]
-    marked = [k for k, x in enumerate(lines) if x[2]]  # not looked for, so an advert inside doesn't part them
-    rest = [k for k, x in enumerate(lines) if not x[2]]
-    n = len(rest)
-    sums = [sum(sizes[k] for k in rest[i : i + window]) for i in range(n)]
-    stretches, i = [], 0
+def stretches(weights: list[int], window: int = 3) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, greatest window sum) from each surge point to its dive point."""
+    n = len(weights)
+    sums = [sum(weights[i : i + window]) for i in range(n)]
+    out, i = [], 0
     while i < n:
         if not sums[i]:
             i += 1
@@ -132,20 +211,31 @@ def main_text(page: str | None, window: int = 3, threshold: int = 40) -> str:
         start = i
         while i < n and sums[i]:
             i += 1
-        stretches.append((start, i, max(sums[start:i])))
-    full = [x[2] >= threshold for x in stretches]
-    kept = [x for i, x in enumerate(stretches) if any(full[max(0, i - 1) : i + 2])]
-    if not kept and not any(sizes[k] for k in marked):
-        kept = sorted(stretches, key=lambda x: -x[2])[:1]
-    shown = sorted(marked + [k for a, b, _ in kept for k in rest[a:b]])
-    return "\n".join(lines[k][0] for k in shown if sizes[k])
+        inside = [k for k in range(start, min(n, i + window - 1)) if weights[k]]
+        out.append((inside[0], inside[-1] + 1, max(sums[start:i])))
+    return out
+
+
+def main_text(page: str | None, window: int = 3, threshold: int = 40) -> str:
+    """The page's main text: marked lines and those between surge and dive points, joined by newlines; without any, the fullest stretch."""
+    lines = lines_of(page or "", threshold)
+    marked = [k for k, x in enumerate(lines) if x.marked and not x.out]
+    rest = [k for k, x in enumerate(lines) if not x.marked]  # marked lines aren't looked for, so an advert inside doesn't part them
+    found = stretches([0 if lines[k].out else len(lines[k].text) if lines[k].headline else lines[k].prose for k in rest], window)
+    full = [x[2] >= threshold for x in found]
+    kept = [x for i, x in enumerate(found) if any(full[max(0, i - 1) : i + 2])]
+    if not kept and not marked:
+        kept = sorted(found, key=lambda x: -x[2])[:1]
+    shown = sorted(marked + [k for a, b, _ in kept for k in rest[a:b] if not lines[k].out])
+    return "\n".join(lines[k].text for k in shown)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", window: int = 3, threshold: int = 40) -> DataFrame:
     """pages without its html, with the main text under text_col."""
     keep = [c for c in pages.columns if c not in (html_col, text_col)]
-    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("__wm_html"))
-    schema = source.drop("__wm_html").schema.add(text_col, "string")
+    page = spare(pages, "html")
+    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias(page))
+    schema = source.drop(page).schema.add(text_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
