@@ -300,17 +300,64 @@ def test_personal_data(spark):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in r.pii if s.kind in pii.BASE] == brute_pii(r.text)
     loose = {r.doc_id: [s.kind for s in r.pii if s.kind not in pii.BASE] for r in rows}
     assert loose[12] == ["phone_local"] and loose[13] == [] and loose[14] == ["email_words"] and loose[15] == ["bank_account"]
+    assert loose[5] == ["card_like"]
+
+
+#: Words that neither the features nor the training sentences hold.
+HELD_CUES = dict(zip(pii.LOOSE, (("ping", "sende an"), ("giro", "remit to"), ("credit", "debit"), ("passport", "dni"), ("ring", "handy"))))
 
 
 def test_detector_generalises(spark):
     detector = pii.fit_detector(spark)
-    rows = pii.training_rows(400, seed=99)
+    rows = pii.training_rows(1500, seed=99, cues=HELD_CUES, other_cues=("docket", "shipment", "firmware", "voucher", "log"))
     made = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "i int, text string, y double")
-    s = made.select("y", "text", F.explode(pii.loose_spans(F.col("text"))).alias("s"))
-    got = s.select("y", F.array(*pii.features_of(F.col("text"), F.col("s"))).alias("x")).collect()
+    got = made.select("y", F.explode(pii.loose_spans(F.col("text"))).alias("s")).select("y", "s.kind", pii.features_of(F.col("s")).alias("x")).collect()
     p = detector.model.probability(np.array([r.x for r in got]))
-    y = np.array([r.y for r in got])
-    assert ((p >= detector.threshold) == (y == 1)).mean() > 0.9
+    y, kind = np.array([r.y for r in got]), np.array([r.kind for r in got])
+    taken = p >= np.array([detector.thresholds[pii.LOOSE.index(k)] for k in kind])
+    for k in pii.LOOSE:
+        assert taken[(kind == k) & (y == 1)].mean() >= 0.95, k  # recall
+        assert y[(kind == k) & taken].mean() >= 0.7, k  # precision; half the other values have the same format behind an unknown word
+    assert y[taken].mean() >= 0.8
+
+
+def test_trees_as_columns(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 4)).round(2)
+    model = pii.boosting.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, x array<double>")
+    got = df.orderBy("i").select(model.column([F.get("x", F.lit(j)) for j in range(4)]).alias("p")).collect()
+    assert np.allclose([g.p for g in got], model.probability(x))
+
+
+def test_added_spans_overlap_nothing(spark):
+    r = random.Random(6)
+    parts = ["555-123-4567", "+1 (555) 123-4567", "4111 1111 1111 1111", "1234567890123456", "123-45-6789", "DE89 3704 0044 0532 0130 00", "a@b.co", "bob [at] ex [dot] com", "1.2.3.4", "12", "-", "call"]
+    rows = [(i, "".join(r.choice(parts) + r.choice((" ", "", " ", "-", ".")) for _ in range(r.randrange(1, 14))), 1, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __wm_clean int, pii string")
+    out = pii.detect(df, pii.fit_detector(spark)).collect()
+    added = 0
+    for row in out:
+        base = [s for s in row.pii if s.kind in pii.BASE]
+        loose = [s for s in row.pii if s.kind not in pii.BASE]
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in base] == brute_pii(row.text)
+        assert all(row.text[s.start : s.end] == s.text for s in row.pii)
+        assert not any(a.start < b.end and b.start < a.end for a in loose for b in base)
+        assert not any(a is not b and a.start < b.end and b.start < a.end for a in loose for b in loose)
+        assert row["__wm_clean"] == 1
+        added += len(loose)
+    assert added > 100
+
+
+@pytest.mark.parametrize("n", [255, 256, 257, 3000])
+def test_places_of_many_matches(spark, n):
+    text = "".join(f"é{'x' * (i % 7)}a{i}@b.co " for i in range(n))
+    found = spark.createDataFrame([(1, text)], "doc_id long, text string").select(pii.base_spans(F.col("text")).alias("s")).first().s
+    assert [f"{x.kind}:{x.start}:{x.end}" for x in found if x.kind == "email"] == [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+
+
+def test_personal_data_of_nothing(spark):
+    assert pii.detect(spark.createDataFrame([], "doc_id long, text string"), pii.fit_detector(spark)).count() == 0
 
 
 def brute_secrets(t):

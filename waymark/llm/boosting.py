@@ -36,10 +36,13 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: float)
     return at[0], at[1], _grow(x[low], g[low], h[low], depth - 1, least), _grow(x[~low], g[~low], h[~low], depth - 1, least)
 
 
-def _value(node: Node, row: np.ndarray) -> float:
-    while isinstance(node, tuple):
-        node = node[2] if row[node[0]] <= node[1] else node[3]
-    return node
+def _values(node: Node, x: np.ndarray) -> np.ndarray:
+    """The tree's value of each row."""
+    if not isinstance(node, tuple):
+        return np.full(len(x), node)
+    low, out = x[:, node[0]] <= node[1], np.empty(len(x))
+    out[low], out[~low] = _values(node[2], x[low]), _values(node[3], x[~low])
+    return out
 
 
 @dataclass
@@ -53,7 +56,7 @@ class Boosted:
     offset: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.array([self.bias + self.rate * sum(_value(t, r) for t in self.trees) for r in x])
+        return self.bias + self.rate * sum((_values(t, x) for t in self.trees), np.zeros(len(x)))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x) + self.offset, -500, 500)))
@@ -83,7 +86,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 16, depth: int = 3, rate: flo
         prob = 1 / (1 + np.exp(-score))
         tree = _grow(xt, yt - prob, prob * (1 - prob), depth, least)
         model.trees.append(tree)
-        score = score + rate * np.array([_value(tree, r) for r in xt])
+        score = score + rate * _values(tree, xt)
     raw, yh = model.raw(x[held]), y[held]
     a, b = 1.0, 0.0
     for _ in range(200):  # logistic regression of the held-out labels on the raw score
@@ -100,9 +103,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 16, depth: int = 3, rate: flo
     return model
 
 
-def threshold(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float = 0.95) -> float:
-    """The least held-out probability from which on precision holds; 1 if none does."""
-    held = np.arange(len(y)) % 3 == 2
+def threshold(model: Boosted, x: np.ndarray, y: np.ndarray, precision: float = 0.95, rows: np.ndarray | None = None) -> float:
+    """The least held-out probability from which on precision holds among the given rows; 1 if none does."""
+    held = (np.arange(len(y)) % 3 == 2) & (True if rows is None else rows)
     p, yh = model.probability(x[held]), y[held]
     for t in np.unique(p):
         if yh[p >= t].mean() >= precision:
