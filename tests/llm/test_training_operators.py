@@ -426,7 +426,7 @@ def test_quality_filter_matches_judgement(spark):
 
 
 def brute_top(rows, k):
-    good = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, a in good:
         if q % 50 == 0:
@@ -444,6 +444,7 @@ def test_top_k(spark):
     got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, 5)
     assert Counter(tuple(x) for x in got.collect()) == brute_top(rows, 5)
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
     few = topk.exact_top_k(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0, 5)
     assert few.count() == 2
 
@@ -465,10 +466,40 @@ def test_top_k_of_large_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 2**57), (0, 2, 2, 3 * 2**15), (0, 3, 4, 2**46 - 2**56)]
+    most = spark.createDataFrame([(0, [2.0**23, 0.0]), (1, [2.0**23 - 1, 0.0]), (2, [-(2.0**23), 0.0]), (3, [1.0, 1.0])], df.schema)
+    got = [tuple(r)[2:] for r in topk.exact_top_k(most, F.col("vec_id") == 1, 5).orderBy("rank").collect()]
+    assert got == [(0, (2**23 - 1) * 2**39), (3, (2**23 - 1) * 2**16), (2, -(2**23 - 1) * 2**39)]  # beyond 2^62, within 64 bits
     for i in (1, 5):  # a product, or a component, beyond 64 bits
-        far = df.unionByName(spark.createDataFrame([(5, [2.0**60, 1.0])], df.schema)) if i == 5 else df
-        with pytest.raises(Exception, match="too large|2\\^62"):
-            topk.exact_top_k(far, F.col("vec_id") == i, 5).collect()
+        far = df.unionByName(spark.createDataFrame([(5, [2.0**60, 1.0]), (6, [2.0**41, 0.0])], df.schema).where(f"vec_id >= {i}"))
+        with pytest.raises(Exception, match="too large|2\\^63"):
+            topk.exact_top_k(far.where(f"vec_id <> {6 - i}"), F.col("vec_id") == i, 5).collect()
+
+
+def test_top_k_of_repeated_ids_and_copies(spark):
+    r = random.Random(7)
+    rows = [(r.choice((0, 50, 50, r.randrange(200))), [float(r.randrange(3)), float(r.randrange(2))]) for _ in range(500)]
+    rows += [(50, [2.0, 1.0])] * 300 + [(100 + i % 7, [2.0, 1.0]) for i in range(300)] + [(r.randrange(100), [1.0]) for _ in range(9)] + [(7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in topk.exact_top_k(df, F.col("vec_id") % 50 == 0, 3).collect())
+    ints = [(i, [int(x * 256) for x in v] + [0] * (2 - len(v))) for i, v in rows]
+    want = Counter()
+    for q in {i for i, _ in ints if i % 50 == 0}:  # rows of one id answer as one query
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, a in ints if j == q for i, b in ints if i != q)[:3]
+        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert got == want
+
+
+def test_clusters_let_pairs_be_pruned():
+    r = np.random.default_rng(5)
+    centers = r.normal(size=(40, 32))
+    x = np.floor(256 * (centers[r.integers(0, 40, 6000)] + r.normal(size=(6000, 32)) * 0.05)).astype(np.int64)
+    q = x[:200]
+    best = topk.Best(len(q), 5)
+    scored = topk.search(q, np.arange(200), topk.build(q.astype(float)), x, [np.array([i]) for i in range(len(x))], topk.build(x.astype(float)), best)
+    assert scored < 0.3 * len(q) * len(x)  # the pruned share is 76 %
+    for i in range(0, 200, 20):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ q[i]) if j != i)[:5]
+        assert [(-int(s), int(j)) for s, j in zip(best.score[i], best.id[i])] == want
 
 
 # --- pages --------------------------------------------------------------------
