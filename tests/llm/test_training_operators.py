@@ -50,15 +50,45 @@ def test_curriculum_positions(spark):
     assert rows == mixing.in_training_order(mixing.stream(plan)).collect()
 
 
+def test_positions_invert_demand(spark):
+    """Positions against the integral of the schedules, worked out by hand in small steps."""
+    schedules = [((0.0, 3.0), (0.5, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 4.0))]
+    d = spark.createDataFrame([(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    rows = mixing.stream(mixing.plan(d, schedules)).collect()
+    steps = 64
+    grid = mixing._mean_share(schedules, steps)
+    for k, source in enumerate("ab"):
+        share = [grid[k][i] / (grid[0][i] + grid[1][i]) for i in range(steps)]
+        total, run = sum(share), 0.0
+        mine = sorted((r.position, r.words) for r in rows if r.source == source)
+        words_ = sum(w for _, w in mine)
+        for position, w in mine:
+            run += w
+            i = min(steps - 1, int(position * steps))
+            demand = (sum(share[:i]) + share[i] * (position * steps - i)) / total
+            assert abs(demand * words_ - (run - w / 2)) < 1e-6 * words_ + 1
+
+
 def test_mixed_documents(spark):
-    d = frame(spark, [r for r in documents() if r[0] is not None])
+    d = frame(spark).withColumns({"__wm_id": F.lit(1), "__WM_Row": F.lit(2), "copies": F.lit(3)})
     mixed = mixing.mix_documents(d, mixing.FIXED_WEIGHTS)
-    taken = {}
+    taken = Counter()
     for r in mixing.plan(d, mixing.FIXED_WEIGHTS).collect():
-        taken.setdefault(r.doc_id, []).append(-(-r.taken // r.size) if r.size else 0)
-    got = Counter(r.doc_id for r in mixed.collect())
+        taken[r.doc_id, r.source] += -(-r.taken // r.size) if r.size else 0
+    got = Counter((r.doc_id, r.source) for r in mixed.collect())
     assert mixed.columns == d.columns
-    assert all(got[i] == max(n) * len(n) for i, n in taken.items())
+    assert got == +taken
+
+
+def test_mixed_rows_with_equal_or_null_ids(spark):
+    rows = [(None if i % 2 else 3, "w " * 10, "a" if i < 40 else "b") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mixing.plan(d, [((0.0, 1.0),), ((0.0, 1.0),)]).collect()
+    got = Counter(r.source for r in mixing.mix_documents(d, [((0.0, 1.0),), ((0.0, 1.0),)]).collect())
+    want = Counter()
+    for r in planned:
+        want[r.source] += -(-r.taken // r.size)
+    assert got == want and 29 <= got["a"] <= 31 and 29 <= got["b"] <= 31
 
 
 def test_mix_of_nothing(spark):

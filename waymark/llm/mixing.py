@@ -15,28 +15,33 @@ offsets, so a source that holds a third of all rows is spread evenly.
 Defined cases: null text has size 0; null sources form one source of their
 own, last in order; rows with equal ids and sizes are separate rows; an empty
 table gives an empty result; columns other than id, text and source are not
-read.
+read, or kept where rows are returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, table, text_of
+from .common import let, materialize, n_words, spare, table, text_of
 
 #: Hash cells of one source; a cell of a source with 10^10 rows has 2.4 million.
 CELLS = 4096
 Schedule = Sequence[tuple[float, float]]
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "0") -> DataFrame:
-    """(id, source, size, order key, cell) of every document."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+def _mean(xs) -> Column:
+    """Mean of an array, exact where all elements are equal."""
+    return F.get(xs, F.lit(0)) + F.aggregate(xs, F.lit(0.0), lambda t, x: t + (x - F.get(xs, F.lit(0)))) / F.size(xs)
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "0", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, source, size, order key, cell) of every document, and the columns to keep."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), n_words(text_of(text_col)).alias("size"), key.alias("okey"))
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("src"), n_words(text_of(text_col)).alias("size"), key.alias("okey"), *[F.col(f"`{c}`") for c in keep])
         .withColumn("cell", F.conv(F.substring("okey", 1, 3), 16, 10).cast("int"))
     )
 
@@ -86,11 +91,11 @@ def source_targets(cells: DataFrame, schedules: Sequence[Schedule], max_repeats:
     ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())) - 1)
     ranked = ranked.withColumn("w", F.element_at(weights, (F.col("rank") % len(grid) + 1).cast("int")))
     whole = Window.partitionBy()
-    # share of each step, over all sources
+    # a source's demand rate at each step is its share of all weights there, in units of the mean weight of all sources
     sums = F.array(*[F.sum(F.element_at("w", i + 1)).over(whole) for i in range(steps)])
-    ranked = ranked.withColumn("sums", sums).withColumn("share", F.zip_with("w", "sums", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))))
-    constant = all(len(set(k)) == 1 for k in grid)
-    total_weight = F.element_at("w", 1) if constant else F.aggregate("share", F.lit(0.0), lambda a, b: a + b) / steps
+    ranked = ranked.withColumn("sums", sums).withColumn("level_weight", _mean(F.col("sums")))
+    ranked = ranked.withColumn("share", F.zip_with("w", "sums", lambda a, b: F.when(b > 0, a * (F.col("level_weight") / b)).otherwise(F.lit(0.0))))
+    total_weight = _mean(F.col("share"))  # its integral over training time
     ranked = ranked.withColumn("weight", total_weight).withColumn("cap", F.col("source_size") * max_repeats)
     by_fill = Window.orderBy(F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).asc_nulls_last(), F.col("rank"))
     here = by_fill.rowsBetween(Window.unboundedPreceding, -1)
@@ -106,14 +111,14 @@ def source_targets(cells: DataFrame, schedules: Sequence[Schedule], max_repeats:
     return filled.withColumn("target", target).withColumn("share_sum", share_sum).select("src", "source_size", "target", curve.alias("curve"))
 
 
-def plan(docs: DataFrame, schedules: Sequence[Schedule], max_repeats: int = 3, steps: int = 64, seed: str = "0", **cols: str) -> DataFrame:
-    """One row per document: size, source_size, target, first_word (its place in the source's order), taken, curve.
+def plan(docs: DataFrame, schedules: Sequence[Schedule], max_repeats: int = 3, steps: int = 64, seed: str = "0", keep: Sequence[str] = (), **cols: str) -> DataFrame:
+    """One row per document, with the columns to keep: size, source_size, target, first_word (its place in the source's order), taken, curve.
 
     taken is exact: whole passes over the source, then documents in order until
     the target, the last of them in part. A source's taken words are its target
     rounded down, and no document is taken more than max_repeats times.
     """
-    sized = materialize(sizes(docs, seed=seed, **cols), "sizes")  # texts are read once
+    sized = materialize(sizes(docs, seed=seed, keep=keep, **cols), "sizes")  # texts are read once
     cells = cells_of(sized)
     targets = source_targets(cells, schedules, max_repeats, steps)
     # small tables: one row per source, one per (source, cell); the join with documents is on the cell, so no source is one key
@@ -128,25 +133,39 @@ def plan(docs: DataFrame, schedules: Sequence[Schedule], max_repeats: int = 3, s
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("first_word", first).withColumn("passes", passes).withColumn("left", budget - passes * F.col("source_size"))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("first_word")))
-    return rows.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).alias("taken"), "first_word", "curve")
+    return rows.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).alias("taken"), "first_word", "curve", *[F.col(f"`{c}`") for c in keep])
 
 
-def stream(planned: DataFrame) -> DataFrame:
-    """One row per copy of a document that the mix takes: copy number, words and position in [0, 1].
+def with_copies(planned: DataFrame) -> DataFrame:
+    """planned with ``copies``: array of (copy, words, position in [0, 1]) that the mix takes of the document.
 
-    The copy's middle word is the source's demand at its position; the curve is
-    inverted by linear interpolation between steps.
+    A copy's middle word is the source's demand at its position: cumulative
+    demand is inverted by linear interpolation between steps.
     """
-    copies = planned.where("taken > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))).alias("copy"))
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("first_word") + words / 2) / F.col("target"))
     curve = F.concat(F.array(F.lit(0.0)), F.col("curve"))
-    copies = copies.withColumn("words", words).withColumn("share", share).withColumn("curve", curve)
-    step = F.greatest(F.lit(1), F.least(F.size("curve") - 1, F.size(F.filter("curve", lambda x: x < F.col("share")))))
-    copies = copies.withColumn("step", step).withColumn("low", F.expr("element_at(curve, step)")).withColumn("high", F.expr("element_at(curve, step + 1)"))
-    inside = F.when(F.col("high") > F.col("low"), (F.col("share") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(0.0))
-    position = (F.col("step") - 1 + inside) / (F.size("curve") - 1)
-    return copies.select("doc_id", "source", "copy", "words", position.alias("position"))
+    number = F.when((F.col("taken") > 0) & (F.col("size") > 0), F.ceil(F.col("taken") / F.greatest(F.lit(1), "size")).cast("int")).otherwise(0)
+
+    def words(i: Column) -> Column:
+        return F.least(F.col("size"), F.col("taken") - i * F.col("size"))
+
+    def inverse(share: Column) -> Column:
+        step = F.greatest(F.lit(1), F.least(F.size("curve"), F.size(F.filter(curve, lambda x: x < share))))
+        low, high = F.get(curve, step - 1), F.get(curve, step)
+        return (step - 1 + F.when(high > low, (share - low) / (high - low)).otherwise(F.lit(0.0))) / F.size("curve")
+
+    def one(i: Column) -> Column:
+        share = F.least(F.lit(1.0), (i * F.col("source_size") + F.col("first_word") + words(i) / 2) / F.col("target"))
+        return F.struct(i.alias("copy"), words(i).alias("words"), let(share, inverse).alias("position"))
+
+    none = F.array().cast("array<struct<copy:int,words:bigint,position:double>>")
+    return planned.withColumn("copies", F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), one)).otherwise(none))
+
+
+def stream(planned: DataFrame) -> DataFrame:
+    """One row per copy of a document that the mix takes: copy number, words and position in [0, 1]."""
+    extra = [F.col(f"`{c}`") for c in planned.columns if c not in ("doc_id", "source", "size", "source_size", "target", "taken", "first_word", "curve")]
+    copies = with_copies(planned).select("doc_id", "source", F.explode("copies").alias("c"), *extra)
+    return copies.select("doc_id", "source", "c.copy", "c.words", "c.position", *extra)
 
 
 def in_training_order(copies: DataFrame) -> DataFrame:
@@ -159,13 +178,15 @@ def mix_documents(docs: DataFrame, schedules: Sequence[Schedule], max_repeats: i
 
     Copies are whole: a row of which the mix takes a part is there once for it.
     Rows that the mix doesn't take, as their source has more than its share,
-    and rows without words fall away. Rows with equal ids share one fate.
+    and rows without words fall away. Rows are numbered in a written table, so
+    rows with equal or null ids each have their own copies.
     """
-    planned = plan(docs, schedules, max_repeats, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col)
-    placed = stream(planned).groupBy(F.col("doc_id").alias("__wm_id"), F.col("copy").alias("__wm_copy")).agg(F.min("position").alias("__wm_position"))
-    rows = docs.join(placed, F.col(f"`{id_col}`").eqNullSafe(F.col("__wm_id")))
-    order = ("__wm_position", "__wm_id", "__wm_copy")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, copy, at = (spare(docs, x) for x in ("row", "copy", "position"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    planned = plan(numbered, schedules, max_repeats, seed=seed, keep=(row,), id_col=id_col, text_col=text_col, source_col=source_col)
+    placed = stream(planned).select(F.col(row), F.col("copy").alias(copy), F.col("position").alias(at))
+    rows = numbered.join(placed, row)
+    return rows.repartitionByRange(at, row, copy).sortWithinPartitions(at, row, copy).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Production schedules: sources weigh 5, 2, 1 in turn, alike at all times.
@@ -173,8 +194,12 @@ FIXED_WEIGHTS: tuple[Schedule, ...] = (((0.0, 5.0),), ((0.0, 2.0),), ((0.0, 1.0)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    return plan(table(spark, sf_dir, "documents"), FIXED_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
+    """Every document in order of the training position of its first copy: what its copies in the mix take, and where; rows that aren't taken last."""
+    rows = with_copies(plan(table(spark, sf_dir, "documents"), FIXED_WEIGHTS))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda t, c: t + c["words"])
+    first = F.get("copies", F.lit(0))["position"]
+    out = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("copies").cast("long").alias("n_copies"), F.coalesce(first, F.lit(2.0)).alias("position"))
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").drop("position")
 
 
 OP1_SQL = r"""
@@ -195,6 +220,7 @@ o AS (
   FROM d)
 SELECT o.doc_id, o.size, t.source_size, t.target,
        CAST(CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END * o.size
-         + greatest(0, least(o.size, CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT % t.source_size ELSE 0 END - o.first_word)) AS BIGINT) AS taken
+         + greatest(0, least(o.size, CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT % t.source_size ELSE 0 END - o.first_word)) AS BIGINT) AS taken,
+       CASE WHEN taken > 0 THEN (taken + o.size - 1) // o.size ELSE 0 END AS n_copies
 FROM o JOIN t ON o.src IS NOT DISTINCT FROM t.src
 """
