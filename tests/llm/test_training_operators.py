@@ -423,33 +423,90 @@ def test_trigram_queries_miss_nothing(spark):
 # --- quality ------------------------------------------------------------------
 
 
-def test_quality_features(spark):
-    rows = quality.with_features(frame(spark)).collect()
-    for r in rows:
-        t = r.text or ""
+def brute_quality(rows):
+    """(values of the contract, votes) of each text, word by word."""
+    out = []
+    for t in rows:
+        t = t or ""
         w = WORD.findall(t)
         at = defaultdict(list)
         for i in range(len(w) - 4):
             at[tuple(w[i : i + 5])].append(i)
         covered = {j for places in at.values() if len(places) > 1 for i in places for j in range(i, i + 5)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        got = r.asDict()
-        assert [got[f"__wm_{k}"] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)]
-
-
-def test_label_model_finds_the_bad_rows():
-    counts = {(1, 1, 1): 900, (-1, 1, 1): 40, (1, -1, -1): 40, (1, 0, 1): 20}
-    model = quality.fit_label_model(counts)
-    assert len(model) == 4 and quality.fit_label_model({})
-
-
-def test_quality_filter_matches_judgement(spark):
-    d = frame(spark)
-    kept = quality.keep_good(d)
-    assert kept.columns == d.columns
-    f = quality.with_features(d.drop("__wm_text"))
-    want = quality.judge(f, quality.fit(f)).where("__wm_kept").count()
-    assert kept.count() == want and quality.keep_good(frame(spark, [])).count() == 0
+        n, chars, dup = len(w), sum(map(len, w)), len(lines) - len(set(lines))
+        ends, upper, shouts, distinct = t.count(".") + t.count("?"), sum("A" <= c <= "Z" for c in t), t.count("!"), len(set(w))
+        symbols = sum(t.count(c) for c in "#*$%&|<>")
+        vote = lambda bad, good: -1 if bad else 1 if good else 0
+        votes = (
+            vote(symbols / n > 0.2 if n else symbols > 0, symbols * 50 <= n), vote(upper > chars / 4, upper * 10 <= chars), vote(shouts > n / 3, shouts * 20 <= n),
+            vote(len(covered) * 5 > n, len(covered) * 50 <= n), vote(len(lines) >= 3 and dup > len(lines) / 3, dup * 20 <= len(lines)), vote(n >= 50 and distinct < n / 5, distinct * 2 >= n),
+            vote(n >= 50 and ends < n / 100, n <= ends * 40 <= 20 * n), vote(chars < 2.5 * n or chars > 12 * n, 4 * n <= chars <= 7 * n),
+        )
+        out.append(((n, chars, symbols, dup, len(covered)), votes))
+    return out
+
+
+def brute_model(votes, rounds=40):
+    """The same expectation-maximisation, document by document instead of by pattern."""
+    v = np.array(votes)
+    m, k = v.shape
+    belief = np.zeros((m, k + 1))
+    for i, row in enumerate(v):
+        bad = np.flatnonzero(row == -1)
+        belief[i, 0] = 0.99 if not len(bad) else 0.2 if len(bad) == 1 else 0.02
+        belief[i, 1 + (bad if len(bad) else np.arange(k))] = (1 - belief[i, 0]) / (len(bad) or k)
+    for _ in range(rounds):
+        own = np.eye(k + 1, k, -1)
+        bads, voted = belief.T @ (v == -1), belief.T @ (v != 0)
+        rate = (bads + np.where(own, 2, 0.1)) / (voted + np.where(own, 2.1, 2))
+        rate[0] = (bads[0] + 0.1) / (voted[0] + 20)
+        share = (belief.sum(axis=0) + 0.5) / (m + 0.5 + 0.5 * k)
+        logs = np.log(share) + (v == -1) @ np.log(rate).T + (v == 1) @ np.log(1 - rate).T
+        belief = np.exp(logs - logs.max(axis=1, keepdims=True))
+        belief /= belief.sum(axis=1, keepdims=True)
+    return belief[:, 0]
+
+
+def quality_texts():
+    r = random.Random(9)
+    prose = [" ".join(words(r, 9).replace("1", "").capitalize() + "." for _ in range(r.randrange(2, 12))) for _ in range(150)]
+    junk = [" ".join(w + r.choice(("###", "%%", "*")) for w in words(r, 40).split()) for _ in range(12)] + [words(r, 60).upper().replace(" ", "!! ") for _ in range(12)]
+    junk += ["\n".join([words(r, 6)] * 5) for _ in range(8)] + [words(r, 200) for _ in range(8)] + ["x" * 3 + " a" * 80]
+    return [x[1] for x in documents()] + prose + junk
+
+
+def test_quality_against_brute_force(spark):
+    texts = quality_texts()
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, __wm_text string")
+    prefix = quality.free_prefix(df)
+    featured = quality.with_features(df, prefix=prefix)
+    out = sorted(quality.judge(featured, quality.fit(featured, prefix), prefix=prefix).collect(), key=lambda x: x.doc_id)
+    want = brute_quality(texts)
+    good = brute_model([v for _, v in want])
+    for row, (values, _), p in zip(out, want, good):
+        got = row.asDict()
+        assert tuple(got[prefix + c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == values
+        assert abs(got[prefix + "posterior"] - p) < 1e-9
+        failed = values[0] < 10 or values[4] * 100 > values[0] * 20
+        assert got[prefix + "base_failed"] == failed and got[prefix + "kept"] == (not failed and p >= 0.5)
+    assert sum(x[prefix + "kept"] for x in out) > 100 and sum(not x[prefix + "kept"] for x in out) > 40
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if r[prefix + "kept"]}
+    assert quality.keep_good(df.limit(0)).count() == 0
+
+
+def test_label_model_of_nothing():
+    assert quality.fit_label_model({}) == [(0.0, [])]
+
+
+def test_quality_on_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).is_dir():
+        pytest.skip("needs the test tables")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality IS NOT NULL")
+    rows = quality.op8_quality_rules(spark, folder).join(labels, "doc_id").where("NOT base_failed").select("kept", "quality").collect()
+    assert sum(r.kept == (r.quality == 1) for r in rows) >= 0.97 * len(rows) > 100
 
 
 # --- top k --------------------------------------------------------------------

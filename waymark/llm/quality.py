@@ -9,7 +9,7 @@ good quality, from one term per rule and class, replaces all-must-pass filtering
 Everything on executors is built-in column functions. Defined cases: null text
 has no words and fails the base rule; repeated rows get equal results; an
 empty table gives an empty result; columns beside the text are kept or not
-read, and added ones are named ``__wm_*`` until the end.
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,13 +78,16 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
 
 
-def features(text: Column) -> Column:
-    """All features of a non-null text as one struct, computed once wherever it is used."""
-    return let(words_of(text), lambda w: let(lines_of(text), lambda l: F.struct(*[v.alias(k) for k, v in _values(text, w, l).items()])))
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of docs has."""
+    prefix = "__wm_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
 
 
 def with_features(docs: DataFrame, text_col: str = "text", prefix: str = "__wm_") -> DataFrame:
-    """docs with the features of FEATURES under the prefix."""
+    """docs with the features of FEATURES under the prefix, which its columns must not have."""
     out = docs.withColumn(f"{prefix}text", text_of(text_col))
     text = F.col(f"{prefix}text")
     out = out.withColumn(f"{prefix}words", words_of(text)).withColumn(f"{prefix}lines", lines_of(text))
@@ -193,14 +196,10 @@ def judge(featured: DataFrame, model: Model, threshold: float = 0.5, prefix: str
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
-    model = fit(with_features(docs.select(F.col(text_col).alias("text"))))
-
-    def verdict(x: Column) -> Column:
-        f = {k: x[k] for k in FEATURES}
-        return ~base_failed(f) & (posterior(model, list(votes(f).values())) >= threshold)
-
-    # one expression, so that pushing the filter down doesn't copy the features
-    return docs.where(let(features(text_of(text_col)), verdict))
+    prefix = free_prefix(docs)
+    featured = materialize(with_features(docs, text_col, prefix), "quality")  # features are worked out once
+    kept = judge(featured, fit(featured, prefix), threshold, prefix).where(F.col(f"{prefix}kept"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
