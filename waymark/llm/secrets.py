@@ -2,15 +2,19 @@ r"""Secret scans driven by a trigram index.
 
 From each rule's pattern a Boolean query over trigrams is derived: the regex is
 parsed, and a literal run of three or more characters that every match must
-hold gives an AND of its trigrams; alternatives give an OR. The index keeps,
-with each document, the postings of the trigrams that some query asks for
-(postings are partitioned by document, so intersecting them moves nothing
-between machines). A document is verified with a rule's pattern only where the
-rule's query holds; a rule without mandatory trigrams scans every document.
+hold gives an AND of its trigrams; alternatives give an OR. The inverted index
+is a written table of postings, (trigram, document) rows for the trigrams that
+some query asks for, where a document stands for all rows of equal text by a
+64-bit hash. A rule's candidates are the documents whose postings, met by
+document, satisfy its query; a rule without mandatory trigrams scans every
+document. Candidates go to the texts (as a broadcast if counted few, else by a
+join), and only there the rule's pattern verifies them: two texts of one hash
+cost a needless look, never a wrong span.
 
 Built-in column functions only. Defined cases: null text is empty; an empty
 text has no spans; overlapping spans of different rules are all reported;
-repeated rows get equal results; columns beside id and text are not read.
+repeated rows get equal results; columns beside the text are kept, whatever
+their names; a column named as the result gives way.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
-from .spans import clean, find, joined, ordered
+from .common import let, materialize, spare, table, text_of
+from .spans import NONE, clean, find, joined, ordered
 
 
 @dataclass(frozen=True)
@@ -50,6 +54,8 @@ RULES = (
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"),
 )
 BASE = ("assign", "access", "hex")
+#: Up to so many candidates, rows of a key and a few numbers, are broadcast.
+FEW_CANDIDATES = 250_000
 
 #: A query: None (everything), a trigram, or ("and" | "or", queries).
 Query = None | str | tuple[str, tuple["Query", ...]]
@@ -130,21 +136,32 @@ def trigrams_of(query: Query) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
-def index(docs: DataFrame, trigrams: Sequence[str], text_col: str = "text") -> DataFrame:
-    """docs with ``__wm_postings``: the numbers of the given trigrams that the text holds, case folded."""
-    low = docs.withColumn("__wm_low", F.lower(text_of(text_col)))
-    hits = [F.when(F.contains(F.col("__wm_low"), F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]
-    return low.withColumn("__wm_postings", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")).drop("__wm_low")
+def key_of(text: Column) -> Column:
+    """What a text is called in the index."""
+    return F.xxhash64(text)
 
 
-def holds(query: Query, trigrams: Sequence[str]) -> Column:
-    """Whether a document's postings satisfy the query."""
+def postings(docs: DataFrame, trigrams: Sequence[str], text_col: str = "text") -> DataFrame:
+    """(trigram, doc) of the given trigrams that each text holds, case folded; doc is the text's key."""
+    text = docs.select(text_of(text_col).alias("text")).select(F.lower("text").alias("low"), key_of(F.col("text")).alias("doc"))
+    hits = [F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]
+    return text.select(F.explode(F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")).alias("trigram"), "doc")
+
+
+def holds(query: Query, found: Column) -> Column:
+    """Whether an array of trigrams satisfies the query."""
     if query is None:
         return F.lit(True)
     if isinstance(query, str):
-        return F.array_contains("__wm_postings", trigrams.index(query))
-    parts = [holds(q, trigrams) for q in query[1]]
-    return reduce(lambda a, b: (a & b) if query[0] == "and" else (a | b), parts)
+        return F.array_contains(found, query)
+    return reduce(lambda a, b: (a & b) if query[0] == "and" else (a | b), [holds(q, found) for q in query[1]])
+
+
+def candidates(index: DataFrame, queries: Sequence[Query]) -> DataFrame:
+    """(doc, rules): the numbers of the queries that a document's postings satisfy, of those with trigrams; documents with none are left out."""
+    met = index.where(F.col("trigram").isin(sorted(set().union(*map(trigrams_of, queries))))).groupBy("doc").agg(F.collect_set("trigram").alias("found"))
+    rules = F.array_compact(F.array(*[F.when(holds(q, F.col("found")), F.lit(i)) for i, q in enumerate(queries) if q is not None]))
+    return met.select("doc", rules.alias("rules")).where(F.size("rules") > 0)
 
 
 def _passes(rule: Rule):
@@ -158,35 +175,44 @@ def count_of(spans: str, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
-    """docs with an array of spans (kind, rank, start, end, text), by start, then kind as listed."""
+    """docs with an array of spans (kind, rank, start, end, text), by start, then kind as listed; a column of that name gives way."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_of, queries)))
-    out = index(docs, trigrams, text_col).withColumn("__wm_clean", clean(text_of(text_col)))
+    body, doc, likely, *found = (spare(docs, x) for x in ("clean", "doc", "rules", *(f"rule{i}" for i in range(len(rules)))))
+    out = docs.withColumn(body, text_of(text_col))
+    if trigrams:
+        met = materialize(candidates(materialize(postings(docs, trigrams, text_col), "postings"), queries), "candidates")
+        met = met.select(F.col("doc").alias(doc), F.col("rules").alias(likely))
+        out = out.withColumn(doc, key_of(F.col(body))).join(F.broadcast(met) if met.count() <= FEW_CANDIDATES else met, doc, "left")
+    out = out.withColumn(body, clean(F.col(body)))
     for i, (r, q) in enumerate(zip(rules, queries)):
-        body = F.col("__wm_clean")
-        may = None if q is None else holds(q, trigrams)
-        spans = find(body, r.scan or r.pattern, r.kind, i, may)
-        if r.least:
-            spans = F.filter(spans, _passes(r))
-        out = out.withColumn(f"__wm_rule{i}", spans)
-    found = F.concat(*[F.col(f"__wm_rule{i}") for i in range(len(rules))])
-    return out.withColumn(out_col, ordered(found, False)).drop("__wm_postings", "__wm_clean", *[f"__wm_rule{i}" for i in range(len(rules))])
+        may = None if q is None else F.coalesce(F.array_contains(likely, i), F.lit(False))
+        spans = find(F.col(body), r.scan or r.pattern, r.kind, i, may)
+        out = out.withColumn(found[i], F.filter(spans, _passes(r)) if r.least else spans)
+    every = F.concat(*map(F.col, found)) if found else F.array().cast(NONE)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
+    return out.select(*kept, ordered(every, False).alias(out_col))
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """docs with each stretch of overlapping spans replaced by ``[SECRET]``; other rows and columns stay as they are."""
-    found = scan(docs, rules, text_col, "__wm_secrets")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(-1).alias("upto"))
-    text = F.col(f"`{text_col}`")
+    name = spare(docs, "secrets")
+    spans, text = F.col(name), F.col(f"`{text_col}`")
+    zero = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<a:int,b:int>>").alias("gaps"))
 
     def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["upto"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        end = F.greatest(acc["upto"], s["end"])
-        return F.struct(end.alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit("[SECRET]"))).otherwise(acc["out"]).alias("out"), end.alias("upto"))
-
-    redacted = F.aggregate("__wm_secrets", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__wm_secrets") > 0, redacted).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+        gap = F.struct(acc["upto"].alias("a"), s["start"].alias("b"))
+        gaps = F.when(s["start"] >= acc["upto"], F.array_append(acc["gaps"], gap)).otherwise(acc["gaps"])
+        return F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), gaps.alias("gaps"))
+
+    def rest(wide: Column) -> Column:
+        # four bytes a character, so that a place is found without counting
+        part = lambda g: F.decode(F.substring(wide, g["a"] * 4 + 1, (g["b"] - g["a"]) * 4), "UTF-32")
+        end = lambda acc: F.array_append(acc["gaps"], F.struct(acc["upto"].alias("a"), F.length(text).alias("b")))
+        return F.array_join(F.transform(F.aggregate(spans, zero, step, end), part), "[SECRET]")
+
+    found = scan(docs, rules, text_col, name)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, let(F.encode(text, "UTF-32"), rest)).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
