@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key."""
@@ -20,6 +22,24 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, order: Sequence[str], position: str = "position") -> DataFrame:
+    """df with each row's place from 1 in a total order of columns, without one task that sees all rows.
+
+    Rows are sorted by range and written with their place in their range; the
+    ranges' row counts, one each, are summed up on the driver.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the partition above and the place in it below bit 33
+    dealt = written(ranged.withColumn("__id", F.monotonically_increasing_id())).withColumn("__range", F.shiftright("__id", 33))
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("__range").agg(F.count(F.lit(1))).collect())
+    before, total = [], 0
+    for at, n in sizes:
+        before += [F.lit(at), F.lit(total)]
+        total += n
+    first = F.create_map(*before)[F.col("__range")] if before else F.lit(0)
+    return dealt.withColumn(position, (first + F.col("__id").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("__id", "__range")
+
+
 def in_order(value: Column, order: Column) -> Column:
     """Aggregate: an array of the values by order, nulls left out."""
     pairs = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))

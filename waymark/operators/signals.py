@@ -69,10 +69,32 @@ def snippet_address(text: Column, pin: str = r"\b[1-9][0-9]{5}\b") -> Column:
 
 
 def keyword_windows(text: Column, keyword: str, before: int = 160, after: int = 220, most: int = 1500) -> Column:
-    """Stretches around a keyword's matches, joined by dots, up to a number of characters; the text's start if there is none."""
-    cut = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{0,{before}}}(?:{keyword}).{{0,{after}}})"), 1)
-    joined = F.array_join(F.transform(cut, F.btrim), " … ")
-    return let(joined, lambda x: F.substring(F.when(x == "", text).when(F.length(x) < 400, F.concat_ws("\n", x, text)).otherwise(x), 1, most))
+    """Windows around a keyword's matches, trimmed and joined by dots, until they hold so many characters; the text's start if there is none.
+
+    Matches are wrapped in a private-use mark and their places summed up; the
+    pattern must not match the empty string. Windows of matches beyond the
+    limit are never cut.
+    """
+    mark, stand_in = "\ue000", "\ue001"
+    clean = F.translate(text, mark, stand_in)
+
+    def excerpt(t: Column, pieces: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            a = acc["at"] + F.length(F.get(pieces, i * 2))
+            b = a + F.length(F.get(pieces, i * 2 + 1))
+            low = F.greatest(F.lit(0), a - before)
+            window = F.regexp_replace(F.substring(t, low + 1, b + after - low), r"^\s+|\s+$", "")
+            more = F.struct(b.alias("at"), (acc["total"] + F.length(window) + F.when(F.size(acc["out"]) > 0, 1).otherwise(0)).alias("total"), F.array_append(acc["out"], window).alias("out"))
+            return F.when(acc["total"] >= most, acc).otherwise(more)
+
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("total"), F.array().cast("array<string>").alias("out"))
+        pairs = F.floor((F.size(pieces) - 1) / 2).cast("int")
+        windows = F.when(pairs > 0, F.aggregate(F.sequence(F.lit(0), pairs - 1), start, step, lambda acc: acc["out"]))
+        joined = F.coalesce(F.array_join(windows, " … "), t)
+        return let(joined, lambda x: F.substring(F.when((F.length(x) < 400) & (t != ""), F.when(x != "", F.concat_ws("\n", x, t)).otherwise(t)).otherwise(x), 1, most))
+
+    marked = F.regexp_replace(clean, F.lit(f"({keyword})"), F.lit(f"{mark}$1{mark}"))
+    return F.when(text.isNotNull(), let(clean, lambda t: let(F.split(marked, mark), lambda pieces: excerpt(t, pieces))))
 
 
 def contextual_name(raw: Column, role: Column) -> Column:

@@ -95,14 +95,17 @@ def url_usefulness(spark, sf):
     return read(spark, sf, "pages").select("page_id", urls.usefulness(F.col("url")).alias("usefulness"))
 
 
-@query("url_same_site", rf"WITH {SQL_URL} SELECT a.page_id AS left_id, b.page_id AS right_id FROM m AS a JOIN m AS b ON a.page_id < b.page_id AND (a.domain = b.domain OR ends_with(a.domain, '.' || b.domain) OR ends_with(b.domain, '.' || a.domain)) WHERE a.page_id % 5 = b.page_id % 5")
+@query("url_same_site", rf"""WITH {SQL_URL}, d AS (SELECT domain, count(*) AS n, min(page_id) AS first FROM m GROUP BY domain),
+r AS (SELECT a.domain, sum(b.n) - 1 AS others, min(b.first) AS first FROM d AS a JOIN d AS b ON a.domain = b.domain OR ends_with(a.domain, '.' || b.domain) OR ends_with(b.domain, '.' || a.domain) GROUP BY a.domain)
+SELECT page_id, domain, CAST(others AS BIGINT) AS n_same_site, first AS first_same_site FROM m JOIN r USING (domain)""")
 def url_same_site(spark, sf):
-    """A host meets each of its parent domains, so the suffix join is an equi join."""
-    p = read(spark, sf, "pages").select("page_id", urls.domain(F.col("url")).alias("d"), (F.col("page_id") % 5).alias("k"))
-    up = p.select("page_id", "k", "d", F.explode(urls.suffixes(F.col("d"))).alias("s"))
-    down = p.select(F.col("page_id").alias("other"), F.col("k").alias("k2"), F.col("d").alias("s"))
-    met = up.join(down, "s").where("k = k2 AND page_id <> other")
-    return met.select(F.least("page_id", "other").alias("left_id"), F.greatest("page_id", "other").alias("right_id")).distinct()
+    """Each page with the pages on its site: those of its domain, of parent domains and of subdomains; pages meet as counts of domains, never as pairs."""
+    p = read(spark, sf, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+    d = p.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+    up = d.select("domain", F.explode(urls.suffixes(F.col("domain"))).alias("parent")).join(d.select(F.col("domain").alias("parent")), "parent")
+    both = up.select(F.col("domain").alias("a"), F.col("parent").alias("b")).unionByName(up.select(F.col("parent").alias("a"), F.col("domain").alias("b"))).distinct()
+    site = both.join(d.withColumnRenamed("domain", "b"), "b").groupBy(F.col("a").alias("domain")).agg((F.sum("n") - 1).alias("n_same_site"), F.min("first").alias("first_same_site"))
+    return p.join(site, "domain").select("page_id", "domain", "n_same_site", "first_same_site")
 
 
 def hits(spark, sf) -> DataFrame:
@@ -538,9 +541,9 @@ def override_latest(spark, sf):
     return store.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
 
 
-@query("evidence_list", "SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS history FROM events WHERE user_id % 10 = 0 GROUP BY user_id")
+@query("evidence_list", "SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS history FROM events GROUP BY user_id")
 def evidence_list(spark, sf):
-    e = read(spark, sf, "events").where("user_id % 10 = 0")
+    e = read(spark, sf, "events")
     return e.groupBy("user_id").agg(F.array_join(ordered.in_order(F.col("event_type"), F.col("event_id")), ",").alias("history"))
 
 
@@ -582,11 +585,11 @@ def export_group(spark, sf):
     return export.decide(export_rows(spark, sf)).select("seq", "export_group", "export_reason", "manual_review")
 
 
-@query("export_sorted", f"{SQL_EXPORT} SELECT k AS seq, CAST(row_number() OVER (ORDER BY CASE grp WHEN 'LEAD' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, CASE WHEN k % 17 <> 0 THEN lower(c_name) END NULLS FIRST, c_mktsegment, k) AS INTEGER) AS position FROM h QUALIFY position <= 200")
+@query("export_sorted", f"{SQL_EXPORT} SELECT k AS seq, CAST(row_number() OVER (ORDER BY CASE grp WHEN 'LEAD' THEN 0 WHEN 'REVIEW' THEN 1 ELSE 2 END, CASE WHEN k % 17 <> 0 THEN lower(c_name) END NULLS FIRST, c_mktsegment, k) AS BIGINT) AS position FROM h")
 def export_sorted(spark, sf):
-    d = export.decide(export_rows(spark, sf))
-    order = [export.group_rank(F.col("export_group")), F.lower("business_name"), "website", "seq"]
-    return d.orderBy(*order).limit(200).select("seq", F.row_number().over(Window.orderBy(*order)).alias("position"))
+    """The place of every row in the order of the export, by a range sort."""
+    d = export.decide(export_rows(spark, sf)).withColumns({"g": export.group_rank(F.col("export_group")), "name": F.lower("business_name")})
+    return ordered.numbered(d.select("seq", "g", "name", "website"), ["g", "name", "website", "seq"]).select("seq", F.col("position").alias("position"))
 
 
 @query("export_csv_view", f"{SQL_EXPORT} SELECT CAST(k AS VARCHAR) AS seq, CASE WHEN k % 17 <> 0 THEN c_name ELSE '' END AS business_name, CASE WHEN k % 23 = 0 THEN 'TRUE' ELSE 'FALSE' END AS own_label, reason AS export_reason FROM h")
@@ -736,7 +739,7 @@ def business_signals(spark, sf):
 
 @query("identified_businesses")
 def identified_businesses(spark, sf):
-    p = page_source.page_evidence(read(spark, sf, "pages")).join(read(spark, sf, "pages").select("page_id", "url").dropDuplicates(["url"]), "url")
+    p = page_source.page_evidence(read(spark, sf, "pages")).join(read(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id")), "url")
     rows = p.withColumns({"seq": F.col("page_id"), "result_type": urls.classify(F.col("url"))})
     return identify.identify(rows).select("seq", "business_name", "website", "source_type", "name_source")
 
@@ -795,10 +798,12 @@ def reporting_buckets(spark, sf):
     return lead_rows(spark, sf).select("seq", lead.reporting_bucket().alias("bucket"))
 
 
-@query("seed_coverage", """SELECT s_suppkey AS seed_id, EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 9000 AND c_custkey = s_suppkey) AS in_leads FROM supplier WHERE s_suppkey < 9000""")
+@query("seed_coverage", """SELECT s_suppkey AS seed_id, EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey = s_suppkey) AS in_leads FROM supplier""")
 def seed_coverage(spark, sf):
-    s = read(spark, sf, "supplier").where("s_suppkey < 9000").select(F.col("s_suppkey").alias("seed_id"), F.concat(F.lit("The Shop "), (F.col("s_suppkey") + 1000).cast("string")).alias("seed_name"))
-    c = read(spark, sf, "customer").where("c_custkey % 3 = 0 AND c_custkey < 9000").select(F.concat(F.lit("Store "), (F.col("c_custkey") + 1000).cast("string")).alias("business_name"))
+    """Every supplier as a seed against every customer as a lead; two in three customers have a name of another number."""
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("seed_id"), F.concat(F.lit("The Shop "), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("seed_name"))
+    k = F.col("c_custkey")
+    c = read(spark, sf, "customer").select(F.concat(F.lit("Store "), F.lpad(F.when(k % 3 == 0, k).otherwise(k + 500_000_000_000).cast("string"), 12, "0")).alias("business_name"))
     return seeds.covered(s, c).select("seed_id", "in_leads")
 
 
