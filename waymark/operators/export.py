@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..functions.text import UNKNOWN, present
+from .classify import is_media_or_listicle
+from .graph import written
+from .resolve import ambiguous_names, merge_connected
 
 GROUPS = ("LEAD", "REVIEW", "EXCLUDED")
 #: Kinds of contradiction that exclude a record.
@@ -109,13 +113,100 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+# --- fixed values: columns of the lead files, in order, and the files ---------
+LEAD_COLUMNS = (
+    "business_name", "city", "address", "website", "instagram", "facebook", "phone", "email", "export_group", "export_reason", "business_type", "women_fashion_relevance", "physical_store",
+    "carries_other_brands", "potential_stockist", "stockist_lead", "confidence", "entity_quality", "manual_review", "discovered_by_queries", "source_urls", "export_evidence", "state", "country",
+    "physical_store_confidence", "fashion_relevance", "retail_model", "multi_brand_confidence", "fit_score", "geography_confidence", "business_confidence", "discovery_source", "discovery_source_url",
+    "discovery_source_type", "evidence_physical_store", "evidence_multi_brand", "evidence_fashion", "evidence_fit", "reason",
+)
+FILES = {"stockist_leads": None, "stockist_leads_only": "LEAD", "stockist_review_only": "REVIEW", "stockist_excluded": "EXCLUDED"}
+ENUMS = {"confidence": ("HIGH", "MEDIUM", "LOW"), "business_type": ("BOUTIQUE", "DESIGNER", "BRAND", "RETAILER", "MULTI_DESIGNER", "MARKETPLACE", UNKNOWN), "physical_store": ("YES", "NO", UNKNOWN), "fashion_relevance": ("HIGH", "MEDIUM", "LOW", UNKNOWN), "women_fashion_relevance": ("HIGH", "MEDIUM", "LOW", UNKNOWN)}
+BOM = "\ufeff"
+
+
+def load_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a JSON file: an array of them, or an object that holds them as business_candidates_llm; numbered by ``seq`` in order."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value"))
+    held = F.when(F.btrim("value").startswith("["), F.from_json("value", f"array<struct<{schema}>>")).otherwise(F.from_json("value", f"struct<business_candidates_llm:array<struct<{schema}>>>")["business_candidates_llm"])
+    return rehydrate(whole.select(F.posexplode(held).alias("seq", "r")).select("seq", "r.*"))
+
+
+def rehydrate(df: DataFrame) -> DataFrame:
+    """df with its enumerations in capitals and underscores; what is no member becomes UNKNOWN, LOW for confidence."""
+    made = {}
+    for name, members in ENUMS.items():
+        if name in df.columns:
+            value = F.upper(F.translate(F.btrim(F.coalesce(name, F.lit(""))), " -", "__"))
+            made[name] = F.when(value.isin(*members), value).otherwise("LOW" if name == "confidence" else UNKNOWN)
+    return df.withColumns(made)
+
+
+def export_keys() -> dict[str, Column]:
+    """Kind to key of a record for the export: stricter than the keys of merges.
+
+    A website counts if it is the business's own: no article, directory, video
+    or listicle, nor the domain of the listing that named it. An account counts
+    from profiles only, a phone from ten digits on.
+    Reads business_name, city, website, instagram, phone, source_url, source_type, title and signals.
+    """
+    site = urls.key_domain(F.col("website"))
+    listed = F.col("source_type").isin("ARTICLE", "DIRECTORY") & F.coalesce(urls.key_domain(F.col("source_url")) == site, F.lit(False))
+    foreign = F.coalesce(urls.classify(F.col("website")).isin("ARTICLE", "DIRECTORY", "VIDEO"), F.lit(False)) | F.col("__media") | listed
+    digits = urls.key_phone(F.col("phone"))
+    post = F.coalesce(urls.is_social_post(F.col("instagram")), F.lit(False)) | F.coalesce(urls.is_social_post(F.col("source_url")), F.lit(False))
+    return {"website": F.when(~foreign, site), "instagram": F.when(~post, urls.key_instagram(F.col("instagram"))), "phone": F.when(F.length(digits) >= 10, digits), "name_city": urls.key_name_city(F.col("business_name"), F.col("city"))}
+
+
+def with_media_flag(records: DataFrame) -> DataFrame:
+    """records with what export_keys() reads: whether the website's page is a publisher's or a list."""
+    given = {"title": F.col("business_name"), "signals": F.array().cast("array<string>"), "source_type": F.lit("WEBSITE")}
+    full = records.withColumns({k: v for k, v in given.items() if k not in records.columns} | {"__seq": F.col("seq")})
+    asked = full.select("__seq", F.col("website").alias("url"), F.coalesce("title", "business_name").alias("title"), F.lit("").alias("text"), "source_type", "signals").withColumn("__media", is_media_or_listicle())
+    return full.join(asked.select("__seq", "__media"), "__seq").drop("__seq")
+
+
+def export_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decided rows, one for each business after the merge over all chains of shared keys, and the names that stay ambiguous."""
+    ready = written(with_media_flag(records))
+    merged, pairs = merge_connected(ready, strict=True, keys=export_keys())
+    merged = written(merged)
+    names = written(ambiguous_names(merged, pairs, ready))
+    given = {c: F.first(c, True).alias(c) for c in ready.columns if c not in merged.columns and c not in ("__media", "seq")}
+    # fields that the merge doesn't know are the first member's
+    labelled = ready.join(merged.select("seq"), "seq", "left_semi")
+    kept = labelled.select("seq", *given) if given else labelled.select("seq")
+    wide = merged.join(kept, "seq").join(names.select(F.col("name").alias("__n")), F.lower("business_name") == F.col("__n"), "left")
+    wide = wide.withColumn("ambiguous", F.col("__n").isNotNull()).drop("__n")
+    return decide(wide), names
+
+
+def lead_files_view(df: DataFrame) -> DataFrame:
+    """The 39 columns of the lead files as text; columns that a table lacks are empty, and the reason falls back on the export's."""
+    made = []
+    for c in LEAD_COLUMNS:
+        source = "merged_source_urls" if c == "source_urls" and "merged_source_urls" in df.columns else c
+        made.append((F.col(source) if source in df.columns else F.lit("")).alias(c))
+    flat_ = flat(df.select(*made))
+    unknown = {c: F.when(F.col(c) == UNKNOWN, "").otherwise(F.col(c)) for c in LEAD_COLUMNS[:8]}
+    return flat_.withColumns(unknown | {"reason": F.when(F.col("reason") == "", F.col("export_reason")).otherwise(F.col("reason"))})
+
+
 def write_exports(df: DataFrame, folder: str) -> None:
-    """One CSV folder for each group and one for all rows, and all rows as JSON."""
-    ordered = export_order(df)
-    for g in GROUPS:
-        flat(ordered.where(F.col("export_group") == g)).write.mode("overwrite").csv(f"{folder}/{g.lower()}", header=True, encoding="UTF-8")
-    flat(ordered).write.mode("overwrite").csv(f"{folder}/all", header=True, encoding="UTF-8")
-    ordered.write.mode("overwrite").json(f"{folder}/json")
+    """Six outputs: CSV of all rows and of each group, all rows as JSON, and the summary.
+
+    CSV rows are in the export's order, and every part file starts with a byte
+    order mark before its header.
+    """
+    ordered = written(export_order(df))
+    for name, group in FILES.items():
+        rows = ordered if group is None else ordered.where(F.col("export_group") == group)
+        view = lead_files_view(export_order(rows))
+        marked = view.withColumnRenamed(LEAD_COLUMNS[0], BOM + LEAD_COLUMNS[0])
+        marked.write.mode("overwrite").csv(f"{folder}/{name}.csv", header=True, encoding="UTF-8", quoteAll=False, escape='"')
+    ordered.write.mode("overwrite").json(f"{folder}/stockist_leads.json")
+    counts, reasons = summary(ordered if "seq" in ordered.columns else ordered.withColumn("seq", F.monotonically_increasing_id()))
+    counts.select(F.lit("group").alias("kind"), F.col("export_group").alias("name"), "n").unionByName(reasons.select(F.lit("reason").alias("kind"), F.col("export_reason").alias("name"), "n")).write.mode("overwrite").json(f"{folder}/stockist_export_summary.json")
 
 
 # --- fixed values: columns of the flat shop list ------------------------------

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases as P
 from ..functions.text import clean_name, present
+from .graph import written
+from .ordered import round_robin
 from .resolve import merge_by_first_key
 
 
@@ -45,30 +47,78 @@ def plan_enrichment(pool: DataFrame, room: int = P.RESEARCH_CAPS["enrichment"],
 def plan_gaps(gaps: DataFrame, room: int = P.RESEARCH_CAPS["expansion"]) -> DataFrame:
     """(city, term, query) for places that nothing covers, templates in turn."""
     templates = F.array(*map(F.lit, P.GAP_TEMPLATES))
-    numbered = gaps.withColumn("i", F.row_number().over(Window.orderBy("city", "term")) - 1).where(F.col("i") < room)
-    return numbered.select("city", "term", F.concat_ws(" ", F.element_at(templates, (F.col("i") % len(P.GAP_TEMPLATES) + 1).cast("int")), F.initcap("term")).alias("query"))
+    few = gaps.orderBy("city", "term").limit(room)  # so the window sees room rows
+    return few.withColumn("i", F.row_number().over(Window.orderBy("city", "term")) - 1).select("city", "term", F.concat_ws(" ", F.element_at(templates, (F.col("i") % len(P.GAP_TEMPLATES) + 1).cast("int")), F.initcap("term")).alias("query"))
+
+
+def plan_initial(specs: DataFrame, limit: int) -> DataFrame:
+    """(seq, query, family, place) of round 1 from specs (seq, query, family, location, city).
+
+    A third of the slots goes to localities, as far as there are any; city
+    queries, then locality queries are dealt by family in turn, families in
+    order of appearance, and the rest is filled up in the order of specs.
+    """
+    city = F.lower("location") == F.lower("city")
+    order = specs.groupBy("family").agg(F.min("seq").alias("family_seq"))
+    known = specs.join(F.broadcast(order), "family")
+    n_local = specs.where(~city).limit(limit // 3).count()
+    chosen = round_robin(known.where(city), "family", "seq", F.col("family_seq"), limit - n_local).withColumn("part", F.lit(0))
+    chosen = chosen.unionByName(round_robin(known.where(~city), "family", "seq", F.col("family_seq"), n_local).withColumn("part", F.lit(1)))
+    rest = known.join(chosen.select(F.lower("query").alias("__q")).distinct(), F.lower("query") == F.col("__q"), "left_anti").withColumns({"part": F.lit(2), "position": F.col("seq").cast("int")})
+    once = rest.withColumn("__n", F.row_number().over(Window.partitionBy(F.lower("query")).orderBy("seq"))).where("__n = 1").drop("__n")
+    first = chosen.unionByName(once).orderBy("part", "position").limit(max(0, limit))
+    return first.withColumn("place", F.row_number().over(Window.orderBy("part", "position"))).select("seq", "query", "family", "place")
+
+
+def combine_members(members: DataFrame) -> DataFrame:
+    """One row for each merged business of its members' research (cluster, research_id, round, source, status, queries, researched_at).
+
+    The member of the earliest round, then least id, gives id, round and
+    source; queries are united in order of members; a cluster is enriched if
+    any member is or has been asked about, skipped if all are.
+    """
+    first = F.struct("round", "research_id")
+    asked = F.size("queries") > 0
+    out = members.groupBy("cluster").agg(
+        F.min_by("research_id", first).alias("research_id"), F.min("round").alias("round"), F.min_by("source", first).alias("source"),
+        F.max(F.coalesce((F.col("status") == "enriched") | asked, F.lit(False))).alias("__any"), F.min(F.coalesce(F.col("status") == "skipped", F.lit(False))).alias("__all"), F.coalesce(F.max("researched_at"), F.lit("")).alias("researched_at"),
+    )
+    each = members.select("cluster", "research_id", F.posexplode("queries").alias("pos", "query"))
+    seen = each.groupBy("cluster", "query").agg(F.min(F.struct("research_id", "pos")).alias("at"))
+    united = seen.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "query"))), lambda x: x["query"]).alias("queries"))
+    status = F.when(F.col("__any"), "enriched").when(F.col("__all"), "skipped").otherwise("pending")
+    return out.join(united, "cluster", "left").select("cluster", "research_id", "round", "source", status.alias("status"), F.coalesce("queries", F.array().cast("array<string>")).alias("queries"), "researched_at")
+
+
+def refreshed(pool: DataFrame) -> DataFrame:
+    """pool with missing fields and priority worked out anew, and a status: enriched stays, nothing to ask is skipped, else pending."""
+    out = with_priority(pool)
+    return out.withColumn("status", F.when(F.col("status") == "enriched", "enriched").when(F.col("priority") == 0, "skipped").otherwise("pending"))
 
 
 def research(initial: DataFrame, search: Callable[[DataFrame], DataFrame], gaps: Callable[[DataFrame], DataFrame], total: int = P.RESEARCH_CAPS["total"]) -> tuple[DataFrame, int]:
     """The pool after four rounds, and the queries spent.
 
+    Each plan is asked once: plans, answers and pools are written, so that no
+    later job calls the search again or sees another answer.
+
     initial: queries of round 1. search: queries to observations, ordered by
     ``seq``. gaps: the pool to queries of round 3. Rounds 2 and 4 enrich; a
     name that has been enriched is not asked again.
     """
-    asked = initial.limit(min(P.RESEARCH_CAPS["initial"], total))
+    asked = written(initial.limit(min(P.RESEARCH_CAPS["initial"], total)))
     spent = asked.count()
-    pool = merge_by_first_key(search(asked)).withColumn("status", F.lit("pending"))
+    pool = written(merge_by_first_key(written(search(asked))).withColumn("status", F.lit("pending")))
     done = None
     for room, kind in ((P.RESEARCH_CAPS["enrichment"], "enrich"), (P.RESEARCH_CAPS["expansion"], "gaps"), (P.RESEARCH_CAPS["enrichment"], "enrich")):
         room = min(room, total - spent)
         if room <= 0:
             break
         fresh = pool if done is None else pool.join(done, "seq", "left_anti")
-        plan = gaps(pool).limit(room) if kind == "gaps" else plan_enrichment(fresh, room)
+        plan = written(gaps(pool).limit(room) if kind == "gaps" else plan_enrichment(fresh, room))
         spent += plan.count()
         if kind == "enrich":
             done = plan.select("seq").distinct() if done is None else done.unionByName(plan.select("seq")).distinct()
-        observed = pool.select(*[c for c in pool.columns if c != "status"]).unionByName(search(plan), allowMissingColumns=True)
-        pool = merge_by_first_key(observed).withColumn("status", F.lit("pending"))
+        observed = pool.select(*[c for c in pool.columns if c != "status"]).unionByName(written(search(plan)), allowMissingColumns=True)
+        pool = written(merge_by_first_key(observed).withColumn("status", F.lit("pending")))
     return pool, spent

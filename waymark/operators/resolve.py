@@ -116,17 +116,18 @@ def merge_same_name(records: DataFrame, order: str = "seq") -> DataFrame:
     return records.select(F.col(order).cast("long").alias("o")).join(merged, "o", "left").select(F.col("o").alias(order), F.coalesce("merged_into", "o").alias("merged_into"))
 
 
-def claims(records: DataFrame, order: str = "seq", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def claims(records: DataFrame, order: str = "seq", strict: bool = False, keys: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges to the first claimer of each key, and pairs of equal name and city that were kept apart.
 
     Only the name-and-city key checks whether the two records have different
     websites or accounts, and only against its first claimer; with strict, a
     phone does too.
     """
-    keys = identity_keys()
+    keys = keys or identity_keys()
     known = records.select(F.col(order).alias("id"), keys["website"].alias("site"), keys["instagram"].alias("account"))
-    by_key = Window.partitionBy("kind", "key")
-    claimed = keyed(records, order).withColumnRenamed(order, "id").withColumn("first", F.min("id").over(by_key)).where("id <> first")
+    claimed = keyed(records, order, keys).withColumnRenamed(order, "id")
+    # the first claimer is a partial aggregate, so a key that very many records share isn't sorted in one task
+    claimed = claimed.join(claimed.groupBy("kind", "key").agg(F.min("id").alias("first")), ["kind", "key"]).where("id <> first")
     first = known.select(F.col("id").alias("first"), F.col("site").alias("first_site"), F.col("account").alias("first_account"))
     facing = claimed.join(known, "id").join(first, "first")
     conflict = F.coalesce(F.col("site") != F.col("first_site"), F.lit(False)) | F.coalesce(F.col("account") != F.col("first_account"), F.lit(False))
@@ -135,9 +136,9 @@ def claims(records: DataFrame, order: str = "seq", strict: bool = False) -> tupl
     return facing.where("NOT apart").select("id", "first"), facing.where("apart").select("kind", "key", F.col("first").alias("left_id"), F.col("id").alias("right_id"))
 
 
-def merge_connected(records: DataFrame, order: str = "seq", strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def merge_connected(records: DataFrame, order: str = "seq", strict: bool = False, keys: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Records merged over all chains of shared keys, and the ambiguous pairs."""
-    edges, ambiguous = claims(records, order, strict)
+    edges, ambiguous = claims(records, order, strict, keys)
     found = components(edges, "id", "first")
     labelled = records.join(found.withColumnRenamed("node", order), order, "left").withColumn("component", F.coalesce("component", F.col(order)))
     return fold(labelled, ["component"], order), ambiguous

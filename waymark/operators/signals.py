@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
@@ -135,3 +135,27 @@ def best_facts(facts: DataFrame, id_col: str = "id") -> DataFrame:
     """The strongest fact of each field (id, field, value, source, confidence, ord), the first of equals."""
     ranks = (_rank(F.col("source"), FACT_RANKS), _rank(F.col("confidence"), CONFIDENCE_RANKS), -F.col("ord"))
     return facts.groupBy(id_col, "field").agg(best(F.struct("value", "source", "confidence"), *ranks).alias("b")).select(id_col, "field", "b.*")
+
+
+#: Fields of facts that count as evidence, and most rows of evidence of a business.
+EVIDENCE_FIELDS, MAX_EVIDENCE = ("telephone", "email", "sameAs", "url", "addressLocality", "addressRegion", "physical_store"), 24
+
+
+def field_evidence(rows: DataFrame) -> DataFrame:
+    """(id, place, field, value, source, evidence, confidence): what each field of a business rests on, at most 24 rows.
+
+    rows: id, name, name_source, name_confidence, given (array of evidence of
+    chosen fields, may be null) and facts. The name comes first, then given
+    evidence, then facts that repeat none of it.
+    """
+    kind = "struct<field:string,value:string,source:string,evidence:string,confidence:string>"
+    none = F.array().cast(f"array<{kind}>")
+    named = F.struct(F.lit("name").alias("field"), F.col("name").alias("value"), F.col("name_source").alias("source"), F.col("name").alias("evidence"), F.col("name_confidence").alias("confidence"))
+    first = F.concat(F.when(T.present(F.col("name")), F.array(named)).otherwise(none), F.coalesce(F.col("given").cast(f"array<{kind}>"), none))
+    facts = F.transform(F.filter(F.coalesce("facts", F.array()), lambda f: f["field"].isin(*EVIDENCE_FIELDS)), lambda f: F.struct(*[f[c].alias(c) for c in ("field", "value", "source", "evidence", "confidence")])).cast(f"array<{kind}>")
+    each = rows.select("id", F.size(first).alias("n_first"), F.posexplode(F.concat(first, facts)).alias("at", "e")).select("id", "n_first", "at", "e.*")
+    # chosen fields all stay; a fact goes if its field, source and value have been seen
+    before = Window.partitionBy("id", "field", "source", "value").orderBy("at")
+    new = each.withColumn("n", F.row_number().over(before)).where("at < n_first OR n = 1")
+    ranked = new.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("at")))
+    return ranked.where((F.col("place") <= MAX_EVIDENCE) | (F.col("at") < F.col("n_first"))).select("id", "place", "field", "value", "source", "evidence", "confidence")

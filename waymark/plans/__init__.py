@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import golden  # noqa: F401  registers its queries
+from . import golden, reports  # noqa: F401  register their queries
 from .catalog import CATALOG, Query
 
 __all__ = ["CATALOG", "Query"]

@@ -718,7 +718,14 @@ def customers_with_late_orders(spark, sf):
 # --- pages to businesses ------------------------------------------------------
 
 
-@query("page_evidence")
+_SHOWN = _BARE.replace("regexp_replace(html,", "regexp_replace(regexp_replace(html, '(?is)<title[^>]*>.*?</title>', '', 'g'),")
+
+
+@query("page_evidence", f"""
+WITH l AS (SELECT page_id, list_distinct(list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*href=["'']([^"'']*)["'']', 1), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(mailto|tel|javascript|#)'))) AS h FROM pages)
+SELECT url, nullif({sql_strip('regexp_extract(html, ' + q('(?is)<title[^>]*>(.*?)</title>') + ', 1)')}, '') AS title, CAST(least(len(h), 200) AS INTEGER) AS n_links,
+  array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda x: {sql_strip('x')}), lambda x: x <> '')[1:40], '|') AS headings, CAST(least(length({sql_strip(_SHOWN)}), 50000) AS INTEGER) AS n_text
+FROM pages JOIN l USING (page_id)""".replace("\\\\", "\\"))
 def page_evidence(spark, sf):
     e = page_source.page_evidence(read(spark, sf, "pages"))
     return e.select("url", "title", F.size("links").alias("n_links"), F.array_join("headings", "|").alias("headings"), F.length("text").alias("n_text"))
@@ -730,7 +737,19 @@ def page_roles(spark, sf):
     return p.select("page_id", enrich.page_role(F.col("url"), F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/"))).alias("role"))
 
 
-@query("business_signals")
+def sql_distinct(x: str) -> str:
+    """The first spelling of each value in any case, in order, 30 at most."""
+    return f"list_filter({x}, lambda v, i: list_position(list_transform({x}, lambda w: lower(w)), lower(v)) = i)[1:30]"
+
+
+@query("business_signals", rf"""
+WITH a AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, {q(rules.EMAIL)}), lambda x: lower(x)) AS emails, list_transform(regexp_extract_all(text, {q(rules.PHONE)}), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS raw,
+    list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS pieces FROM documents),
+b AS (SELECT *, list_filter(raw, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 AND NOT (len(regexp_extract_all(x, '[0-9]+')) >= 5 AND len(list_filter(regexp_extract_all(x, '[0-9]+'), lambda g: length(g) > 2)) = 0)) AS phones,
+    list_filter(pieces, lambda x: length(x) BETWEEN 12 AND 180 AND NOT regexp_matches(x, {q(rules.PRICE_NOISE)})
+      AND (regexp_matches(x, {q(f'(^|{EDGE}){rules.PIN_CODE}({EDGE}|$)')}) OR (regexp_matches(x, {q(text.any_word(rules.ADDRESS_WORDS))}) AND regexp_matches(x, '[0-9]'))))[1:30] AS found FROM a)
+SELECT doc_id, array_to_string({sql_distinct('emails')}, ';') AS emails, array_to_string({sql_distinct('phones')}, ';') AS phones, CASE WHEN text IS NOT NULL THEN '' END AS social_urls, CASE WHEN text IS NOT NULL THEN '' END AS whatsapp_urls,
+  array_to_string({sql_distinct('found')}, ';') AS address_candidates, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, {q(text.whole_word(t))}) THEN {q(t)} END" for t in rules.CITY_NAMES)}], lambda x: x IS NOT NULL), ';') AS city_mentions FROM b""")
 def business_signals(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "text", F.array().cast("array<struct<url:string>>").alias("links"))
     s = signals.business_signals(d)
