@@ -20,7 +20,8 @@ from .resolve import merge_by_first_key
 
 def with_priority(pool: DataFrame) -> DataFrame:
     """pool (business_name, address, city, website, instagram, physical_store, snippet, status) with missing fields and priority 0 to 18."""
-    out = pool.withColumn("__blob", F.concat_ws(" ", "business_name", "address", "city", "website", "instagram", "snippet"))
+    parts = [c for c in ("business_name", "address", "city", "website", "instagram", "snippet") if c in pool.columns]  # merged pools have no snippet
+    out = pool.withColumn("__blob", F.concat_ws(" ", *parts))
     blob = F.col("__blob")
     has = {"address": present(F.col("address")) | blob.rlike(P.STREET) | blob.rlike(P.PIN_CODE), "instagram": present(F.col("instagram")), "website": present(F.col("website")), "brands": blob.rlike(P.BRANDS_KNOWN)}
     out = out.withColumns({f"__{k}": F.coalesce(v, F.lit(False)) for k, v in has.items()}).withColumn("__weak", (F.col("physical_store") != "YES") & ~F.col("__address"))
