@@ -162,7 +162,31 @@ def brute_passages(rows, size, keep):
     return Counter(out)
 
 
-@pytest.mark.parametrize("most", [50_000, 2])
+def test_nearest_smaller_positions():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 300):
+        for x in (r.permutation(n), np.arange(n), np.arange(n)[::-1]):
+            want = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(n)]
+            assert suffixdedup.previous_smaller(x).tolist() == want
+
+
+def test_previous_factors_by_brute_force():
+    r = random.Random(8)
+    for _ in range(60):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(0, 60))) for _ in range(r.randrange(1, 5))]
+        group = np.array([r.randrange(2) for _ in texts])
+        size = r.choice((4, 8, 13))
+        order, rank, segment = suffixdedup.suffix_order(texts, group, size)
+        sizes = np.array([len(t) for t in texts])
+        begin = np.cumsum(sizes) - sizes
+        got = {int(p) for p, hit in zip(order, suffixdedup.reaches(order, rank)) if hit}
+        later = {int(p) for p, hit in zip(order, suffixdedup.reaches(-order, rank)) if hit}
+        places = [(int(begin[i]) + k, (int(group[i]), t[k : k + size])) for i, t in enumerate(texts) for k in range(len(t) - size + 1)]
+        assert got == {p for p, x in places if any(q < p and y == x for q, y in places)}
+        assert later == {p for p, x in places if any(q > p and y == x for q, y in places)}
+
+
+@pytest.mark.parametrize("most", [50_000, 5, 1])
 def test_passages(spark, most):
     rows = [(r[0], r[1]) for r in documents()]
     got = suffixdedup.dedup_passages(frame(spark), 200, most=most).drop("kept").collect()
@@ -174,8 +198,8 @@ def test_passages_of_random_overlaps(spark):
     pool = [words(r, 25) for _ in range(6)]
     rows = [(i, " ".join(r.choice(pool)[r.randrange(20) :] if r.random() < 0.6 else words(r, 12) for _ in range(8))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for keep in ("none", "first"):
-        got = suffixdedup.dedup_passages(df, 80, keep=keep).drop("kept").collect()
+    for keep, most in (("none", 50_000), ("first", 50_000), ("first", 2), ("none", 2)):
+        got = suffixdedup.dedup_passages(df, 80, keep=keep, most=most).drop("kept").collect()
         assert Counter(tuple(x) for x in got) == brute_passages(rows, 80, keep)
     assert suffixdedup.dedup_passages(df.limit(0)).count() == 0
 

@@ -6,21 +6,25 @@ never cross documents and are judged on the input.
 1. Anchors. In each stretch of min_len bytes the k-gram with the least hash is
    an anchor, so equal stretches have equal anchors at equal offsets, about one
    in min_len / 2 bytes. An anchor's context is all stretches that hold it.
-2. Anchors are grouped by their k-gram. A context found twice is repeated as a
-   whole. An anchor alone in its group takes part in no repeat.
+2. Anchors are grouped by their k-gram. Equal contexts of a group are one, with
+   the number of its copies: a context found twice is repeated as a whole, as
+   its copies are each other's previous and following factors. An anchor alone
+   in its group takes part in no repeat. Counts, least copies and contexts are
+   partial aggregates, and rows meet them by joins that adaptive execution can
+   split, so a passage in very many documents isn't sorted in one task.
 3. What is left are contexts at the edges of repeats: equal k-gram, context of
    their own. Those of a group, and one copy of each repeated context in it, form
    one text. Its suffixes are sorted by their first min_len bytes, ties by
-   position, by doubling prefixes. In that order the previous smaller position
-   of a suffix with an equal stretch is the one right before it in its block of
-   equal ranks, and no next smaller position lies in the block; so its longest
-   previous factor reaches min_len exactly if it isn't first in its block, and
-   the mirrored factor exactly if it isn't last.
-4. Intervals are gathered per document, merged and cut out.
-
-Groups with more than ``most`` contexts (a passage in very many documents, each
-with its own surroundings) are not put into one task: their stretches are dealt
-by a hash of all bytes and counted, which finds the same repeats.
+   position, by doubling prefixes. Previous and next smaller positions in that
+   order, found by pointer jumping, are where a suffix's longest previous factor
+   starts; previous and next larger ones give its longest following factor.
+   Factors count as far as they reach min_len, which equal ranks tell.
+4. A group with more than ``most`` contexts is split before it meets in a task:
+   an equal stretch of min_len bytes that holds the known part reaches at least
+   half of what is missing to the left or to the right, so each context goes to
+   the group of its longer part on either side, until groups are small or the
+   part is the stretch itself.
+5. Intervals are gathered per document, merged and cut out.
 
 keep="none" removes every copy; keep="first" keeps the copy that is first by id
 and position (ids must then be unique).
@@ -39,12 +43,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scaled_partitions, table
+from .common import materialize, table
 
 GRAM = 32
+#: Bytes of contexts sorted by one task, and groups up to which their ids are broadcast.
+TASK_BYTES, FEW_GROUPS = 8_000_000, 250_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,8 +88,8 @@ def anchors(data: bytes, min_len: int, k: int = GRAM) -> tuple[np.ndarray, np.nd
     return at, h[at]
 
 
-def equal_stretches(segments: list[bytes], group: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes with min_len bytes left in their segment, in suffix order: (segment, offset, rank); equal ranks are equal stretches of one group."""
+def suffix_order(segments: list[bytes], group: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in the joined text, ranks, segment of each) of suffixes with min_len bytes left in their segment, in order of these bytes and then of place; equal ranks are equal stretches of one group."""
     sizes = np.array([len(s) for s in segments])
     text = np.frombuffer(b"".join(segments), np.uint8)
     owner = np.repeat(np.arange(len(segments)), sizes)
@@ -104,7 +110,28 @@ def equal_stretches(segments: list[bytes], group: np.ndarray, min_len: int) -> t
         rank[places[order]] = new
         width += step
     order = places[np.argsort(rank[places], kind="stable")]
-    return owner[order], order - begin[owner[order]], rank[order]
+    return order, rank[order], owner[order]
+
+
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """For each element of distinct numbers where the nearest smaller one before it stands, -1 without any; by pointer jumping."""
+    at = np.arange(-1, len(x) - 1)
+    open_ = np.arange(1, len(x))
+    open_ = open_[x[open_ - 1] > x[open_]]
+    while len(open_):
+        at[open_] = at[at[open_]]  # all between an element and what it points to are larger than it
+        open_ = open_[at[open_] >= 0]
+        open_ = open_[x[at[open_]] > x[open_]]
+    return at
+
+
+def reaches(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which suffixes, in suffix order, have a longest previous factor of the whole sorted length: their previous or next smaller position has an equal rank."""
+    n = len(order)
+    before = previous_smaller(order)
+    after = n - 1 - previous_smaller(order[::-1])[::-1]
+    hit = (before >= 0) & (rank[np.maximum(before, 0)] == rank)
+    return hit | ((after < n) & (rank[np.minimum(after, n - 1)] == rank)) if n else hit
 
 
 def _merged(pdf: pd.DataFrame) -> tuple[list[bytes], pd.DataFrame]:
@@ -186,13 +213,15 @@ def _repeats(pdf: pd.DataFrame, min_len: int, keep: str) -> pd.DataFrame:
             continue
         texts, frame = _merged(part)
         group, _ = pd.factorize(frame["h"])
-        segment, offset, rank = equal_stretches(texts, group, min_len)
+        # the frame is in order of group, key and start, so places in the joined text are in order of position
+        order, rank, segment = suffix_order(texts, group, min_len)
+        sizes = np.array([len(t) for t in texts])
+        offset = order - (np.cumsum(sizes) - sizes)[segment]
         key, place = frame["key"].to_numpy()[segment], frame["start"].to_numpy()[segment] + offset
-        order = np.lexsort((place, key, rank))
-        segment, key, place, rank = segment[order], key[order], place[order], rank[order]
-        previous = np.concatenate([[False], rank[1:] == rank[:-1]])  # longest previous factor of min_len at least
-        following = np.concatenate([rank[1:] == rank[:-1], [False]])
-        hit = (previous if keep == "first" else previous | following) & frame["own"].to_numpy()[segment]
+        hit = reaches(order, rank)
+        if keep == "none":
+            hit |= reaches(-order, rank)  # the following factor: positions the other way round
+        hit &= frame["own"].to_numpy()[segment]
         out.append(_runs(key[hit], place[hit], min_len))
     return pd.concat(out) if out else pd.DataFrame({"key": [], "s": [], "e": []}).astype("int64")
 
@@ -234,17 +263,15 @@ def repeated_intervals(docs: DataFrame, min_len: int, keep: str, most: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
 
     members = docs.select("key", "text").mapInArrow(find, "h long, c long, key long, a int, b int, w long")
-    by_gram, by_context = Window.partitionBy("h"), Window.partitionBy("h", "c")
-    first = F.row_number().over(by_context.orderBy("key", "a"))
-    grouped = members.repartition("h").withColumns({"n": F.sum("w").over(by_context), "rn": first}).withColumns(
-        {"all": F.sum("w").over(by_gram), "contexts": F.sum(F.when(F.col("rn") == 1, 1).otherwise(0)).over(by_gram)}
-    )
-    whole = (F.col("rn") > 1) if keep == "first" else (F.col("n") > 1)
-    wanted = (F.col("rn") == 1) & (F.col("contexts") > 1)
-    flagged = grouped.where(F.col("all") > 1).select("h", "key", "a", "b", whole.alias("whole"), wanted.alias("wanted"), "contexts").where("whole OR wanted")
-    flagged = materialize(flagged, "anchors")
-
-    edges = flagged.where("wanted").groupBy("key").agg(F.collect_list(F.struct("h", "a", (~F.col("whole")).alias("own"), (F.col("contexts") > most).alias("many"))).alias("list"))
+    grams = members.groupBy("h").agg(F.sum("w").alias("all"), (F.min("c") < F.max("c")).alias("mixed")).where("all > 1").select("h", "mixed")
+    shared = materialize(members.join(grams, "h"), "anchors")
+    of_context = shared.groupBy("h", "c").agg(F.sum("w").alias("n"), F.min(F.struct("key", "a")).alias("first"))
+    is_first = F.struct("key", "a") == F.col("first")
+    whole = ~is_first if keep == "first" else F.col("n") > 1
+    flagged = shared.join(of_context, ["h", "c"]).select("h", "key", "a", "b", whole.alias("whole"), (is_first & F.col("mixed")).alias("wanted")).where("whole OR wanted")
+    flagged = materialize(flagged, "flagged")
+
+    edges = flagged.where("wanted").groupBy("key").agg(F.collect_set(F.struct("h", "a", (~F.col("whole")).alias("own"))).alias("list"))
     firsts = docs.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     listed = edges.join(firsts, "key")
     texts = docs.select("key", "doc_id", "text").join(listed, "key").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "text", "list")
@@ -258,32 +285,45 @@ def repeated_intervals(docs: DataFrame, min_len: int, keep: str, most: int) -> D
                     data = text.as_buffer().to_pybytes()
                     for x in wanted_:
                         start = max(0, x["a"] - back)
-                        rows.append((x["h"], key, start, data[start : x["a"] + min_len], x["a"] - start, x["own"], x["many"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.bool_()))], names=["h", "key", "start", "data", "left", "own", "many"])
+                        rows.append((x["h"], key, start, data[start : x["a"] + min_len], x["a"] - start, x["own"]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.bool_()))], names=["h", "key", "start", "data", "left", "own"])
 
-    contexts = texts.mapInArrow(cut, "h long, key long, start int, data binary, left int, own boolean, many boolean")
+    contexts = texts.mapInArrow(cut, "h long, key long, start int, data binary, left int, own boolean")
     contexts = materialize(contexts, "contexts")
-    buckets = scaled_partitions(docs.sparkSession, 4)
-    few = contexts.where(~F.col("many")).groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
-    found = few.applyInPandas(lambda pdf: _repeats(pdf, min_len, keep), "key long, s int, e int")
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, start, data, own in zip(*(batch.column(j).to_pylist() for j in range(4))):
-                for o in range(len(data) - min_len + 1):
-                    x = xxhash.xxh128_intdigest(data[o : o + min_len])
-                    rows.append((x >> 65, x & (2**63 - 1), key, start + o, own))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["x", "y", "key", "s", "own"])
-
-    same = Window.partitionBy("x", "y")
-    many = contexts.where("many").select("key", "start", "data", "own").mapInArrow(stretches, "x long, y long, key long, s int, own boolean")
-    many = many.groupBy("x", "y", "key", "s").agg(F.max("own").alias("own"))
-    seen = F.row_number().over(same.orderBy("key", "s")) > 1 if keep == "first" else F.count(F.lit(1)).over(same) > 1
-    many = many.withColumn("hit", seen).where("hit AND own").select("key", "s", (F.col("s") + min_len).alias("e"))
+    small, stretches = _split(contexts, min_len, keep, most)
+    small = materialize(small, "groups")
+    size = small.agg(F.sum(F.length("data"))).first()[0] or 0
+    buckets = max(1, -(-size // TASK_BYTES))
+    found = small.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket")).applyInPandas(lambda pdf: _repeats(pdf, min_len, keep), "key long, s int, e int")
 
     full = flagged.where("whole").select("key", F.greatest(F.lit(0), F.col("a") - back).alias("s"), (F.col("b") + min_len).alias("e"))
-    return full.unionByName(found).unionByName(many).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return full.unionByName(found).unionByName(stretches).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+
+
+def _split(contexts: DataFrame, min_len: int, keep: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """contexts in groups ``h`` of at most ``most``, each context in every group in which it may meet an equal stretch; and (key, s, e) of stretches that were split down to their whole length."""
+    current = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(GRAM)})
+    done: DataFrame | None = None
+    ends = contexts.select("key", F.col("start").alias("s"), F.lit(0).alias("e")).limit(0)
+    while True:
+        counts = current.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", F.col("start") + F.col("left") + F.col("lo"))).alias("first"))
+        large = materialize(counts.where(F.col("n") > most), "large")  # at most one group for each ``most`` rows
+        if large.isEmpty():
+            done = current if done is None else done.unionByName(current)
+            return done.drop("lo", "hi"), ends
+        rest = current.join(large.select("h"), "h", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        big = current.join(F.broadcast(large) if large.count() <= FEW_GROUPS else large, "h")
+        whole = F.col("hi") - F.col("lo") >= min_len
+        place = F.col("start") + F.col("left") + F.col("lo")
+        hit = F.col("own") & (F.struct("key", place) != F.col("first") if keep == "first" else F.lit(True))
+        ends = ends.unionByName(big.where(whole & hit).select("key", place.cast("int").alias("s"), (place + min_len).cast("int").alias("e")))
+        half = F.ceil((F.lit(min_len) - F.col("hi") + F.col("lo")) / 2).cast("int")
+        parts = F.array(F.struct(F.col("lo").alias("lo"), (F.col("hi") + half).alias("hi")), F.struct((F.col("lo") - half).alias("lo"), F.col("hi").alias("hi")))
+        parts = F.filter(parts, lambda x: (F.col("left") + x["lo"] >= 0) & (F.col("left") + x["hi"] <= F.length("data")))
+        longer = big.where(~whole).select("h", "key", "start", "data", "left", "own", F.explode(parts).alias("p"))
+        known = F.substring("data", F.col("left") + F.col("p.lo") + 1, F.col("p.hi") - F.col("p.lo"))
+        current = materialize(longer.select(F.xxhash64("h", "p.lo", "p.hi", known).alias("h"), "key", "start", "data", "left", "own", "p.lo", "p.hi"), "split")
 
 
 def _cut_out(data: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
