@@ -139,6 +139,42 @@ def test_long_texts_in_parts_give_the_same_ids():
         assert pieces.decode_ids(v, whole) == text
 
 
+def test_long_chunks_are_drawn_as_short_ones_are():
+    v = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    r = random.Random(11)
+    alphabet = "abcdefghijklmnopqrstuvwxyz" * 3 + "漢字かな😀éß_.,12"
+    chunks = [" " + "".join(r.choice(alphabet) for _ in range(r.randrange(1, v.short))) for _ in range(300)] + [" " * k for k in (1, 2, 5, 30)]
+    states = np.array([r.randrange(2**64) for _ in chunks], np.uint64)
+    together = pieces.Lattice(v, chunks)
+    got, counts = together.sample(np.arange(len(chunks)), states)
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    for i, c in enumerate(chunks):
+        alone = pieces.Lattice(v, [c])
+        assert (alone.upto == together.upto[together.offset[together.first[i]] : together.offset[together.first[i + 1]]]).all()
+        assert alone.sample_only(states[i]).tolist() == got[cut[i] : cut[i + 1]].tolist()
+        # filtered by itself, with scaling forced on it
+        v.short, old, pieces.SCALE, scale = 0, v.short, 20, pieces.SCALE
+        scaled = pieces.Lattice(v, [c])
+        v.short, pieces.SCALE = old, scale
+        assert (scaled.upto == alone.upto).all()
+
+
+def test_texts_without_spaces_take_linear_time():
+    import time
+
+    v = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    text = "漢字かな交じり文" * 7500
+    start = time.process_time()
+    ids = pieces.encode_slice(v, ["1"], [text])[0]
+    assert pieces.decode_ids(v, ids) == text and time.process_time() - start < 3
+
+
+def test_encoding_of_clashing_and_null_columns(spark):
+    df = spark.createDataFrame([(None, "a b", "k", 1), (2, None, "k", None), (2, "", "k", 2), (2, "", "k", 2)], "doc_id long, text string, __wm_key string, __wm_text int")
+    out = pieces.encode(df, keep=("__wm_key", "__wm_text")).collect()
+    assert sorted(len(r.ids) if r.ids is not None else -1 for r in out)[:3] == [-1, 0, 0] and {r["__wm_key"] for r in out} == {"k"}
+
+
 # --- passages -----------------------------------------------------------------
 
 

@@ -7,11 +7,14 @@ segmentation from the end, each edge with its share of the sum. Draws come
 from a hash of (seed, row key, chunk, step), so a row's segmentation depends on
 its key and text alone, wherever and however often it is computed.
 
-The vocabulary is a byte-fallback model file; it is read, not trained. Its
-scores are merge ranks, so a piece of rank r gets the weight 1 / (r + 3),
-raised to ``sharpness``. As no piece holds a space after another character,
-the lattice falls apart at each space that follows one: chunks are filtered
-once per distinct chunk of a slice, and all chunks are sampled together.
+The vocabulary is a byte-fallback model file; it is read on the driver, sent
+to executors and not trained. Its scores are negative merge ranks and no
+probabilities, so a piece of score s gets the weight 1 / (3 - s), raised to
+``sharpness``. As no piece holds a space after another character, the lattice
+falls apart at each space that follows one: chunks are filtered once per
+distinct chunk of a slice, and all chunks are sampled together. Long chunks
+(texts without spaces) are filtered by themselves, with sums scaled by powers
+of two, which changes no digit: both ways give the same draws.
 
 Encoding adds one space in front, decoding takes it away, and the space
 character of the vocabulary stands for a real space only (its own character is
@@ -29,6 +32,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +42,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import spare, table
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
 BOUNDARY = re.compile("[^ ](?= )")
-#: Characters of a chunk that the vectorised filter takes; longer ones go one by one in logarithms.
+#: Characters of a chunk that are filtered with others, if no sum can get too small; longer ones go one by one.
 LONG = 48
+#: Sums under 2^-SCALE are scaled up by 2^SCALE.
+SCALE = 400
 #: Characters of text filtered and sampled together.
 SLICE = 1_000_000
 BYTE_WEIGHT = 1e-6
@@ -56,8 +62,8 @@ SLOTS = 19
 class Vocabulary:
     """Pieces, their weights, and a hash table of all their prefixes."""
 
-    def __init__(self, path: str, sharpness: float = 1.0):
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, model_bytes: bytes, sharpness: float = 1.0):
+        model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes)
         n = model.get_piece_size()
         self.size = n
         self.bytes: list[bytes] = [b""] * n
@@ -73,11 +79,12 @@ class Vocabulary:
                     raise ValueError("a piece holds a space after another character")
                 text = piece.replace(SPACE, " ")
                 self.ids[text], self.bytes[i] = i, text.encode()
-        ranks = {i: r for r, i in enumerate(sorted(self.ids.values()))}
         self.weight = np.zeros(n)
-        for i, r in ranks.items():
-            self.weight[i] = (r + 3.0) ** -sharpness
+        for i in self.ids.values():
+            self.weight[i] = max(3.0, 3.0 - model.get_score(i)) ** -sharpness
         self.weight /= self.weight.sum()
+        least = min([BYTE_WEIGHT, *(self.weight[i] for t, i in self.ids.items() if len(t) == 1)])
+        self.short = max(1, min(LONG, int(-250 / np.log10(least))))
         self.longest = max(map(len, self.ids), default=1)
         table: dict[int, int] = {}
         with np.errstate(over="ignore"):
@@ -120,8 +127,12 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=2)
+def vocabulary_of(model_bytes: bytes, sharpness: float = 1.0) -> Vocabulary:
+    return Vocabulary(model_bytes, sharpness)
+
+
 def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
-    return Vocabulary(path, sharpness)
+    return vocabulary_of(Path(path).read_bytes(), sharpness)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -138,14 +149,14 @@ def _draws(state: np.ndarray, step: int) -> np.ndarray:
 
 
 class Lattice:
-    """Filtered edges of distinct short chunks; states are characters, edges end in them."""
+    """Filtered edges of distinct chunks; states are characters, edges end in them, the shorter first."""
 
     def __init__(self, v: Vocabulary, chunks: Sequence[str]):
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         chars = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.uint64)
         n = len(chars)
-        place = (np.arange(n) - np.repeat(self.first[:-1], sizes)).astype(np.uint8)
+        place = np.arange(n) - np.repeat(self.first[:-1], sizes)
         room = np.repeat(sizes, sizes) - place  # characters from here to the chunk's end
         alive, h = np.arange(n), np.zeros(n, np.uint64)
         edges: list[tuple[np.ndarray, np.ndarray]] = []
@@ -170,35 +181,30 @@ class Lattice:
             ends[1 + start + k] += 1
         self.offset = np.cumsum(ends)
         total = int(self.offset[-1])
-        self.piece, self.length, share = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total)
-        # filter: alpha of a place is the sum over segmentations of the chunk up to it
-        alpha = np.zeros(n + 1)
-        by_place = []
-        for k, (start, piece) in enumerate(edges):
-            order = np.argsort(place[start], kind="stable")
-            start, piece = start[order], piece[order]
-            weight = np.where(piece >= 0, v.weight[np.maximum(piece, 0)], BYTE_WEIGHT)
-            cuts = np.searchsorted(place[start], np.arange(int(sizes.max(initial=0)) + 1))
-            by_place.append((start, weight, cuts))
-            edges[k] = (start, piece)
-        for p in range(int(sizes.max(initial=0))):
-            for k, (start, weight, cuts) in enumerate(by_place):
-                a, b = cuts[p], cuts[p + 1]
-                if a < b:
-                    s = start[a:b]
-                    before = 1.0 if p == 0 else alpha[s]  # alpha[i] belongs to the end of character i - 1
-                    alpha[s + (k + 1)] += before * weight[a:b]
-        filled = np.zeros(n, np.int64)
+        self.piece, self.length = np.empty(total, np.int32), np.empty(total, np.int64)
+        start_of, weight, filled = np.empty(total, np.int64), np.empty(total), np.zeros(n, np.int64)
         for k, (start, piece) in enumerate(edges):
             end = start + k
             at = self.offset[end] + filled[end]
             filled[end] += 1
-            self.piece[at], self.length[at] = piece, k + 1
-            before = np.where(place[start] == 0, 1.0, alpha[start])
-            share[at] = before * by_place[k][1] / alpha[end + 1]
-        run = np.cumsum(share)
-        base = np.concatenate([[0.0], run])[self.offset[:-1]]
-        self.upto = run - np.repeat(base, np.diff(self.offset))
+            self.piece[at], self.length[at], start_of[at] = piece, k + 1, start
+            weight[at] = np.where(piece >= 0, v.weight[np.maximum(piece, 0)], BYTE_WEIGHT)
+        end_of = start_of + self.length - 1
+        # alpha of a character is the sum over segmentations of its chunk up to and with it, times 2^shift
+        if len(chunks) == 1 and n > v.short:
+            alpha, shift = _sums_of_long(n, start_of, end_of, weight, v.longest)
+        else:
+            alpha, shift = _sums_side_by_side(n, place, start_of, end_of, weight), np.zeros(n, np.int64)
+        opens = place[start_of] == 0
+        before = np.where(opens, 0, start_of - 1)
+        moved = np.where(opens, shift[end_of], shift[end_of] - shift[before])
+        share = np.ldexp(np.where(opens, 1.0, alpha[before]), moved) * weight / alpha[end_of]
+        # running sums inside each state, so that nothing depends on other chunks
+        rank = np.arange(total) - np.repeat(self.offset[:-1], np.diff(self.offset))
+        for r in range(1, int(rank.max(initial=0)) + 1):
+            at = np.flatnonzero(rank == r)
+            share[at] += share[at - 1]
+        self.upto = share
 
     def sample(self, chunk: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all given chunks, in order, and the number of each."""
@@ -229,36 +235,47 @@ class Lattice:
             out[end[w] - 1 - k] = p
         return out, counts
 
-
-def sample_long(v: Vocabulary, chunk: str, state: np.uint64) -> list[int]:
-    """The same for one chunk of any length, in logarithms."""
-    n = len(chunk)
-    logs = np.log(np.maximum(v.weight, 1e-300))
-    alpha = np.full(n + 1, -np.inf)
-    alpha[0] = 0.0
-    into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for size in range(1, min(v.longest, n - i) + 1):
-            piece = v.ids.get(chunk[i : i + size])
-            if piece is None:
-                if size > 1:
-                    continue
-                piece, log = -1 - ord(chunk[i]), float(np.log(BYTE_WEIGHT))
-            else:
-                log = float(logs[piece])
-            into[i + size].append((size, piece, log))
-            alpha[i + size] = np.logaddexp(alpha[i + size], alpha[i] + log)
-    out, at, step = [], n, 0
-    one = np.array([state], np.uint64)
-    while at:
-        u, run = float(_draws(one, step)[0]), 0.0
-        for size, piece, log in into[at]:
-            run += float(np.exp(alpha[at - size] + log - alpha[at]))
-            if run > u:
-                break
-        out.append(piece)
-        at, step = at - size, step + 1
-    return out[::-1]
+    def sample_only(self, state: np.uint64) -> np.ndarray:
+        """The same pieces of the only chunk, drawn one by one."""
+        with np.errstate(over="ignore"):
+            draws = _draws(state + BASE * np.arange(self.first[-1], dtype=np.uint64), 0).tolist()
+        offset, upto, length = self.offset.tolist(), self.upto.tolist(), self.length.tolist()
+        out, at = [], int(self.first[-1]) - 1
+        while at >= 0:
+            edge, last, u = offset[at], offset[at + 1] - 1, draws[len(out)]
+            while edge < last and upto[edge] <= u:
+                edge += 1
+            out.append(edge)
+            at -= length[edge]
+        return self.piece[np.array(out[::-1], np.int64)]
+
+
+def _sums_side_by_side(n: int, place: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of chunks that are short enough for no sum to get too small."""
+    alpha = np.zeros(n)
+    order = np.argsort(place[start], kind="stable")
+    cuts = np.searchsorted(place[start][order], np.arange(int(place.max(initial=-1)) + 2))
+    for p in range(len(cuts) - 1):
+        e = order[cuts[p] : cuts[p + 1]]
+        alpha[end[e]] += weight[e] if p == 0 else alpha[start[e] - 1] * weight[e]  # no two edges of one place have one end
+    return alpha
+
+
+def _sums_of_long(n: int, start: np.ndarray, end: np.ndarray, weight: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of one chunk of any length, in the same order, scaled by powers of two where sums get small."""
+    order = np.lexsort((end, start))
+    alpha, shift, s, a, last = [0.0] * n, [0] * n, 0, 1.0, 0
+    for p, e, w in zip(start[order].tolist(), end[order].tolist(), weight[order].tolist()):
+        if p != last:
+            last, a = p, alpha[p - 1]
+            if a < 2.0**-SCALE:
+                for j in range(p - 1, min(n, p + longest)):
+                    alpha[j] *= 2.0**SCALE
+                s, a = s + SCALE, alpha[p - 1]
+            shift[p - 1] = s
+        alpha[e] += a * w
+    shift[n - 1] = s
+    return np.array(alpha), np.array(shift, np.int64)
 
 
 def _salt(seed: int, key: str | None) -> int:
@@ -299,9 +316,9 @@ def _encode(v: Vocabulary, salts: Sequence[int], bodies: Sequence[str], firsts:
     with np.errstate(over="ignore"):
         state = _mix(np.repeat(np.array(salts, np.uint64), per) + index * np.uint64(0xD1342543DE82EF95))
     distinct = list(numbers)
-    short = np.fromiter((len(c) <= LONG for c in distinct), bool, len(distinct))
+    short = np.fromiter((len(c) <= v.short for c in distinct), bool, len(distinct))
     renumber = np.cumsum(short) - 1
-    lattice = Lattice(v, [c for c in distinct if len(c) <= LONG])
+    lattice = Lattice(v, [c for c in distinct if len(c) <= v.short])
     is_short = short[chunk] if len(chunk) else np.zeros(0, bool)
     pieces, counts = lattice.sample(renumber[chunk[is_short]] if len(chunk) else chunk, state[is_short])
     if not is_short.all():
@@ -314,7 +331,12 @@ def _with_long(v, distinct, chunk, state, is_short, pieces, counts):
     """Puts the pieces of long chunks between those of short ones."""
     all_counts = np.zeros(len(chunk), np.int64)
     all_counts[is_short] = counts
-    made = {int(i): np.array(sample_long(v, distinct[chunk[i]], state[i]), np.int32) for i in np.flatnonzero(~is_short)}
+    made: dict[int, np.ndarray] = {}
+    places = np.flatnonzero(~is_short)
+    for i in places[np.argsort(chunk[places], kind="stable")]:  # equal chunks are filtered once
+        if not made or chunk[i] != which:
+            which, lattice = chunk[i], Lattice(v, [distinct[chunk[i]]])
+        made[int(i)] = lattice.sample_only(state[i])
     for i, p in made.items():
         all_counts[i] = len(p)
     out = np.empty(int(all_counts.sum()), np.int32)
@@ -356,11 +378,12 @@ def _slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int]]:
 def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), model_path: str = DEFAULT_MODEL, seed: int = 0, sharpness: float = 1.0) -> DataFrame:
     """key, the columns to keep, and ids: array of int."""
     kept = [key_col, *keep]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{key_col}`").cast("string").alias("__wm_key"), F.col(f"`{text_col}`").cast("string").alias("__wm_text"))
+    model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())  # a file of the vocabulary's size; executors need none
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{key_col}`").cast("string").alias(spare(docs, "key")), F.col(f"`{text_col}`").cast("string").alias(spare(docs, "text")))
     schema = source.select(*[f"`{c}`" for c in kept]).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_path, sharpness)
+        v = vocabulary_of(model.value, sharpness)
         for batch in batches:
             for a, b in _slices(batch, len(kept) + 1):
                 part = batch.slice(a, b - a)
@@ -388,10 +411,11 @@ def decode(encoded: DataFrame, ids_col: str = "ids", text_col: str = "text", mod
     names = [c for c in encoded.columns if c != text_col]
     source = encoded.select(*[F.col(f"`{c}`") for c in names])
     at = names.index(ids_col)
+    model = encoded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     schema = T.StructType([*source.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_path)
+        v = vocabulary_of(model.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
