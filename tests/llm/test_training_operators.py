@@ -327,6 +327,8 @@ def test_blocks_meet_once(spark, monkeypatch):
 
 
 def test_one_of_each_stays(spark):
+    clashing = frame(spark).withColumns({"__wm_id": F.lit(1), "component_id": F.lit(2), "sid": F.lit(3)})
+    assert neardup.keep_one_of_each(clashing).columns == clashing.columns and neardup.keep_one_of_each(clashing).count() == neardup.keep_one_of_each(frame(spark)).count()
     kept = neardup.keep_one_of_each(frame(spark))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     ids = [r.doc_id for r in kept.collect()]

@@ -83,5 +83,3 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def scaled_partitions(spark: SparkSession, times: int = 1) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))) * times

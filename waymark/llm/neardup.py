@@ -39,10 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scaled_partitions, table
+from .common import materialize, spare, table
 from .components import connected_components
 
 BAND, BLOCK, THIN = 1.3, 1024, 2
+#: About so many members of blocks are compared in one task.
+TASK_ROWS = 8192
 #: Up to so many pairs, hence twice so many ids of 16 bytes, the ids are broadcast.
 FEW_PAIRS = 250_000
 SHORT = 8
@@ -192,13 +194,14 @@ def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def key_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, sid): the keys of each document's set; of equal sets in a batch only the first."""
+    """(key, sid): the keys of each document's set; of equal sets in a task only the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, starts = Shingler(n), band_starts()
+        seen: set[int] = set()  # of a task's copies one sends its keys
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                keys, sids, seen = [], [], set()
+                keys, sids = [], []
                 for text in batch.column(0).slice(at, 500):
                     s = shingle(text.as_py())
                     sid = _set_id(s)
@@ -289,19 +292,19 @@ def _within_block(sid: np.ndarray, n: np.ndarray, label: np.ndarray, side: np.nd
     return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64)
 
 
-def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of groups (key, sid, n, dense, label, lo, size), each pair of blocks of a group in one task.
+def _blocks(members: DataFrame, rows: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs of groups (grp, sid, n, dense, label, size) with so many rows of blocks, each pair of blocks of a group in one task.
 
-    Groups with the same least member meet in one task, as a cluster of near
-    copies shares many keys; so most pairs are found once, not once per key.
+    A pair of blocks has at most 2 * BLOCK members; tasks take so many of them
+    as hold about TASK_ROWS members.
     """
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("m", count).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int"))
     # a block meets each block of the group once: (i, j) with i <= j; side 2 is a block by itself
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     dealt = dealt.withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("own") == F.col("i"), 0).otherwise(1))
-    dealt = dealt.withColumn("block", F.xxhash64("key", "i", "j")).withColumn("place", F.xxhash64("lo", "i", "j")).select("block", "place", "sid", "n", "dense", "label", "side")
-    buckets = scaled_partitions(members.sparkSession, 8)
+    dealt = dealt.withColumn("block", F.xxhash64("grp", "i", "j")).select("block", "sid", "n", "dense", "label", "side")
+    buckets = max(1, -(-rows // TASK_ROWS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block", kind="stable")
@@ -312,7 +315,7 @@ def _blocks(members: DataFrame, num: int, den: int) -> DataFrame:
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    return dealt.groupBy(F.pmod("place", F.lit(buckets)).alias("bucket")).applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy(F.pmod("block", F.lit(buckets)).alias("bucket")).applyInPandas(run, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,25 +329,30 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     alone = base.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= 2 * FEW_PAIRS else base
     by_key = Window.partitionBy("key")
     keyed = key_table(alone, n, num, den)
-    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)})
-    shared = materialize(shared.where("lo <> hi").select("key", "sid", "size"), "shared")
+    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key)})
+    shared = materialize(shared.where("lo <> hi").select("key", "sid").distinct(), "shared")
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     # sets with fewer shared keys than a link takes have no link
-    counted = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("size").alias("weight"))
+    counted = shared.join(sizes, "key").groupBy("sid").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("size").alias("weight"))
     known = made.where("dense IS NOT NULL").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "need", "dense", "short")])
     sets = materialize(counted.join(known, "sid").where("n_keys >= need"), "shared-sets")
-    # each member with the most central member of its group
-    central = by_key.orderBy(F.desc("weight"), "sid")
-    grouped = shared.select("key", "sid").join(_few(sets.select("sid", "weight")), "sid")
-    grouped = grouped.withColumns({"pivot": F.first("sid").over(central), "lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)})
+    # each member with the most central member of its group; what a group is told is a partial aggregate
+    likely = shared.join(_few(sets.select("sid", "weight")), "sid")
+    groups = likely.groupBy("key").agg(F.min_by("sid", F.struct(-F.col("weight"), F.col("sid"))).alias("pivot"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("size"))
+    grouped = likely.select("key", "sid").join(groups, "key")
     grouped = materialize(grouped.where("lo <> hi").select("key", "sid", "pivot", "size"), "grouped")
     stars = grouped.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
     links = materialize(_verify(_may_link(stars, sets, num, den), reps, texts, n, num, den), "links")
     labels = connected_components(links)
     # groups that span components; the pivot has been compared with all
     rest = grouped.where("size > 2 AND sid <> pivot").join(_few(labels.withColumnRenamed("node", "sid")), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-    spanning = rest.withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key), "lo": F.min("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)}).where("low <> high")
-    members = spanning.select("key", "sid", "label", "lo", "size").join(sets.select("sid", "n", "dense"), "sid")
-    rest = materialize(_blocks(members, num, den), "candidates")
+    spanning = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sid").alias("grp")).where("low <> high").select("key", "grp")
+    # a cluster shares many keys: groups of one least member are one group, so that a pair is compared once and not once per key
+    members = materialize(rest.join(spanning, "key").select("grp", "sid", "label").distinct(), "members")
+    several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    rows = several.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
+    members = members.join(several, "grp").join(sets.select("sid", "n", "dense"), "sid")
+    rest = materialize(_blocks(members, rows, num, den), "candidates")
     more = materialize(_verify(rest, reps, texts, n, num, den), "links")
     labels = connected_components(links.unionByName(more))
     # least document of each component
@@ -362,8 +370,9 @@ def _few(df: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are linked to a row with a smaller id; rows with equal ids share one fate, rows without an id stay."""
     linked = link_documents(docs, n, num, den, id_col, text_col)
-    first = linked.where("n_shingles = 0 OR doc_id = component_id").select(F.col("doc_id").alias("__wm_id")).distinct()
-    kept = docs.join(first, F.col(f"`{id_col}`") == F.col("__wm_id"), "left_semi")
+    name = spare(docs, "id")
+    first = linked.where("n_shingles = 0 OR doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, F.col(f"`{id_col}`") == F.col(name), "left_semi")
     return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
