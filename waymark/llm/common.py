@@ -49,14 +49,20 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> int:
-    """Deletes the tables that this process has written to the shared folder; call it when no result is read any more."""
+def written_so_far() -> int:
+    """How many tables this process has written and not removed."""
+    return len(_written)
+
+
+def remove_written(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes tables that this process has written to the shared folder, from a count of written_so_far() on, but for the last few; call it when no result is read from them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[since : len(_written) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+        _written.remove(name)
+    return len(gone)
 
 
 def spare(df: DataFrame, name: str) -> str:
@@ -81,5 +87,3 @@ def n_words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
