@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and returns the columns of documents; the last returns the encoded
-corpus. ``run`` writes each stage's result to the shared folder and rereads it.
+corpus. ``run`` writes each stage's result to the shared folder and rereads it;
+at the end only the result's table is left there.
 
 1. quality rules: documents that the label model rejects go.
 2. n-gram Jaccard join: of each component of near duplicates (five words,
@@ -12,7 +13,7 @@ corpus. ``run`` writes each stage's result to the shared folder and rereads it.
    training position; what a source has beyond its share isn't taken.
 5. SentencePiece: sampled segmentations, seeded by row key.
 
-Null and empty texts fail the first stage's base rule; extra columns are
+A mixed row's n_chars is that of its redacted text. Null and empty texts fail the first stage's base rule; extra columns are
 carried through; empty tables give empty results.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import mixing, neardup, pieces, quality, secrets
-from waymark.llm.common import materialize, table
+from waymark.llm.common import materialize, remove_written, table, written_so_far
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -58,13 +59,14 @@ STAGES: list[tuple[str, Stage]] = [
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-#: The label model, near-duplicate components and sampling can't be put in SQL; tests compare with a brute-force version.
+#: The label model, near-duplicate components and sampling can't be put in SQL; tests/llm/test_pipeline.py runs all stages in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), written_so_far()
     for i, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage{i}")
+    remove_written(spark, since, keep=1)
     return docs
