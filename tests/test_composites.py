@@ -158,6 +158,41 @@ def test_lead_files(spark, tmp_path):
     assert text.startswith(b"\xef\xbb\xbf") and len(header.split(",")) == 39 and first.startswith("Rose,Goa")
 
 
+def test_polite_fetching(spark):
+    from waymark.sources import pages
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def get(url):
+        calls.add(1)
+        if url.endswith("robots.txt"):
+            return (200, "text/plain", b"User-agent: *\nDisallow: /private") if "a.com" in url else (500, "", b"")
+        if "slow" in url:
+            raise TimeoutError
+        return 200, "image/png" if "png" in url else "application/xml" if "xml" in url else "text/html; charset=utf-8", b"x" * 10
+
+    targets = spark.createDataFrame([(f"https://{h}.com/{p}",) for h in "ab" for p in ("ok", "private/1", "slow", "png", "xml")], "url string")
+    got = {r.url: (r.error, r.requests) for r in pages.fetch(targets, get, delay=0.0, retries=1, most=4).collect()}
+    errors = {k: v[0] for k, v in got.items()}
+    assert errors["https://a.com/private/1"] == "robots" and errors["https://b.com/private/1"] is None and errors["https://a.com/slow"] == "TimeoutError"
+    assert errors["https://a.com/png"] == "content type image/png" and errors["https://a.com/xml"] == "content type application/xml" and errors["https://a.com/ok"] is None
+    assert sum(n for _, n in got.values()) == calls.value == 2 + 4 + 5 + 2  # robots files, pages of either host, and two more tries
+    assert pages.fetch(targets.where("url LIKE '%xml'"), get, delay=0.0, allow_xml=True, allowed=lambda u: True).where("error IS NULL AND NOT truncated").count() == 2
+
+
+def test_links_and_accounts_of_listings(spark):
+    from waymark.operators import identify
+    from waymark.sources import pages
+
+    html = """<h1>Guide</h1><a href="https://www.b.com/x/?utm_source=q&b=1&a=2">Blue Door</a><a href="http://b.com/x?a=2&b=1#f">again</a><a href="https://instagram.com/moon.shop">Paper Moon</a><a href="https://instagram.com/p/1">A post here</a>
+    <p>1. Velvet Lane, 4 Market Road, find it at https://instagram.com/velvet_lane today. 2. Other Place: nothing</p>"""
+    e = pages.page_evidence(spark.createDataFrame([("https://mag.com/blog/l", html)], "url string, html string"))
+    assert [l.url for l in e.first().links] == ["https://www.b.com/x/?utm_source=q&b=1&a=2", "https://instagram.com/moon.shop", "https://instagram.com/p/1"]
+    rows = {r.business_name: r for r in identify.expand(e.withColumn("seq", F.lit(1))).collect()}
+    assert rows["Paper Moon"].instagram == "https://instagram.com/moon.shop" and rows["Velvet Lane"].instagram == "https://instagram.com/velvet_lane"
+    assert rows["Blue Door"].website.startswith("https://www.b.com/x") and rows["Velvet Lane"].source_type == "ARTICLE" and "A post here" not in rows
+
+
 # --- queries without SQL ------------------------------------------------------
 
 

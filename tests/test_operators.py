@@ -303,3 +303,14 @@ def test_keyword_windows_reach_past_the_start(spark, tmp_path):
     got = {r.doc_id: r.excerpt for r in CATALOG["keyword_windows"].run(spark, str(tmp_path)).collect()}
     assert "seen only that once" in got[1]
     assert got[2] == rows[1][1][:1500] and got[3] is None
+
+
+def test_few_and_many_terms_are_found_alike(spark, monkeypatch):
+    from waymark.operators import geo
+
+    texts = spark.createDataFrame([(1, "North Goa, and goa!"), (2, "gooa north-goa"), (3, None), (4, ""), (5, "New  Delhi / new delhi metro line")], "id int, text string")
+    terms = spark.createDataFrame([("Goa", "goa"), ("Goa", "North Goa"), ("Delhi", "new delhi"), ("X", "delhi metro line now"), ("Y", " "), ("Z", "delhi metro line")], "city string, term string")
+    few = sorted(map(tuple, geo.term_hits(texts, terms, "id", "text").collect()))
+    monkeypatch.setattr(geo, "FEW_TERMS", 2)
+    assert few == sorted(map(tuple, geo.term_hits(texts, terms, "id", "text").collect()))
+    assert [(r[0], r[2]) for r in few] == [(1, "North Goa"), (1, "goa"), (2, "North Goa"), (2, "goa"), (5, "new delhi"), (5, "delhi metro line")]

@@ -20,22 +20,21 @@ def dedupe(candidates: DataFrame) -> DataFrame:
     """One row for each site, or for each URL of other types, with queries of all rows in order.
 
     Of a site's URLs the most useful stays, then the shortest, then the first;
-    other types keep the first. The winner and the counts are partial
-    aggregates; queries are made distinct before they are gathered, so a site
-    with very many hits gathers no more than its distinct queries.
+    other types keep the first. Rows are aggregated by group and query, then by
+    group, so a site with very many hits gathers no more than its distinct queries.
     """
     site = F.col("result_type") == "WEBSITE"
     keyed = candidates.withColumn("group_key", F.when(site, F.concat(F.lit("WEBSITE|"), "domain")).otherwise(F.concat_ws("|", "result_type", "normalized_url")))
     score = F.when(site, urls.usefulness(F.col("url"))).otherwise(0)
     rank = F.struct((-score).alias("a"), F.when(site, F.length("url")).otherwise(0).alias("b"), F.col("seq").alias("c"))
     keep = [c for c in candidates.columns if c not in ("discovered_by_queries", "result_type")]
-    best = keyed.withColumn("rank", rank).groupBy("group_key", "result_type").agg(F.min_by(F.struct(*keep), "rank").alias("best"), F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_hits"))
-    asked = keyed.select("group_key", "seq", F.posexplode("discovered_by_queries").alias("pos", "q"))
-    first = asked.groupBy("group_key", "q").agg(F.min(F.struct("seq", "pos")).alias("o"))
-    gathered = first.groupBy("group_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "q"))), lambda x: x["q"]).alias("discovered_by_queries"))
-    out = best.join(gathered, "group_key", "left")
-    none = F.array().cast("array<string>")
-    return out.select("group_key", "result_type", "best.*", "first_seq", "n_hits", F.coalesce("discovered_by_queries", none).alias("discovered_by_queries"))
+    asked = keyed.select("group_key", "result_type", "seq", rank.alias("rank"), F.struct(*keep).alias("row"), F.posexplode_outer("discovered_by_queries").alias("pos", "q"))
+    by_query = asked.groupBy("group_key", "result_type", "q").agg(
+        F.min(F.struct("seq", "pos")).alias("at"), F.min_by("row", "rank").alias("row"), F.min("rank").alias("rank"), F.min("seq").alias("first_seq"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("n_hits")
+    )
+    queries = F.transform(F.array_sort(F.collect_list(F.when(F.col("q").isNotNull(), F.struct("at", "q")))), lambda x: x["q"])
+    best = by_query.groupBy("group_key", "result_type").agg(F.min_by("row", "rank").alias("best"), F.min("first_seq").alias("first_seq"), F.sum("n_hits").alias("n_hits"), queries.alias("discovered_by_queries"))
+    return best.select("group_key", "result_type", "best.*", "first_seq", "n_hits", "discovered_by_queries")
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:

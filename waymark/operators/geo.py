@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.urls import foreign_tld
 
 #: Catalogues up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Up to so many terms are looked for one by one.
+FEW_TERMS = 64
+NO_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -75,13 +79,25 @@ def expand(areas: DataFrame) -> DataFrame:
 
 
 def term_hits(texts: DataFrame, terms_: DataFrame, id_col: str, text_col: str, longest: int = 3) -> DataFrame:
-    """(id, term and its columns) for each term of up to ``longest`` words that occurs in the text as whole words."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    t = texts.select(id_col, words.alias("w"))
-    grams = F.flatten(F.array(*[_grams(F.col("w"), n) for n in range(1, longest + 1)]))
-    spelled = terms_.withColumn("__gram", F.array_join(F.filter(F.split(F.lower("term"), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), " "))
-    exploded = t.select(id_col, F.explode(F.array_distinct(grams)).alias("__gram"))
-    return exploded.join(small(spelled), "__gram").drop("__gram")
+    """(id, term and its columns) for each term of up to ``longest`` words that occurs in the text as whole words.
+
+    Up to FEW_TERMS terms, counted first, are looked for in each text, and only
+    those found leave it; more meet the texts' n-grams by an equi join.
+    """
+    spelled = terms_.withColumn("__gram", F.array_join(F.filter(F.split(F.lower("term"), NO_WORD), lambda w: w != ""), " "))
+    fits = F.size(F.split("__gram", " ")) <= longest
+    spelled = spelled.where((F.col("__gram") != "") & fits)
+    known = [r[0] for r in spelled.select("__gram").distinct().limit(FEW_TERMS + 1).collect()]
+    low = F.lower(F.col(text_col))
+    if len(known) <= FEW_TERMS:
+        spaced = F.concat(F.lit(" "), F.regexp_replace(low, NO_WORD, " "), F.lit(" "))
+        found = let(spaced, lambda t: F.filter(F.array(*map(F.lit, sorted(known))).cast("array<string>"), lambda g: F.contains(t, F.concat(F.lit(" "), g, F.lit(" ")))))
+        grams = texts.select(id_col, F.explode(found).alias("__gram"))
+    else:
+        words = F.filter(F.split(low, NO_WORD), lambda w: w != "")
+        all_ = F.flatten(F.array(*[_grams(F.col("w"), n) for n in range(1, longest + 1)]))
+        grams = texts.select(id_col, words.alias("w")).select(id_col, F.explode(F.array_distinct(all_)).alias("__gram"))
+    return grams.join(small(spelled), "__gram").drop("__gram")
 
 
 def _grams(words: Column, n: int) -> Column:
