@@ -360,6 +360,23 @@ def test_conversations_with_nulls(spark):
     assert chat.format_chats(chat.conversation_records(df.limit(0))).count() == 0
 
 
+def test_records_take_the_layout_of_their_kind(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", ""), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "<c> \\h"), (3, 0, "system", "s"), (3, 1, "user", "x"), (4, 0, "user", None), (4, 1, "assistant", "y"), (5, 0, "assistant", "only"), (6, 0, "gpt", "g"), (7, 0, None, "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = chat.conversation_records(df).withColumns({"mapping": F.lit(1), "turns": F.lit(2), "loss": F.lit(3), "formatted": F.lit(4), "extra": F.lit(5)})
+    out = {r.conv_id: r for r in chat.format_chats(clashing).withColumn("back", chat.read_turns(F.col("formatted"))).collect()}
+    assert [out[i].mapping for i in range(1, 8)] == ["prompt_response", "conversations", "messages", "messages", "conversations", "messages", "messages"]
+    for i, r in out.items():
+        assert [(t.role, t.text) for t in r.back] == [(role or "", text or "") for c, _, role, text in rows if c == i] and r.extra == 5
+
+
+def test_very_long_and_many_turns(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], "é<#\\" * 5) for i in range(400)] + [(2, 0, "user", "x" * 200_000), (2, 1, "assistant", "<" * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chats(chat.conversation_records(df)).withColumn("back", chat.read_turns(F.col("formatted"))).collect():
+        assert [t.text for t in r.back] == [t for c, _, _, t in rows if c == r.conv_id] and len(r.loss) == sum(role == "assistant" for c, _, role, _ in rows if c == r.conv_id)
+
+
 # --- personal data and secrets ------------------------------------------------
 
 

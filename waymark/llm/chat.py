@@ -83,7 +83,7 @@ def _turns(record: Column, m: Mapping) -> Column:
 
 
 def canonical_turns(df: DataFrame, record_col: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """df with its columns, ``mapping`` and ``turns`` (array of role, text)."""
+    """df with its columns, ``mapping`` and ``turns`` (array of role, text); columns of these names give way."""
     print_ = fingerprint(F.col(record_col))
     name: Column = F.lit(None).cast("string")
     for m in reversed(mappings):
@@ -140,15 +140,27 @@ def read_turns(formatted: Column) -> Column:
 
 
 def conversation_records(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One VARIANT record in the messages layout for each conversation of a table of turns."""
-    turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("content"))
-    grouped = rows.groupBy(F.col(id_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    """One VARIANT record for each conversation of a table of turns, in the layout that is usual for its kind.
+
+    A user's text and the assistant's answer are a prompt and a response; longer
+    exchanges of these two are a list of who said what; all others, such as
+    those with null texts or other roles, are a list of messages.
+    """
+    turn = F.struct(F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("content"))
+    grouped = rows.groupBy(F.col(f"`{id_col}`").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return grouped.select("conv_id", F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    said = F.transform("turns", lambda t: F.struct(F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["content"].alias("value")))
+    plain = F.forall("turns", lambda t: F.coalesce(t["role"].isin("user", "assistant"), F.lit(False)) & t["content"].isNotNull())
+    pair = plain & (F.size("turns") == 2) & (F.get("turns", F.lit(0))["role"] == "user") & (F.get("turns", F.lit(1))["role"] == "assistant")
+    asked = F.struct(F.get("turns", F.lit(0))["content"].alias("prompt"), F.get("turns", F.lit(1))["content"].alias("response"))
+    record = (
+        F.when(pair, F.to_variant_object(asked)).when(plain, F.to_variant_object(F.struct(said.alias("conversations")))).otherwise(F.to_variant_object(F.struct(messages.alias("messages"))))
+    )
+    return grouped.select("conv_id", record.alias("record"))
 
 
 def format_chats(records: DataFrame, record_col: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
-    """records with mapping, turns, the formatted text and the loss mask's spans."""
+    """records with mapping, turns, the formatted text and the loss mask's spans; columns of these names give way."""
     return canonical_turns(records, record_col, mappings).withColumns({"formatted": format_turns(F.col("turns")), "loss": loss_spans(F.col("turns"))})
 
 
