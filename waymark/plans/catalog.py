@@ -176,11 +176,46 @@ def page_text(spark, sf):
     return read(spark, sf, "pages").select("page_id", html.visible_text(F.col("html")).alias("text"))
 
 
-@query("page_names")
+def sql_names(rows: str, raw: str = "raw") -> str:
+    """CTE ``named``: the rows of a CTE with the business name in a raw title under ``name``."""
+    fixed = in_list(sorted({*rules.GENERIC_NAMES, *rules.CATEGORY_NAMES, *rules.NAVIGATION_NAMES}))
+
+    def bad(e: str) -> str:
+        low = f"regexp_replace(lower(trim({e})), '[!.]+$', '')"
+        tests = [f"{low} IN {fixed}", *(f"regexp_matches({low}, {q(p)})" for p in (rules.CHROME_NAME, rules.ARTICLE_NAME, r"^women'?s fashion$|^women'?s\s+[\w\s-]*clothing\s+online$|^(?:https?://|www\.)")), f"(contains({low}, 'download') AND contains({low}, 'app'))", f"(contains({low}, 'follow') AND contains({low}, 'instagram'))", f"regexp_matches({e}, {q('(?i)' + rules.ROUNDUP_TITLE)})"]
+        return "(" + " OR ".join(tests) + ")"
+
+    def fits(e: str) -> str:
+        return f"{e} <> '' AND NOT {bad(e)} AND len(string_split({e}, ' ')) <= 6"
+
+    return rf"""
+n0 AS (SELECT *, trim(regexp_replace(coalesce({raw}, ''), '\s+', ' ', 'g')) AS x FROM {rows}),
+n1 AS (SELECT *, trim(regexp_replace(x, '\s*[-–—|].*$', '')) AS lft FROM n0),
+n2 AS (SELECT *, trim(regexp_replace(CASE WHEN {fits('lft')} THEN lft ELSE x END, '\s*[(\[]@[^)\]]+[)\]]', '', 'g')) AS y FROM n1),
+n3 AS (SELECT *, trim(regexp_replace(y, '(?i)\s+(?:women''?s|ladies|fashion|clothing)\s+boutique$', '')) AS short FROM n2),
+n4 AS (SELECT *, CASE WHEN {fits('short')} THEN short ELSE y END AS z FROM n3),
+named AS (SELECT *, CASE WHEN x = '' OR {bad('x')} OR {bad('z')} OR length(z) NOT BETWEEN 2 AND 80 OR len(string_split(z, ' ')) > 8 THEN 'UNKNOWN' ELSE z END AS name FROM n4)"""
+
+
+SQL_TITLE = f"nullif({sql_strip('regexp_extract(html, ' + q('(?is)<title[^>]*>(.*?)</title>') + ', 1)')}, '')"
+#: What stands around a page's title in turn, so that each rule for names has its cases.
+AROUND = (("", ""), ("", " | Women's Fashion"), ("Home - ", ""), ("10 best boutiques in ", ""), ("", " (@shop.one)"), ("", " ladies boutique"), ("Your Bag: ", ""))
+
+
+@query("page_names", f"""WITH r AS (SELECT page_id, {SQL_TITLE} AS raw FROM pages), {sql_names('r')} SELECT page_id, name FROM named""")
 def page_names(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.clean_name(html.title(F.col("html"))).alias("name"))
 
 
+@query("framed_names", f"""WITH r AS (SELECT page_id, [{', '.join(q(a) for a, _ in AROUND)}][CAST(page_id % {len(AROUND)} AS INTEGER) + 1] || substr({SQL_TITLE}, 1, CAST(5 + page_id % 40 AS INTEGER)) || [{', '.join(q(b) for _, b in AROUND)}][CAST(page_id % {len(AROUND)} AS INTEGER) + 1] AS raw FROM pages), {sql_names('r')} SELECT page_id, name FROM named""")
+def framed_names(spark, sf):
+    """Titles, cut and framed by what names must lose or not have."""
+    p, i = read(spark, sf, "pages"), F.col("page_id")
+    before, after = (F.element_at(F.array(*[F.lit(x[k]) for x in AROUND]), (i % len(AROUND) + 1).cast("int")) for k in (0, 1))
+    title = F.substring(html.title(F.col("html")), F.lit(1), (i % 40 + 5).cast("int"))
+    return p.select("page_id", text.clean_name(F.concat(before, title, after)).alias("name"))
+
+
 # --- contact signals ----------------------------------------------------------
 
 
@@ -756,7 +791,9 @@ def business_signals(spark, sf):
     return s.select("doc_id", *[F.array_join(c, ";").alias(c) for c in ("emails", "phones", "social_urls", "whatsapp_urls", "address_candidates", "city_mentions")])
 
 
-@query("identified_businesses")
+@query("identified_businesses", f"""WITH p AS (SELECT min(page_id) OVER (PARTITION BY url) AS seq, url, {SQL_TITLE} AS title, list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda x: {sql_strip('x')}), lambda x: x <> '')[1] AS heading, row_number() OVER () AS row FROM pages),
+r AS (SELECT seq, url, row, 0 AS ord, title AS raw FROM p UNION ALL SELECT seq, url, row, 1, heading FROM p), {sql_names('r')}
+SELECT any_value(seq) AS seq, coalesce(arg_min(name, ord) FILTER (WHERE name <> 'UNKNOWN'), 'UNKNOWN') AS business_name, any_value(url) AS website, 'WEBSITE' AS source_type, 'site_owner' AS name_source FROM named GROUP BY row""")
 def identified_businesses(spark, sf):
     p = page_source.page_evidence(read(spark, sf, "pages")).join(read(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id")), "url")
     rows = p.withColumns({"seq": F.col("page_id"), "result_type": urls.classify(F.col("url"))})
