@@ -119,6 +119,26 @@ def test_run_from_hits_to_businesses(spark):
     assert evaluate.evaluate(candidates.dedupe(candidates.candidates_from_hits(h.limit(0))), pages)[0].count() == 0
 
 
+def test_need_follows_from_evidence(spark):
+    from waymark.operators import enrich, signals
+    from waymark.sources import pages
+
+    bare = "<html><head><title>Home</title></head><body><p>Hello.</p></body></html>"
+    e = pages.page_evidence(spark.createDataFrame([("https://rose.in/", OWNER), ("https://bare.in/", bare)], "url string, html string")).withColumns({"id": F.col("url"), "search_title": F.lit(None).cast("string")})
+    got = {r.id: (r.tier, r.wanted_roles, [r[f] for f in enrich.NEEDS]) for r in enrich.assess_need(signals.business_signals(e)).collect()}
+    assert got["https://rose.in/"][0] == "STRONG" and got["https://rose.in/"][2] == [True] * 6
+    assert got["https://bare.in/"] == ("WEAK", ["contact", "location", "about", "business", "fashion"], [False] * 6)
+
+
+def test_pages_of_other_cities_are_not_followed(spark):
+    from waymark.operators import enrich
+
+    rows = [("https://a.com/goa", "https://a.com/mumbai/contact", 0), ("https://a.com/goa", "https://a.com/goa/contact", 100), ("https://a.com/", "https://a.com/mumbai/contact", 100), ("https://a.com/goa", "https://a.com/locations", None), ("https://a.com/goa", "https://a.com/locations/panjim-town", 0)]
+    df = spark.createDataFrame([(a, b) for a, b, _ in rows], "root string, url string")
+    for r, (_, _, want) in zip(df.select(enrich.page_score(F.col("url"), F.col("root"), F.lit("")).alias("s")).collect(), rows):
+        assert r.s == want if want is not None else r.s > 0
+
+
 def test_research_asks_each_plan_once(spark):
     schema = "seq long, business_name string, address string, city string, website string, instagram string, facebook string, whatsapp string, phone string, email string, physical_store string, snippet string, source_url string, confidence string"
     calls = []

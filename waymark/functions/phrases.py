@@ -74,3 +74,17 @@ FASHION_WORD = r"(?i)\b(?:fashion|boutique|clothing|apparel|designer|wear|collec
 MULTI_WORD = r"(?i)\b(?:multi[\s-]?brand|multi[\s-]?designer|independent\s+designers?|curated|concept\s+store|collective)\b"
 STREET = r"(?i)\b\d{1,4}[^.]{0,50}\b(?:road|rd|street|st|marg|lane|nagar)\b[^.]{0,30}"
 BRANDS_KNOWN = r"(?i)\b(?:brands?\s+(?:we\s+)?(?:carry|stock)|designers?\s+we\s+(?:carry|stock)|brand\s+lineup|labels?\s+we\s+stock)\b"
+# --- fixed values: what a homepage shows already ------------------------------
+HOME_WOMEN = (
+    r"(?i)\b(?:women'?s\s+(?:clothing|fashion|wear|boutique|apparel|store)|womenswear|ladies\s+(?:clothing|wear|boutique|garments)|"
+    r"women\s+dresses|women\s+tops|women\s+apparel)\b"
+)
+HOME_GOODS = r"(?i)\b(?:dresses|tops|skirts|sarees|sari|lehengas?|ethnic\s+wear|kurtis?|women'?s\s+collections?)\b"
+HOME_VISIT = (
+    r"(?i)\b(?:visit\s+us|showroom|store\s+locator|our\s+stores?|physical\s+store|boutique\s+address|walk[\s\-]?in|visit\s+the\s+store|"
+    r"flagship\s+store|find\s+us|shop\s+in\s+[A-Z][a-z]+|book\s+an\s+appointment|store\s+hours|opening\s+hours)\b"
+)
+STORE_TYPES = ("localbusiness", "store", "clothingstore", "fashionstore")
+RETAIL_TYPES = (*STORE_TYPES, "shoestore", "jewelrystore")
+AREAS = ("Bandra", "Khar", "Colaba")
+LOCATION_PATHS = ("pages", "store", "stores", "our-store", "our-stores", "location", "locations", "showroom", "showrooms", "store-locator", "storelocator", "visit-us", "find-us", "reach-us", "reachus")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,25 +19,28 @@ def usage(calls: DataFrame, provider: str, ts: str, cost: Column) -> DataFrame:
 def admit(requests: DataFrame, daily_limit: int, monthly_limit: int, provider: str = "provider", ts: str = "ts", calls: str = "calls", order: str = "seq") -> DataFrame:
     """requests with ``admitted``: whether they fit into the day and the month, in order.
 
-    A refused request spends nothing, so this is a fold and no running sum. It
-    runs for each provider and month, day totals inside; a month of one
-    provider is one group, folded in batches of rows with only totals kept.
+    A refused request spends nothing, so this is a fold and no running sum. A
+    task streams the requests of a provider's month in order, batch by batch,
+    and keeps totals only, so a month of any size takes no memory.
     """
     marked = requests.select(F.col(order).cast("long").alias("o"), F.col(provider).cast("string").alias("p"), F.date_format(ts, "yyyy-MM-dd").alias("day"), F.date_format(ts, "yyyy-MM").alias("month"), F.col(calls).cast("long").alias("n"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o")
-        by_day: dict[str, int] = {}
-        total, out = 0, []
-        for day, n in zip(pdf["day"], pdf["n"]):
-            fits = n >= 0 and by_day.get(day, 0) + n <= daily_limit and total + n <= monthly_limit
-            if fits:
-                by_day[day] = by_day.get(day, 0) + n
-                total += n
-            out.append(fits)
-        return pd.DataFrame({"o": pdf["o"].to_numpy(), "admitted": out})
-
-    decided = marked.groupBy("p", "month").applyInPandas(replay, "o long, admitted boolean")
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, by_day, total = None, {}, 0
+        for pdf in batches:
+            out = []
+            for p, month, day, n in zip(pdf["p"], pdf["month"], pdf["day"], pdf["n"]):
+                if (p, month) != current:
+                    current, by_day, total = (p, month), {}, 0
+                fits = bool(n >= 0 and by_day.get(day, 0) + n <= daily_limit and total + n <= monthly_limit)
+                if fits:
+                    by_day[day] = by_day.get(day, 0) + n
+                    total += n
+                out.append(fits)
+            yield pd.DataFrame({"o": pdf["o"].to_numpy(), "admitted": out})
+
+    ordered = marked.repartition("p", "month").sortWithinPartitions("p", "month", "o")
+    decided = ordered.mapInPandas(replay, "o long, admitted boolean")
     return requests.join(decided, F.col(order) == F.col("o")).drop("o")
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phrases as P
-from ..functions import urls
+from ..functions import rules, urls
+from ..functions.text import haystack, mentions
 from .ordered import top_k
+from .signals import choose_name, name_candidates
 
 
 def _token(text: Column, tokens: tuple[str, ...]) -> Column:
@@ -31,10 +33,25 @@ def usable(url: Column, root: Column, anchor: Column) -> Column:
     return F.coalesce(urls.same_site(url, root) & ~bad & (F.size(segments) > 0), F.lit(False))
 
 
+def city_of(url: Column) -> Column:
+    """The longest city name in a URL's path, quarters of cities left out; null without any."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(urls.path(url)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    names = sorted((c for c in rules.CITY_NAMES if c not in P.AREAS), key=lambda c: (-len(c), rules.CITY_NAMES.index(c)))
+    return F.coalesce(*[F.when(F.contains(spaced, F.lit(f" {c.lower()} ")), c) for c in names])
+
+
 def page_score(url: Column, root: Column, anchor: Column) -> Column:
-    """0 for links not to follow, else how likely they tell about the business."""
+    """0 for links not to follow, else how likely they tell about the business.
+
+    Under the page of one city a page of another city isn't followed, nor one of
+    a place that names none and is no general list of shops.
+    """
     text = F.lower(F.concat_ws(" ", urls.path(url), anchor))
-    out = F.when(~usable(url, root, anchor), 0)
+    here, there = city_of(root), city_of(url)
+    segments = F.filter(F.split(F.lower(urls.path(url)), "/"), lambda x: x != "")
+    general = (F.size(segments) > 0) & F.forall(segments, lambda x: x.isin(*P.LOCATION_PATHS))
+    elsewhere = here.isNotNull() & F.when(there.isNotNull(), here != there).otherwise(_token(text, dict(P.PAGE_ROLES)["location"]) & ~general)
+    out = F.when(~usable(url, root, anchor) | F.coalesce(elsewhere, F.lit(False)), 0)
     for tokens, points in P.PAGE_SCORES:
         out = out.when(_token(text, tokens), points)
     goods = text.rlike(r"\b(?:dress|dresses|top|tops|sale|new|product)\b")
@@ -52,12 +69,56 @@ def select_pages(links: DataFrame, limit: int = P.MAX_PAGES, wanted: tuple[str,
     return top_k(best, ["root"], order, limit).select("root", F.col("target").alias("url"), "role", "score", "source", "rank")
 
 
+NEEDS = ("name_ok", "type_ok", "women_ok", "physical_ok", "city_ok", "contact_ok")
+
+
 def need(df: DataFrame) -> DataFrame:
-    """df (has_name, has_contact, has_address, has_city, has_type, has_store) with tier STRONG, PARTIAL or WEAK and the roles worth fetching."""
-    flags = ("has_name", "has_contact", "has_address", "has_city", "has_type", "has_store")
-    met = sum((F.col(f).cast("int") for f in flags), F.lit(0))
-    roles = F.array(F.when(~F.col("has_contact"), "contact"), F.when(~F.col("has_address") | ~F.col("has_store"), "location"), F.when(~F.col("has_name") | ~F.col("has_type"), "about"))
-    return df.withColumns({"tier": F.when(met >= 5, "STRONG").when(met >= 3, "PARTIAL").otherwise("WEAK"), "wanted_roles": F.filter(roles, lambda x: x.isNotNull())})
+    """df (the flags of NEEDS) with tier STRONG, PARTIAL or WEAK, the roles worth fetching, and why."""
+    no = {f: ~F.coalesce(F.col(f), F.lit(False)) for f in NEEDS}
+    missing = sum((v.cast("int") for v in no.values()), F.lit(0))
+    place, identity, kind = no["physical_ok"] | no["city_ok"], no["name_ok"] | no["type_ok"], no["women_ok"] | no["type_ok"]
+    wanted = F.array_compact(F.array(F.when(no["contact_ok"], F.lit("contact")), F.when(place, F.lit("location")), F.when(identity | kind, F.lit("about")), F.when(kind, F.lit("fashion"))))
+    why = F.array_compact(
+        F.array(
+            F.when(no["contact_ok"], F.lit("missing_contact")), F.when(no["physical_ok"], F.lit("missing_location")).when(no["city_ok"], F.lit("missing_city")),
+            F.when(no["name_ok"], F.lit("missing_identity")).when(no["type_ok"], F.lit("missing_type")), F.when(no["women_ok"], F.lit("missing_women")),
+        )
+    )
+    everything = F.array(*map(F.lit, ("contact", "location", "about", "business", "fashion")))
+    none = F.array().cast("array<string>")
+    return df.withColumns(
+        {
+            "tier": F.when(missing == 0, "STRONG").when(missing >= 3, "WEAK").otherwise("PARTIAL"), "wanted_roles": F.when(missing == 0, none).when(missing >= 3, everything).otherwise(wanted),
+            "need_reasons": F.when(missing == 0, F.array(F.lit("complete"))).otherwise(why),
+        }
+    )
+
+
+def assess_need(pages: DataFrame) -> DataFrame:
+    """need() of homepages, by their evidence and signals.
+
+    pages: id, title, meta_description, og_site_name, meta_brand, headings,
+    facts, text, search_title, emails, phones, social_urls, address_candidates,
+    city_mentions.
+    """
+    hay = haystack("title", "meta_description", F.array_join("headings", " "), "text")
+    names = choose_name(name_candidates(pages.withColumn("role", F.lit("homepage"))))
+    sure = names.where(F.col("confidence").isin("HIGH", "MEDIUM") & (F.col("source") != "search_title")).select(F.col("id").alias("__id"))
+    types = F.transform("facts", lambda f: F.lower(F.coalesce(f["schema_type"], F.lit(""))))
+    localities = F.array_distinct(F.transform(F.filter("facts", lambda f: f["field"].isin("city", "addressLocality")), lambda f: F.lower(f["value"])))
+    in_address = mentions(F.array_join("address_candidates", " "), rules.CITY_NAMES)
+    cities = F.when(F.size(in_address) > 0, in_address).otherwise(F.col("city_mentions"))
+    has_address = F.size("address_candidates") > 0
+    pin = F.exists("address_candidates", lambda a: a.rlike(P.PIN_CODE))
+    flags = {
+        "name_ok": F.col("__id").isNotNull(),
+        "type_ok": hay.rlike(P.BOUTIQUE) | hay.rlike(P.STORE) | F.arrays_overlap(types, F.array(*map(F.lit, P.RETAIL_TYPES))) | F.exists("facts", lambda f: f["source"] == "jsonld_localbusiness"),
+        "women_ok": hay.rlike(P.HOME_WOMEN) | (F.regexp_count(hay, F.lit(P.HOME_GOODS)) >= 2),
+        "physical_ok": hay.rlike(P.ONLINE_ONLY) | F.arrays_overlap(types, F.array(*map(F.lit, P.STORE_TYPES))) | F.exists("facts", lambda f: f["field"] == "address") | (has_address & (pin | hay.rlike(P.HOME_VISIT))),
+        "city_ok": (F.size(localities) == 1) | (F.size(cities) == 1),
+        "contact_ok": (F.size("emails") > 0) | (F.size("phones") > 0) | F.exists("social_urls", lambda u: F.contains(F.lower(u), F.lit("instagram.com"))),
+    }
+    return need(pages.join(sure, F.col("id") == F.col("__id"), "left").withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}).drop("__id"))
 
 
 def combine_pages(pages: DataFrame, text_chars: int = 50_000) -> DataFrame:

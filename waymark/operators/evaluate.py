@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..functions.text import UNKNOWN, present
+from ..functions.text import UNKNOWN, haystack, present
 from ..sources.pages import FACT, LINK, page_evidence
 from . import candidates as C
 from . import classify, geo, identify, lead, score, signals
@@ -22,17 +22,9 @@ from .enrich import page_role
 from .graph import written
 from .resolve import fold, merge_by_first_key, merge_same_name
 
-#: Characters of text that rules about a business read.
-HAYSTACK_CHARS = 24_000
 EMPTY = {"meta_description": "string", "text": "string", "headings": "array<string>", "links": f"array<{LINK}>", "og_site_name": "string", "meta_brand": "string", "facts": f"array<{FACT}>"}
 
 
-def haystack(*parts: Column | str, most: int = HAYSTACK_CHARS) -> Column:
-    """The parts that are there, joined by spaces and cut."""
-    there = [F.when(c != "", c) for c in (F.col(p) if isinstance(p, str) else p for p in parts)]
-    return F.substring(F.concat_ws(" ", *there), 1, most)
-
-
 def inspect(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Candidates (seq, url, normalized_url, title, result_type) with the evidence of their page, met by normal URL.
 

@@ -87,8 +87,10 @@ def merge_same_name(records: DataFrame, order: str = "seq") -> DataFrame:
 
     A record joins the first earlier one of its name that, merged so far, has no
     different domain, account, phone or city. The comparison is with the merged
-    record, so a name's records are folded in order, one name at a time: a
-    block is as large as the records of one exact name.
+    record, so a name's records are folded in order, one name at a time. Records
+    of one name with the same four facts share one place, the first one's: what
+    it was merged with stays compatible, and what conflicted goes on to. So a
+    block holds the different facts of one exact name and not its records.
     """
     keys = identity_keys()
     named = records.where(present(F.col("business_name"))).select(
@@ -112,8 +114,14 @@ def merge_same_name(records: DataFrame, order: str = "seq") -> DataFrame:
                 into.append(o)
         return pd.DataFrame({"o": rows["o"].to_numpy(), "merged_into": into})
 
-    merged = named.groupBy("name").applyInPandas(greedy, "o long, merged_into long")
-    return records.select(F.col(order).cast("long").alias("o")).join(merged, "o", "left").select(F.col("o").alias(order), F.coalesce("merged_into", "o").alias("merged_into"))
+    facts = ("name", "d", "i", "p", "c")
+    same = named.groupBy(*facts).agg(F.min("o").alias("o"))
+    merged = same.groupBy("name").applyInPandas(greedy, "o long, merged_into long").withColumnRenamed("o", "first")
+    match = F.lit(True)
+    for c in facts:
+        match = match & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    placed = named.alias("l").join(same.withColumnRenamed("o", "first").alias("r"), match).select(F.col("l.o").alias("o"), "first").join(merged, "first").select("o", "merged_into")
+    return records.select(F.col(order).cast("long").alias("o")).join(placed, "o", "left").select(F.col("o").alias(order), F.coalesce("merged_into", "o").alias("merged_into"))
 
 
 def claims(records: DataFrame, order: str = "seq", strict: bool = False, keys: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -85,9 +85,10 @@ golden("golden_page_scores", "url string, root string, anchor string", ["role",
     (("https://x.com/", "https://x.com/", ""), ("homepage", 0)), (("https://y.com/contact", "https://x.com/", ""), ("contact", 0)), (("https://x.com/a?b=contact", "https://x.com/", ""), ("contact", 0)), (("https://x.com/retail", "https://x.com/", ""), ("business", 55)),
     (("https://x.com/womenswear", "https://x.com/", ""), ("fashion", 40)), (("https://x.com/x", "https://x.com/", "shop"), ("other", 20)), (("https://x.com/visit-us", "https://x.com/", "login"), ("location", 0)), (("https://x.com/contact.pdf", "https://x.com/", ""), ("contact", 0)),
 ], lambda df: df.select("seq", enrich.page_role(F.col("url"), F.col("root")).alias("role"), enrich.page_score(F.col("url"), F.col("root"), F.col("anchor")).alias("score")))
-golden("golden_enrichment_need", "has_name boolean, has_contact boolean, has_address boolean, has_city boolean, has_type boolean, has_store boolean", ["tier", "roles"], [
-    ((True, True, True, True, True, True), ("STRONG", "")), ((True, True, False, True, True, True), ("STRONG", "location")), ((True, False, False, True, True, False), ("PARTIAL", "contact,location")), ((False, False, False, False, False, True), ("WEAK", "contact,location,about")),
-], lambda df: enrich.need(df).select("seq", "tier", F.array_join("wanted_roles", ",").alias("roles")))
+golden("golden_enrichment_need", ", ".join(f"{f} boolean" for f in enrich.NEEDS), ["tier", "roles", "reasons"], [
+    ((True, True, True, True, True, True), ("STRONG", "", "complete")), ((True, True, True, False, True, True), ("PARTIAL", "location", "missing_location")), ((True, False, True, True, False, True), ("PARTIAL", "location,about,fashion", "missing_city,missing_type")),
+    ((True, True, False, True, True, False), ("PARTIAL", "contact,about,fashion", "missing_contact,missing_women")), ((False, False, True, False, True, True), ("WEAK", "contact,location,about,business,fashion", "missing_location,missing_identity")), ((None, True, True, True, True, True), ("PARTIAL", "about", "missing_identity")),
+], lambda df: enrich.need(df).select("seq", "tier", F.array_join("wanted_roles", ",").alias("roles"), F.array_join("need_reasons", ",").alias("reasons")))
 golden("golden_research_priority", "business_name string, address string, city string, website string, instagram string, physical_store string, snippet string, status string", ["priority", "missing"], [
     (("Shop One", "12 Market road", "Goa", None, None, "YES", "fashion curated", "pending"), (18, "instagram,website,brands")), (("Home", None, "Goa", None, None, "UNKNOWN", "", "pending"), (0, "address,instagram,website,store,brands,maps")),
     (("Blue Door", None, None, "b.com", "@b", "UNKNOWN", "", "enriched"), (4, "address,store,brands,maps")), (("Big House", "1 road", "Goa", "b.com", "@b", "YES", "a wholesaler", "pending"), (0, "brands")), (("Moon", "1 road", "Goa", "b.com", "@b", "YES", "brands we carry", "pending"), (0, "")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
-from ..operators import candidates, diagnose, evaluate, export, report, research, resolve, signals, sitemaps
+from ..operators import candidates, diagnose, enrich, evaluate, export, report, research, resolve, signals, sitemaps
 from .catalog import SQL_DEDUPE, SQL_EXPORT, SQL_RECORDS, SQL_URL, domain_pattern, export_rows, hits, in_list, page_records, q, query, read
 
 
@@ -299,3 +299,15 @@ def evaluated_candidates(spark, sf):
     found = candidates.dedupe(candidates.candidates_from_hits(hits(spark, sf)))
     rows, _ = evaluate.evaluate(found, read(spark, sf, "pages").select("url", "html"))
     return rows.select("seq", "ord", "business_name", "source_type", "business_type", "relationship", "entity_quality", "stockist_lead", "status", "physical", "fashion", "fit_score")
+
+
+@query("enrichment_need", f"""WITH i AS (SELECT event_id, event_id % 2 = 0 AS a, event_id % 3 > 0 AS b, event_id % 5 > 0 AS c, event_id % 7 > 0 AS d, event_id % 11 > 0 AS e, event_id % 13 > 0 AS f FROM events),
+m AS (SELECT *, (NOT a)::INT + (NOT b)::INT + (NOT c)::INT + (NOT d)::INT + (NOT e)::INT + (NOT f)::INT AS missing FROM i)
+SELECT event_id, CASE WHEN missing = 0 THEN 'STRONG' WHEN missing >= 3 THEN 'WEAK' ELSE 'PARTIAL' END AS tier,
+  CASE WHEN missing = 0 THEN '' WHEN missing >= 3 THEN 'contact,location,about,business,fashion' ELSE concat_ws(',', CASE WHEN NOT f THEN 'contact' END, CASE WHEN NOT d OR NOT e THEN 'location' END, CASE WHEN NOT a OR NOT b OR NOT c THEN 'about' END, CASE WHEN NOT b OR NOT c THEN 'fashion' END) END AS roles,
+  CASE WHEN missing = 0 THEN 'complete' ELSE concat_ws(',', CASE WHEN NOT f THEN 'missing_contact' END, CASE WHEN NOT d THEN 'missing_location' WHEN NOT e THEN 'missing_city' END, CASE WHEN NOT a THEN 'missing_identity' WHEN NOT b THEN 'missing_type' END, CASE WHEN NOT c THEN 'missing_women' END) END AS reasons FROM m""")
+def enrichment_need(spark, sf):
+    """Events as pages with all mixes of flags."""
+    i = F.col("event_id")
+    rows = read(spark, sf, "events").select("event_id", *[(i % n > 0 if n > 2 else i % n == 0).alias(f) for f, n in zip(enrich.NEEDS, (2, 3, 5, 7, 11, 13))])
+    return enrich.need(rows).select("event_id", "tier", F.array_join("wanted_roles", ",").alias("roles"), F.array_join("need_reasons", ",").alias("reasons"))

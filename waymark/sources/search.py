@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators import ordered
+
 HIT = "title string, url string, snippet string, source string"
 PAYLOAD = "results array<struct<title string, url string, pretty_url string, content string, snippet string, engine string, engines array<string>>>"
 BATCH = "query string, limit int, family string, city string, state string, country string"
@@ -32,9 +34,8 @@ def _struct(ddl: str) -> str:
 
 
 def numbered(hits: DataFrame, order: str = "seq") -> DataFrame:
-    """hits with one running number over payloads and their hits."""
-    first = Window.orderBy(order, "ord")
-    return hits.withColumn("hit_seq", F.row_number().over(first) - 1)
+    """hits with one running number over payloads and their hits, by a range sort."""
+    return ordered.numbered(hits, [order, "ord"], "hit_seq").withColumn("hit_seq", F.col("hit_seq") - 1)
 
 
 def first_pages(hits: DataFrame, limit: int, order: str = "seq") -> DataFrame:
