@@ -68,7 +68,7 @@ class Vocabulary:
         self.size = n
         self.bytes: list[bytes] = [b""] * n
         self.ids: dict[str, int] = {}
-        self.byte_id = [0] * 256
+        self.byte_id = np.zeros(256, np.int32)
         for i in range(n):
             if model.is_byte(i):
                 value = int(model.id_to_piece(i)[3:5], 16)
@@ -197,13 +197,17 @@ class Lattice:
             alpha, shift = _sums_side_by_side(n, place, start_of, end_of, weight), np.zeros(n, np.int64)
         opens = place[start_of] == 0
         before = np.where(opens, 0, start_of - 1)
-        moved = np.where(opens, shift[end_of], shift[end_of] - shift[before])
-        share = np.ldexp(np.where(opens, 1.0, alpha[before]), moved) * weight / alpha[end_of]
+        mass = np.where(opens, 1.0, alpha[before])
+        if shift.any():
+            mass = np.ldexp(mass, np.where(opens, shift[end_of], shift[end_of] - shift[before]))
+        share = mass * weight / alpha[end_of]
         # running sums inside each state, so that nothing depends on other chunks
-        rank = np.arange(total) - np.repeat(self.offset[:-1], np.diff(self.offset))
-        for r in range(1, int(rank.max(initial=0)) + 1):
-            at = np.flatnonzero(rank == r)
+        at, last = self.offset[:-1] + 1, self.offset[1:]
+        while len(at):
+            on = at < last
+            at, last = at[on], last[on]
             share[at] += share[at - 1]
+            at = at + 1
         self.upto = share
 
     def sample(self, chunk: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +257,9 @@ class Lattice:
 def _sums_side_by_side(n: int, place: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Sums of chunks that are short enough for no sum to get too small."""
     alpha = np.zeros(n)
-    order = np.argsort(place[start], kind="stable")
-    cuts = np.searchsorted(place[start][order], np.arange(int(place.max(initial=-1)) + 2))
+    from_ = place[start].astype(np.uint8)  # short chunks, and short numbers sort faster
+    order = np.argsort(from_, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(from_, minlength=int(place.max(initial=-1)) + 1))])
     for p in range(len(cuts) - 1):
         e = order[cuts[p] : cuts[p + 1]]
         alpha[end[e]] += weight[e] if p == 0 else alpha[start[e] - 1] * weight[e]  # no two edges of one place have one end
@@ -324,7 +329,9 @@ def _encode(v: Vocabulary, salts: Sequence[int], bodies: Sequence[str], firsts:
     if not is_short.all():
         pieces, counts = _with_long(v, distinct, chunk, state, is_short, pieces, counts)
     cut = np.concatenate([[0], np.cumsum(counts)])[begin]
-    return [(_spell(v, pieces[cut[i] : cut[i + 1]]), int(per[i])) for i in range(len(bodies))]
+    ids, ends = _spell(v, pieces)
+    cut = np.concatenate([[0], ends])[cut]
+    return [(ids[cut[i] : cut[i + 1]], int(per[i])) for i in range(len(bodies))]
 
 
 def _with_long(v, distinct, chunk, state, is_short, pieces, counts):
@@ -347,14 +354,25 @@ def _with_long(v, distinct, chunk, state, is_short, pieces, counts):
     return out, all_counts
 
 
-def _spell(v: Vocabulary, pieces: np.ndarray) -> np.ndarray:
-    """Pieces with characters that are no piece spelled in bytes."""
-    if not len(pieces) or pieces.min() >= 0:
-        return pieces
-    out: list[int] = []
-    for p in pieces.tolist():
-        out.extend([p] if p >= 0 else [v.byte_id[b] for b in chr(-1 - p).encode()])
-    return np.array(out, np.int32)
+def _spell(v: Vocabulary, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces, with characters that are no piece spelled in bytes, and where each piece ends among them."""
+    bare = pieces < 0
+    code = -1 - pieces[bare].astype(np.int64)
+    size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    n = np.ones(len(pieces), np.int64)
+    n[bare] = size
+    ends = np.cumsum(n)
+    if not len(code):
+        return pieces, ends
+    out, begin = np.empty(int(ends[-1]), np.int32), ends - n
+    out[begin[~bare]] = pieces[~bare]
+    begin = begin[bare]
+    for k, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):  # UTF-8 of one to four bytes
+        of = size == k
+        for j in range(k):
+            byte = code[of] >> (6 * (k - 1 - j))
+            out[begin[of] + j] = v.byte_id[byte | lead if j == 0 else byte & 0x3F | 0x80]
+    return out, ends
 
 
 def decode_ids(v: Vocabulary, ids: Sequence[int]) -> str:
