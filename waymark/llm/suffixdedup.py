@@ -263,12 +263,13 @@ def repeated_intervals(docs: DataFrame, min_len: int, keep: str, most: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
 
     members = docs.select("key", "text").mapInArrow(find, "h long, c long, key long, a int, b int, w long")
+    # sides of a join are written, as adaptive execution splits a hot key only between two plain exchanges
     grams = members.groupBy("h").agg(F.sum("w").alias("all"), (F.min("c") < F.max("c")).alias("mixed")).where("all > 1").select("h", "mixed")
-    shared = materialize(members.join(grams, "h"), "anchors")
+    shared = materialize(members.join(materialize(grams, "grams"), "h"), "anchors")
     of_context = shared.groupBy("h", "c").agg(F.sum("w").alias("n"), F.min(F.struct("key", "a")).alias("first"))
     is_first = F.struct("key", "a") == F.col("first")
     whole = ~is_first if keep == "first" else F.col("n") > 1
-    flagged = shared.join(of_context, ["h", "c"]).select("h", "key", "a", "b", whole.alias("whole"), (is_first & F.col("mixed")).alias("wanted")).where("whole OR wanted")
+    flagged = shared.join(materialize(of_context, "counted"), ["h", "c"]).select("h", "key", "a", "b", whole.alias("whole"), (is_first & F.col("mixed")).alias("wanted")).where("whole OR wanted")
     flagged = materialize(flagged, "flagged")
 
     edges = flagged.where("wanted").groupBy("key").agg(F.collect_set(F.struct("h", "a", (~F.col("whole")).alias("own"))).alias("list"))
