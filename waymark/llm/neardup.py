@@ -329,17 +329,16 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     alone = base.join(F.broadcast(copies), "doc_id", "left_anti") if copies.count() <= 2 * FEW_PAIRS else base
     by_key = Window.partitionBy("key")
     keyed = key_table(alone, n, num, den)
-    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key)})
-    shared = materialize(shared.where("lo <> hi").select("key", "sid").distinct(), "shared")
-    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    shared = keyed.withColumns({"lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)})
+    shared = materialize(shared.where("lo <> hi").select("key", "sid", "size").distinct(), "shared")
     # sets with fewer shared keys than a link takes have no link
-    counted = shared.join(sizes, "key").groupBy("sid").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("size").alias("weight"))
+    counted = shared.groupBy("sid").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("size").alias("weight"))
     known = made.where("dense IS NOT NULL").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "need", "dense", "short")])
     sets = materialize(counted.join(known, "sid").where("n_keys >= need"), "shared-sets")
-    # each member with the most central member of its group; what a group is told is a partial aggregate
-    likely = shared.join(_few(sets.select("sid", "weight")), "sid")
-    groups = likely.groupBy("key").agg(F.min_by("sid", F.struct(-F.col("weight"), F.col("sid"))).alias("pivot"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("size"))
-    grouped = likely.select("key", "sid").join(groups, "key")
+    # each member with the most central member of its group; one shuffle, as joining aggregates back would move the members twice
+    central = by_key.orderBy(F.desc("weight"), "sid")
+    grouped = shared.select("key", "sid").join(_few(sets.select("sid", "weight")), "sid")
+    grouped = grouped.withColumns({"pivot": F.first("sid").over(central), "lo": F.min("sid").over(by_key), "hi": F.max("sid").over(by_key), "size": F.count(F.lit(1)).over(by_key)})
     grouped = materialize(grouped.where("lo <> hi").select("key", "sid", "pivot", "size"), "grouped")
     stars = grouped.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
     links = materialize(_verify(_may_link(stars, sets, num, den), reps, texts, n, num, den), "links")
@@ -347,9 +346,10 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, i
     # groups that span components; the pivot has been compared with all
     rest = grouped.where("size > 2 AND sid <> pivot").join(_few(labels.withColumnRenamed("node", "sid")), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
     spanning = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sid").alias("grp")).where("low <> high").select("key", "grp")
+    spanning = materialize(spanning, "spanning")
     # a cluster shares many keys: groups of one least member are one group, so that a pair is compared once and not once per key
     members = materialize(rest.join(spanning, "key").select("grp", "sid", "label").distinct(), "members")
-    several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    several = materialize(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "several")
     rows = several.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0
     members = members.join(several, "grp").join(sets.select("sid", "n", "dense"), "sid")
     rest = materialize(_blocks(members, rows, num, den), "candidates")

@@ -78,6 +78,11 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
 
 
+def features(text: Column) -> Column:
+    """All features of a non-null text as one struct, computed once wherever it is used."""
+    return let(words_of(text), lambda w: let(lines_of(text), lambda l: F.struct(*[v.alias(k) for k, v in _values(text, w, l).items()])))
+
+
 def free_prefix(docs: DataFrame) -> str:
     """A prefix that no column of docs has."""
     prefix = "__wm_"
@@ -195,11 +200,19 @@ def judge(featured: DataFrame, model: Model, threshold: float = 0.5, prefix: str
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    prefix = free_prefix(docs)
-    featured = materialize(with_features(docs, text_col, prefix), "quality")  # features are worked out once
-    kept = judge(featured, fit(featured, prefix), threshold, prefix).where(F.col(f"{prefix}kept"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that are kept, with their own columns.
+
+    Features are worked out for the model and again for the verdict: a table
+    that keeps them with the texts would take the corpus's size on disk.
+    """
+    model = fit(with_features(docs.select(text_of(text_col).alias("text"))))
+
+    def verdict(x: Column) -> Column:
+        f = {k: x[k] for k in FEATURES}
+        return ~base_failed(f) & (posterior(model, list(votes(f).values())) >= threshold)
+
+    # one expression, so that pushing the filter down doesn't copy the features
+    return docs.where(let(features(text_of(text_col)), verdict))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
