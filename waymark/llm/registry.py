@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, neardup, pieces, pii, quality, secrets, suffixdedup, topk
+from . import asof, chat, html, mixing, neardup, pieces, pii, quality, secrets, suffixdedup, topk
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_top_k": topk.op9_top_k,
     "op10_extract_html": html.op10_extract_html,
+    "op12_asof_orders": asof.op12_asof_orders,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_format_chats": chat.OP5_SQL,
     "op7_scan_secrets": secrets.OP7_SQL,
     "op9_top_k": topk.OP9_SQL,
+    "op12_asof_orders": asof.OP12_SQL,
 }
