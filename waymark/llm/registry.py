@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asof, chat, html, mixing, neardup, pieces, pii, quality, secrets, suffixdedup, topk
+from . import asof, chat, html, mixing, neardup, pieces, pii, quality, secrets, suffixdedup, topk, trie
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_top_k": topk.op9_top_k,
     "op10_extract_html": html.op10_extract_html,
     "op12_asof_orders": asof.op12_asof_orders,
+    "op13_conversation_trie": trie.op13_conversation_trie,
 }
 ORACLE_SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op7_scan_secrets": secrets.OP7_SQL,
     "op9_top_k": topk.OP9_SQL,
     "op12_asof_orders": asof.OP12_SQL,
+    "op13_conversation_trie": trie.OP13_SQL,
 }
