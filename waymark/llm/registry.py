@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import asof, chat, html, mixing, neardup, pieces, pii, quality, secrets, suffixdedup, topk, trie
+from . import asof, chat, html, mixing, neardup, pieces, pii, quality, secrets, suffixdedup, topk, trie, vectorlinks
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_top_k": topk.op9_top_k,
     "op10_extract_html": html.op10_extract_html,
+    "op11_near_vectors": vectorlinks.op11_near_vectors,
     "op12_asof_orders": asof.op12_asof_orders,
     "op13_conversation_trie": trie.op13_conversation_trie,
 }
@@ -24,6 +25,7 @@ ORACLE_SQL = {
     "op5_format_chats": chat.OP5_SQL,
     "op7_scan_secrets": secrets.OP7_SQL,
     "op9_top_k": topk.OP9_SQL,
+    "op11_near_vectors": vectorlinks.OP11_SQL,
     "op12_asof_orders": asof.OP12_SQL,
     "op13_conversation_trie": trie.OP13_SQL,
 }
