@@ -86,3 +86,49 @@ def test_awkward_pages(spark):
     assert html.extract(df).columns == ["page_id", "__wm_html", "text"]
     assert out[3].text == LONG and out[4].text.count(LONG) == 5000 and out[4].text.count("\n") == 4999
     assert out[1].text == out[2].text == out[6].text == "" and out[1]["__wm_html"] == "a"
+
+
+def loose(r: random.Random, page: str) -> str:
+    """The page as HTML may be written too: end tags left out, misleading attribute values, other quotes."""
+    for end in ("</head>", "</p>", "</li>", "</td>", "</body></html>"):
+        if r.random() < 0.6:
+            page = page.replace(end, "")
+    if r.random() < 0.5:
+        page = page.replace("<body ", f"<body title='{r.choice(('hidden', 'display:none', 'a > b', 'the <nav>'))}' ", 1)
+    for tag in ("<article>", "<main>", '<div class="content">', "<h1>"):
+        page = page.replace(tag, tag[:-1] + r.choice((" data-x='the hidden one'", ' title="a hidden gem"', " data-hidden=1", " aria-label='display:none'", " data-y=hidden", " alt='a > b'", "")) + ">")
+    return page
+
+
+def test_planted_articles_in_loose_markup():
+    r = random.Random(21)
+    pages = [planted(r) for _ in range(600)]
+    texts = [html.main_text(loose(r, page)) for page, _ in pages]
+    assert sum(t == article for t, (_, article) in zip(texts, pages)) >= 0.97 * len(pages)
+    assert all(texts)
+
+
+def test_optional_ends_and_attributes():
+    assert html.main_text(f"<head><title>x</title><body><p>{LONG}") == LONG
+    assert html.main_text(f"<html><head><meta a=b><link><p>{LONG}<p>{LONG}") == LONG + "\n" + LONG
+    assert html.main_text(f"<head><title>x</title>{LONG}") == LONG
+    assert html.main_text(f"<article data-x='the hidden one'><p>{LONG}</article>") == LONG
+    assert html.main_text(f"<div title='a hidden gem'><p>{LONG}</div>") == LONG
+    assert html.main_text(f"<div data-style='display:none'><p>{LONG}</div>") == LONG
+    for gone in ("hidden", "HIDDEN", "hidden=''", "hidden=until-found", "style='color:red; display : none'", "style=display:none", "class=x hidden"):
+        assert html.main_text(f"<article><p>{LONG}<div {gone}>Not shown.</div></article>") == LONG, gone
+    assert html.main_text(f"<article><p>{LONG}<a href=/x/>Linked</a></p></article>") == LONG + "Linked"
+    assert html.main_text(f"<p title='a > b'>{LONG}</p><p title=\"it's\">{LONG}</p>") == LONG + "\n" + LONG
+    assert html.main_text(f"<p title='unclosed>{LONG}</p><p>{LONG}</p>").endswith(LONG)
+
+
+def test_hostile_pages_take_linear_time():
+    """A megabyte of each shape in a few seconds."""
+    import time
+
+    for shape in ("<script ", "<a '", "<a '>' ", '<a ">" x', "<div class='ad'>x", "</b>", "<b></i>", "<!--", "<p><li>", "<form><main>", "<x y=", "<", "<a b='", "<svg>", "<div hidden ", "&amp", "<a>x", "<textarea", "<p>x</div>"):
+        for end in ("", ">", "'>"):
+            page = shape * (1_000_000 // len(shape)) + end
+            began = time.time()
+            html.main_text(page)
+            assert time.time() - began < 8, (shape, end, time.time() - began)

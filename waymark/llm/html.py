@@ -17,8 +17,8 @@ text outside of links, or one with a weak name ("social", "legal") whose text
 is prose and not links, is no such part, nor is a form or a list of comments
 around page structure.
 
-One pass per page, no shuffle. Defined cases: null or empty html gives an
-empty text; unclosed and stray tags are tolerated; a page without any stretch over
+One pass per page in time that grows with its length, no shuffle. Defined cases: null or empty html gives an
+empty text; stray end tags are passed over, an element without an end goes on to that of the element around it, a head without one to the first element or text of a body, a tag without > is text; a page without any stretch over
 the threshold and without marked lines keeps its fullest stretch; repeated rows get equal results;
 columns beside html and text are kept.
 """
@@ -27,8 +27,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,12 @@ NAMES = re.compile(
 )
 WEAK_NAMES = re.compile(r"(?:^|[\s_-])(?:side|share|social|search|login|legal)(?:$|[\s_-])", re.I)
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+#: Elements of a head; any other ends it.
+HEAD_CONTENT = frozenset("base link meta noscript script style template title".split())
 SPACE = re.compile(r"\s+")
 APART = re.compile(r"[\W_]+")
 
@@ -68,11 +72,19 @@ class Part:
     """An element that may be a part beside the article: kind is out, comments, form, named or weak."""
 
     kind: str
-    framed: bool = False  # holds page structure
+    around: "Part | None"  # the part it lies in
+    frame: bool = False  # holds page structure
+    article: bool = False  # holds an article
     prose: int = 0  # characters outside of links
     linked: int = 0
     lines: int = 0
     marked: int = 0  # lines in marked articles
+    out: bool = False
+
+    @property
+    def apart(self) -> bool:
+        framed = self.frame or (self.kind == "form" and self.article)
+        return self.kind == "out" or (self.kind in ("comments", "form") and not framed)
 
 
 @dataclass
@@ -81,19 +93,70 @@ class Line:
     prose: int  # characters outside of links
     headline: bool
     marked: bool  # inside a marked article
-    parts: list[Part] = field(default_factory=list)
+    part: Part | None  # the innermost
     out: bool = False
 
 
+class Tokens:
+    """Markup of a page, one after the other, in time that grows with its length only.
+
+    A tag ends at the first > outside of quotes; where there is none, at the
+    first > at all, from there to the page's end.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.plain = page, False
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next markup from a place on; name is empty for comments and the like."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+                if page.startswith(opening, start):
+                    stop = page.find(closing, start + len(opening))
+                    return start, len(page) if stop < 0 else stop + len(closing), "", "", ""
+            m = OPEN_TAG.match(page, start)
+            if m:
+                stop = self.tag_end(m.end())
+                if stop < 0:
+                    return None  # no > is left
+                return start, stop + 1, m[1], m[2].lower(), page[m.end() : stop]
+            at = start + 1
+        return None
+
+    def tag_end(self, at: int) -> int:
+        page, first = self.page, self.page.find(">", at)
+        if first < 0 or self.plain:
+            return first
+        while m := STOP.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.plain = True
+        return first
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attribute names in lower case and their values, the first of each name."""
+    out: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
 def lines_of(page: str, threshold: int = 40) -> list[Line]:
     """The lines with text, in page order, told which are out."""
     lines: list[Line] = []
+    parts: list[Part] = []  # those around come before those inside
     texts: list[str] = []
     linked = 0
-    open_: list[tuple[str, list[Part], bool, bool]] = []  # element, and what holds outside of it: parts, marked, in a link
-    parts: list[Part] = []
+    open_: list[tuple[str, Part | None, bool, bool]] = []  # element, and what holds outside of it: part, marked, in a link
+    counts: Counter[str] = Counter()
+    part: Part | None = None
     marked = link = False
-    at, end = 0, len(page)
+    at, end, tokens = 0, len(page), Tokens(page)
 
     def flush(headline: bool) -> None:
         nonlocal linked
@@ -101,55 +164,69 @@ def lines_of(page: str, threshold: int = 40) -> list[Line]:
             text = SPACE.sub(" ", html_lib.unescape("".join(texts))).strip()
             if text:
                 prose = max(0, len(APART.sub("", text)) - linked) if linked else len(text)  # between links, bars and spaces are no text
-                lines.append(Line(text, prose, headline, marked, parts))
+                lines.append(Line(text, prose, headline, marked, part))
             texts.clear()
         linked = 0
 
+    def close(name: str) -> None:
+        """Ends the innermost open element of a name and all inside it."""
+        nonlocal part, marked, link
+        while True:
+            tag, part, marked, link = open_.pop()
+            counts[tag] -= 1
+            if tag == name:
+                return
+
     def add(raw: str) -> None:
         nonlocal linked
+        if open_ and open_[-1][0] == "head" and raw.strip():
+            close("head")  # text in a head belongs to the body
         texts.append(raw)
         if link:
             linked += len(APART.sub("", html_lib.unescape(raw)))
 
     while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
+        token = tokens.next(at)
+        if token is None:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, stop, slash, name, raw = token
+        if start > at:
+            add(page[at:start])
+        at = stop
+        if not name:
             continue
-        name = m[2].lower()
         if name in BLOCKS:
             flush(any(x[0] in HEADLINES for x in open_[-4:]))
-        if m[1]:
-            if any(x[0] == name for x in open_):
-                while True:
-                    tag, parts, marked, link = open_.pop()
-                    if tag == name:
-                        break
+        if slash:
+            if counts[name]:
+                close(name)
             continue
-        attributes = m[3]
+        closed = raw == "/" or raw.endswith((" /", "\"/", "'/"))
+        if counts["head"] and name not in HEAD_CONTENT:
+            close("head")
         if name in RAW:
-            if not attributes.rstrip().endswith("/"):
-                stop = RAW[name].search(page, at)
-                at = stop.end() if stop else end
+            if not closed:
+                found = RAW[name].search(page, at)
+                at = found.end() if found else end
             continue
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in VOID or closed:
             continue
-        if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and open_ and open_[-1][0] == name:
-            _, parts, marked, link = open_.pop()
+        if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and counts[name]:
+            inner = next((x[0] for x in open_[:-9:-1] if x[0] in BLOCKS), "")
+            if inner == name:  # no other block in between, only such as links
+                close(name)
         if name == "a" and link:
             continue
-        open_.append((name, parts, marked, link))
+        open_.append((name, part, marked, link))
+        counts[name] += 1
         link = link or name == "a"
-        if name in FRAMED or name == "article":
-            for p in parts:
-                p.framed |= name in FRAMED or p.kind == "form"
-        named = [a or b or c or "" for a, b, c in ATTRIBUTE.findall(attributes)] if attributes and name not in ("html", "body") else []
-        if (name in OUTSIDE and not (name == "header" and marked)) or (attributes and name not in ("html", "body") and HIDDEN.search(attributes)):
+        if part:
+            part.frame |= name in FRAMED
+            part.article |= name == "article"
+        given = attributes_of(raw) if raw and name not in ("html", "body") else {}
+        named = [given[x] for x in ("class", "id", "role") if given.get(x)]
+        if (name in OUTSIDE and not (name == "header" and marked)) or "hidden" in given or NO_DISPLAY.search(given.get("style", "")):
             kind = "out"
         elif any(COMMENT_NAMES.search(x) for x in named):
             kind = "comments"
@@ -162,40 +239,50 @@ def lines_of(page: str, threshold: int = 40) -> list[Line]:
         else:
             kind = ""
         if kind:
-            parts = [*parts, Part(kind)]
+            part = Part(kind, part)
+            parts.append(part)
         if name in MARKED:
             marked = True
     flush(any(x[0] in HEADLINES for x in open_[-4:]))
-    return _judged(lines, threshold)
-
+    return _judged(lines, parts, threshold)
 
-def _judged(lines: list[Line], threshold: int) -> list[Line]:
-    """Marks the lines that are out: those of a part that isn't the page's own text."""
 
+def _judged(lines: list[Line], parts: list[Part], threshold: int) -> list[Line]:
+    """Marks the lines that are out: those of a part that isn't the page's own text.
 
-    def apart(p: Part) -> bool:
-        return p.kind == "out" or (p.kind in ("comments", "form") and not p.framed)
-
-    surely = [any(map(apart, x.parts)) for x in lines]
-    prose = sum(x.prose for x, out in zip(lines, surely) if not out)
-    marked = sum(x.marked for x, out in zip(lines, surely) if not out)
-    for x, out in zip(lines, surely):
-        for p in x.parts:
-            p.lines += 1
-            p.linked += len(x.text) - x.prose
-            if not out:
-                p.prose += x.prose
-                p.marked += x.marked
+    Parts are summed from the innermost outwards, and judged the other way.
+    """
+    for p in reversed(parts):
+        if p.around:
+            p.around.frame |= p.frame
+            p.around.article |= p.article
+    for p in parts:
+        p.out = p.apart or bool(p.around and p.around.out)
+    for x in lines:
+        if x.part:
+            x.part.lines += 1
+            x.part.linked += len(x.text) - x.prose
+            if not x.part.out:
+                x.part.prose += x.prose
+                x.part.marked += x.marked
+    for p in reversed(parts):
+        if p.around:
+            for name in ("lines", "linked", "prose", "marked"):
+                setattr(p.around, name, getattr(p.around, name) + getattr(p, name))
+    own = [x for x in lines if not (x.part and x.part.out)]
+    prose, marked = sum(x.prose for x in own), sum(x.marked for x in own)
 
     def beside(p: Part) -> bool:
         if p.kind not in ("named", "weak"):
-            return apart(p)
+            return p.apart
         if p.prose * 2 >= prose > 0 and p.lines > 1 and p.marked == marked:
             return False
         return p.kind == "named" or p.linked >= p.prose or p.prose < threshold * p.lines
 
+    for p in parts:
+        p.out = beside(p) or bool(p.around and p.around.out)
     for x in lines:
-        x.out = any(beside(p) for p in x.parts)
+        x.out = bool(x.part and x.part.out)
     return lines
 
 
