@@ -45,6 +45,16 @@ def seeds_of(robots: DataFrame) -> DataFrame:
     return top_k(once, ["site"], ["ord"], MAX_SEEDS).select("site", "doc_url", "ord")
 
 
+def children(seeds: DataFrame, parsed: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """The documents to read of the indexes among parsed seeds, by order of index and priority: MAX_CHILDREN a site, less those it has used (site, used) already."""
+    listed = seeds.join(parsed.where("kind = 'index'"), ["site", "doc_url"]).select("site", "ord", F.posexplode("locs").alias("pos", "doc_url"))
+    ranked = listed.where(urls.same_site(F.col("doc_url"), F.col("site"))).withColumn("priority", child_priority(F.col("doc_url")))
+    tried = top_k(ranked, ["site"], ["ord", F.desc("priority"), "pos"], MAX_CHILDREN)
+    if used is not None:
+        tried = tried.join(used, "site", "left").where(F.col("rank") <= MAX_CHILDREN - F.coalesce("used", F.lit(0))).drop("used")
+    return tried
+
+
 def locations(seeds: DataFrame, documents: DataFrame) -> DataFrame:
     """(site, position, url) of the pages that a site's sitemaps list, distinct by normal form, up to MAX_LOCATIONS a site.
 
@@ -59,13 +69,10 @@ def locations(seeds: DataFrame, documents: DataFrame) -> DataFrame:
     counted = parsed.withColumn("n_relevant", F.size(F.array_distinct(F.filter("locs", relevant))))
     first = seeds.join(counted, ["site", "doc_url"]).where("kind <> 'invalid'")
     plain = first.where("kind = 'urlset'").select("site", F.struct(F.col("ord").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("at"), F.lit(None).cast("int").alias("priority"), "locs", "n_relevant")
-    listed = first.where("kind = 'index'").select("site", "ord", F.posexplode("locs").alias("pos", "doc_url"))
-    ranked = listed.where(urls.same_site(F.col("doc_url"), F.col("site"))).withColumn("priority", child_priority(F.col("doc_url")))
-    tried = top_k(ranked, ["site"], ["ord", F.desc("priority"), "pos"], MAX_CHILDREN)
-    children = tried.join(counted.where("kind = 'urlset'"), ["site", "doc_url"])
-    children = children.select("site", F.struct(F.col("ord").alias("a"), (1000 - F.col("priority")).alias("b"), F.col("pos").alias("c")).alias("at"), "priority", "locs", "n_relevant")
+    below = children(seeds, parsed).join(counted.where("kind = 'urlset'"), ["site", "doc_url"])
+    below = below.select("site", F.struct(F.col("ord").alias("a"), (1000 - F.col("priority")).alias("b"), F.col("pos").alias("c")).alias("at"), "priority", "locs", "n_relevant")
     # at most three seeds and five children of a site: a short list, folded in order
-    docs = plain.unionByName(children).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("at", "priority", "locs", "n_relevant"))).alias("docs"))
+    docs = plain.unionByName(below).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("at", "priority", "locs", "n_relevant"))).alias("docs"))
     start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<string>").alias("locs"))
 
     def step(acc: Column, d: Column) -> Column:

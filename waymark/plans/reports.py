@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
-from ..operators import candidates, diagnose, enrich, evaluate, export, report, research, resolve, signals, sitemaps
+from ..operators import candidates, crawl, diagnose, enrich, evaluate, export, report, research, resolve, signals, sitemaps
 from .catalog import SQL_DEDUPE, SQL_EXPORT, SQL_RECORDS, SQL_URL, domain_pattern, export_rows, hits, in_list, page_records, q, query, read
 
 
@@ -45,6 +45,49 @@ def sitemap_locations(spark, sf):
     return found.select(F.substring("site", 9, 500).alias("host"), "position", "url")
 
 
+# --- crawl --------------------------------------------------------------------
+
+#: Paths that a host's second to fourth page stand for, further ones lead nowhere useful.
+SITE_PATHS = (("/contact", "contact"), ("/about-us", "about"), ("/stores", "location"))
+
+
+def site_web(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Each domain of pages as a site: candidates (its homepage), and stored pages (url, final_url, html).
+
+    Its first page's html is the homepage, with links to all of SITE_PATHS on
+    even sites and to one of them on odd ones; the next pages' html stands
+    behind these paths, which an odd site's sitemap lists. One shop page in seven moved to another site.
+    """
+    p = read(spark, sf, "pages").select("page_id", "html", urls.domain(F.col("url")).alias("domain")).where("domain <> ''")
+    w = Window.partitionBy("domain")
+    p = p.withColumns({"k": F.row_number().over(w.orderBy("page_id")) - 1, "n": F.count(F.lit(1)).over(w), "seq": F.min("page_id").over(w)}).withColumn("site", F.concat(F.lit("https://"), "domain"))
+    paths = [x for x, _ in SITE_PATHS]
+    link = lambda xs: "".join(f'<a href="{x}">{x[1:]}</a>' for x in xs)
+    path = F.coalesce(F.get(F.array(F.lit("/"), *map(F.lit, paths)), F.col("k").cast("int")), F.concat(F.lit("/blog/"), F.col("k").cast("string")))
+    body = F.when(F.col("k") > 0, F.col("html")).otherwise(F.concat(F.when(F.col("seq") % 2 == 0, link(paths)).otherwise(link(paths[1:2])), "html"))
+    moved = (F.col("k") == 3) & (F.col("page_id") % 7 == 0)
+    url = F.concat("site", path)
+    stored = p.select(url.alias("url"), F.when(moved, "https://moved.invalid/").otherwise(url).alias("final_url"), body.alias("html"))
+    listed = F.filter(F.array(*map(F.lit, paths)), lambda x, i: i + 1 < F.col("n"))
+    urlset = F.concat(F.lit("<urlset>"), F.array_join(F.transform(listed, lambda x: F.concat(F.lit("<url><loc>"), "site", x, F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
+    maps = p.where("k = 0 AND seq % 2 = 1").select(F.concat("site", F.lit("/sitemap.xml")).alias("url"), F.concat("site", F.lit("/sitemap.xml")).alias("final_url"), urlset.alias("html"))
+    found = p.where("k = 0").select("seq", F.concat("site", F.lit("/")).alias("url"), F.concat("site", F.lit("/")).alias("normalized_url"), F.lit("").alias("title"), F.lit("WEBSITE").alias("result_type"))
+    return found, stored.unionByName(maps)
+
+
+@query("site_enrichment", rf"""WITH {SQL_URL}, h AS (SELECT domain, page_id, html, row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1 AS k, min(page_id) OVER (PARTITION BY domain) AS seq, count(*) OVER (PARTITION BY domain) AS n FROM m WHERE domain <> ''),
+w AS (SELECT s.domain, s.seq, s.n, r.path, r.role, r.k, r.score FROM h AS s, (VALUES ('/contact', 'contact', 1, 100), ('/about-us', 'about', 2, 70), ('/stores', 'location', 3, 94)) AS r(path, role, k, score) WHERE s.k = 0),
+z AS (SELECT *, CASE WHEN seq % 2 = 0 OR k = 2 THEN 'homepage_link' WHEN k < n THEN 'sitemap' END AS source FROM w)
+SELECT seq, 0 AS place, 'https://' || domain || '/' AS url, 'homepage' AS role, 'candidate' AS source, NULL AS error FROM h WHERE k = 0
+UNION ALL SELECT z.seq, CAST(row_number() OVER (PARTITION BY z.seq ORDER BY z.score DESC) AS INTEGER), 'https://' || z.domain || z.path, z.role, z.source,
+  CASE WHEN z.k >= z.n THEN 'not found' WHEN z.k = 3 AND p.page_id % 7 = 0 THEN 'other site' END
+FROM z LEFT JOIN h AS p ON p.domain = z.domain AND p.k = z.k WHERE z.source IS NOT NULL""")
+def site_enrichment(spark, sf):
+    """What the crawl of every site asked for, and what came of it."""
+    found, stored = site_web(spark, sf)
+    return crawl.enrich(found, crawl.from_table(stored))["pages"].select("seq", "place", "url", "role", "source", "error")
+
+
 # --- diagnoses ----------------------------------------------------------------
 
 ANSWERS, POSITIONS, SKIPS = ("YES", "NO", "UNKNOWN", ""), ("OWN_LABEL", "MULTI_BRAND", "UNKNOWN"), ("insufficient_page_evidence", "source_not_website", "roundup_without_page_text")
