@@ -299,6 +299,21 @@ def test_linked_sets_share_the_keys_they_need(num):
     assert checked > 1000
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_no_key_is_of_a_part_without_elements(num):
+    """Sets that have no element in common share no key, however short they are."""
+    r = np.random.default_rng(num)
+    starts = neardup.band_starts()
+    for n in (1, 2, 3, 5, 6, 7, 10, 14, 20, 40, 90):
+        keys = Counter(int(k) for _ in range(1500) for k in neardup.sketch_keys(np.unique(r.integers(0, 2**64, n, dtype=np.uint64)), num, 100, starts))
+        assert max(keys.values(), default=1) == 1, n
+
+
+def test_similarities_that_bands_cannot_hold_are_refused(spark):
+    with pytest.raises(ValueError):
+        neardup.link_documents(frame(spark), 5, 50, 100)
+
+
 @pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
 def test_links_of_short_texts_near_the_threshold(spark, n, num):
     r = random.Random(100 + n)

@@ -10,9 +10,10 @@ whole. Each part is kept as the XOR of its elements' hashes, a hash of its bits.
 
 Sizes are cut into bands. A document sketches for its own band, and for the
 next one where it is large enough to be linked into it; D is that of the band's
-largest pair. Documents with many parts that hold few elements also sketch
-those; the others leave them out, as enough full parts agree without them.
-So the candidates hold every linked pair: nothing is sampled or capped.
+largest pair. Parts with few elements are left out where enough others agree
+without them, parts without any always, as their keys would say nothing: a set
+with elements in too few parts is dealt again with another hash. So the
+candidates hold every linked pair: nothing is sampled or capped.
 
 A set that shares fewer keys with others than any link of it takes is left out:
 of two linked sets so many parts agree that some of them are always sent.
@@ -94,51 +95,72 @@ def _levels(n: int, num: int, den: int, starts: list[int]) -> list[int]:
     return [own] if n * den < starts[own + 1] * num else [own, own + 1]
 
 
-def _dealt(s: np.ndarray, level: int, num: int, den: int, starts: list[int]) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """(parts, parts that agree at least, part of each element, elements of each part, parts that are sent)."""
-    d = 2 * (starts[level + 1] - 1) * (den - num) // (den + num)
-    parts = d + 1 + (0 if d == 0 else 2 + d // 4)
-    part = ((s >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+def _most_different(level: int, num: int, den: int, starts: list[int]) -> int:
+    """Elements in which two linked sets of a band differ at most."""
+    return 2 * (starts[level + 1] - 1) * (den - num) // (den + num)
+
+
+def _dealt(s: np.ndarray, d: int, salt: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(parts, part of each element, parts that are sent, parts with elements) of one dealing."""
+    parts = d + 1 + 2 + d // 4
+    h = s if salt == 0 else _mix(s + np.uint64(salt) * _M3)
+    part = ((h >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
     count = np.bincount(part, minlength=parts)
+    held = np.flatnonzero(count)
     full = np.flatnonzero(count >= THIN)
-    if parts - len(full) >= parts - d:  # so many thin parts that the agreeing ones could all be thin
-        full = np.arange(parts)
-    return parts, parts - d, part, count, full
+    return parts, part, full if len(full) > d else held, held
 
 
 def sketch_keys(s: np.ndarray, num: int, den: int, starts: list[int]) -> np.ndarray:
-    """One key for each part of the set's sketches that others could agree with."""
+    """One key for each part of the set's sketches that others could agree with; no key is of a part without elements.
+
+    Two linked sets disagree in d parts at most, so a set with elements in more
+    parts agrees with any link of it in one of those. A set whose elements
+    lie in fewer is dealt again with another salt, until they don't, and sends the keys
+    of all its dealings; of two sets the one that is done first is done in a dealing of both.
+    """
     if not len(s):
         return np.zeros(0, np.uint64)
-    made = []
+    made = [np.zeros(0, np.uint64)]
     for level in _levels(len(s), num, den, starts):
-        _, _, part, count, full = _dealt(s, level, num, den, starts)
-        order = np.argsort(part, kind="stable")
-        run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(s[order])])
-        end = np.cumsum(count)
-        word = run[end] ^ run[end - count]
-        with np.errstate(over="ignore"):
-            made.append(_mix(word[full] + _mix(full.astype(np.uint64) * _M1 + np.uint64(level))))
+        d = _most_different(level, num, den, starts)
+        if not d:
+            continue  # only equal sets are linked
+        salt, held = 0, np.zeros(0)
+        while len(held) <= d:
+            parts, part, sent, held = _dealt(s, d, salt)
+            order = np.argsort(part, kind="stable")
+            run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(s[order])])
+            end = np.cumsum(np.bincount(part, minlength=parts))
+            word = run[end] ^ run[np.concatenate([[0], end[:-1]])]
+            with np.errstate(over="ignore"):
+                made.append(_mix(word[sent] + _mix(sent.astype(np.uint64) * _M1 + np.uint64(level) + np.uint64(salt) * _M2)))
+            salt += 1
     return np.concatenate(made)
 
 
 def keys_needed(s: np.ndarray, num: int, den: int, starts: list[int]) -> int:
-    """The least number of keys that a set shares with any set it is linked to: agreeing parts, less those that either doesn't send.
+    """The least number of keys that a set shares with any set it is linked to.
 
-    A part that agrees holds the same elements on both sides, so it is thin on both or on neither.
+    Of the parts that it sends as many disagree as the two sets differ in elements at most.
+    A part that agrees holds the same elements on both sides, so a thin one is
+    thin on both, and a set that leaves thin ones out has more than d others.
     """
-    if not len(s):
-        return 0
     needed = []
-    for level in _levels(len(s), num, den, starts):
-        parts, agree, _, count, _ = _dealt(s, level, num, den, starts)
+    for level in _levels(len(s), num, den, starts) if len(s) else ():
+        d = _most_different(level, num, den, starts)
+        if not d:
+            continue
         largest = min(starts[level + 1] - 1, len(s) * den // num)
-        differ = (len(s) + largest) * (den - num) // (den + num)
-        thin = int((count < THIN).sum())
-        # a set withholds fewer thin parts than agree at least; every link of one with very many thin parts sends all of its own
-        unsent = thin if thin < agree else 0 if thin - differ >= agree else agree - 1
-        needed.append(parts - differ - unsent)
-    return min(needed)
+        differ = min(d, (len(s) + largest) * (den - num) // (den + num))
+        _, part, sent, held = _dealt(s, d, 0)
+        if len(held) <= d:
+            needed.append(1)
+        elif len(sent) < len(held):
+            needed.append(len(sent) - differ)
+        else:
+            needed.append(min(len(held), d + 1) - differ)
+    return min(needed, default=0)
 
 
 def dense_sketch(s: np.ndarray) -> np.ndarray:
@@ -319,7 +341,12 @@ def _blocks(members: DataFrame, rows: int, num: int, den: int) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
+    """(doc_id, n_shingles, component_id) of every row; component_id is the least id reachable by links.
+
+    The similarity num / den must be 1 / BAND at least, so that linked sets lie in neighbouring bands.
+    """
+    if not den <= num * BAND <= den * BAND:
+        raise ValueError(f"a similarity from {1 / BAND:.2f} to 1 is needed")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = base.withColumnRenamed("doc_id", "t_id")
     made = materialize(set_table(base, n, num, den), "sets")
