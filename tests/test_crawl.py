@@ -134,3 +134,34 @@ def test_from_web(spark):
     out = crawl.enrich(found, crawl.from_web(get, delay=0.0))
     got = sorted((p.seq, p.place, p.url, p.error) for p in out["pages"].collect())
     assert [(s, u.rsplit("/", 1)[1], e) for s, _, u, e in got] == [(2, "", None), (2, "contact-us", None), (2, "showroom", "status 404"), (2, "visit-us", None), (5, "", None), (5, "contact", None), (5, "locations", "status 404"), (5, "about", "status 404")]
+
+
+def test_run_with_site_pages_and_model(spark):
+    """A whole run: candidates, further pages of their sites, the model asked once for each evidence, lead and merge."""
+    import json
+
+    from waymark.operators import evaluate, model_step
+
+    rows = [(u, *(v if isinstance(v, tuple) else (u, v))) for u, v in WEB.items()]
+    pages = spark.createDataFrame(rows, "url string, final_url string, html string")
+    found = spark.createDataFrame([(s, u, t, k, [f"q{s}"]) for s, u, t, k in FOUND[:7]], "seq long, url string, title string, result_type string, discovered_by_queries array<string>").withColumn("normalized_url", F.col("url"))
+
+    def client(payload):
+        made = json.loads(payload)
+        assert "<p>" not in payload
+        return json.dumps({
+            "is_business": True, "business_name": "Told Name", "business_type": "BOUTIQUE", "women_fashion": "HIGH", "physical_store": "YES", "city": "Mumbai", "carries_other_brands": "YES", "designer_positioning": "MULTI_BRAND",
+            "sustainability_focus": "UNKNOWN", "price_positioning": "UNKNOWN", "observed_price_range": "UNKNOWN", "style_fit": "HIGH", "potential_stockist": "UNKNOWN", "confidence": "HIGH", "evidence": made["enrichment_roles"],
+        })
+
+    model = model_step.Model(client)
+    attached, merged = evaluate.evaluate(found, pages.select("url", "html"), get=crawl.from_table(pages), model=model)
+    got = {r.seq: r for r in attached.collect()}
+    assert got[2].site_enrichment.successful_urls == ["https://mapped.in/", "https://mapped.in/contact-us", "https://mapped.in/visit-us"] and got[2].email == "mail@mapped.in"
+    assert got[2].ai_evidence == ["homepage", "contact", "location"] and got[2].city == "Mumbai" and got[2].physical_store == "YES"
+    assert got[4].business_name == "Ananta" and got[4].rule_business_name == "Ananta" and got[4].ai_business_name == "Told Name"
+    assert got[6].site_enrichment is None and got[6].ai_stockist in (None, "UNKNOWN")
+    assert model.answers.count() == attached.where("attempted").select("payload_id").distinct().count() > 3
+    assert merged.count() <= attached.count()
+    plain, _ = evaluate.evaluate(found, pages.select("url", "html"))
+    assert {r.seq for r in plain.collect()} == set(got) and "ai_city" not in plain.columns

@@ -18,7 +18,7 @@ from ..functions import urls
 from ..functions.text import UNKNOWN, haystack, present
 from ..sources.pages import FACT, LINK, page_evidence
 from . import candidates as C
-from . import classify, crawl, geo, identify, lead, score, signals
+from . import classify, crawl, geo, identify, lead, model_step, score, signals
 from .crawl import SIGNALS
 from .enrich import page_role
 from .graph import written
@@ -92,7 +92,7 @@ def stamp(rows: DataFrame, inspected: DataFrame) -> DataFrame:
     expected = F.col("expected_city") if "expected_city" in inspected.columns else F.lit(None).cast("string")
     context = inspected.select(
         F.col("seq").alias("__seq"), F.col("url").alias("page_url"), F.col("normalized_url").alias("page_key"), "title", "text", "headings", "facts", "result_type", "fetched", "emails", "phones", "address_candidates", "social_urls",
-        queries.alias("discovered_by_queries"), expected.alias("expected_city"), F.coalesce("search_title", F.lit("")).alias("search_title"),
+        "meta_description", "og_site_name", "city_mentions", queries.alias("discovered_by_queries"), expected.alias("expected_city"), F.coalesce("search_title", F.lit("")).alias("search_title"),
         *[F.col(c).alias(f"site_{c}") for c in ("page_roles", "enrichment") if c in inspected.columns],
     )
     source = F.transform("discovered_by_queries", lambda x: F.struct(F.lit("search").alias("type"), F.col("page_key").alias("url"), F.col("search_title").alias("title"), x.alias("query")))
@@ -150,11 +150,12 @@ def merge(rows: DataFrame) -> DataFrame:
     return fold(joined, ["merged_into"], "row").withColumnRenamed("row", "seq")
 
 
-def evaluate(found: DataFrame, pages: DataFrame, places: DataFrame | None = None, get: crawl.Fetcher | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluate(found: DataFrame, pages: DataFrame, places: DataFrame | None = None, get: crawl.Fetcher | None = None, model: model_step.Model | None = None) -> tuple[DataFrame, DataFrame]:
     """Qualified rows, one for each business on each page, and merged businesses, of candidates over a table of pages.
 
     places: catalogue for geography; without it no row is told to be elsewhere.
     get: fetcher for further pages of websites; without it candidates are judged by their own page.
+    model: asked about rows of websites, once for each distinct evidence; without it the rules decide alone.
     """
     inspected = written(inspect(found, pages))
     if get is not None:
@@ -164,6 +165,8 @@ def evaluate(found: DataFrame, pages: DataFrame, places: DataFrame | None = None
         rows = written(rows.withColumn("id", place(F.col("seq"), F.col("ord"))))
         profiles = rows.select("id", F.col("haystack").alias("profile"), "address", "city", "website", "expected_city")
         rows = rows.join(geo.verify(profiles, places).select("id", "geography"), "id").drop("id")
+    if model is not None:
+        rows = written(model(rows.withColumn("search_query", F.get("discovered_by_queries", F.lit(0)))))
     attached = written(attach(rows))
     return attached, merge(attached)
 
@@ -201,9 +204,9 @@ def limited(specs: DataFrame, hits: DataFrame) -> DataFrame:
     return ranked.where("__n <= limit").drop("__n", "limit")
 
 
-def run_batch(specs: DataFrame, search: Callable[[DataFrame], DataFrame], pages: DataFrame, places: DataFrame | None = None, get: crawl.Fetcher | None = None) -> dict[str, DataFrame]:
+def run_batch(specs: DataFrame, search: Callable[[DataFrame], DataFrame], pages: DataFrame, places: DataFrame | None = None, get: crawl.Fetcher | None = None, model: model_step.Model | None = None) -> dict[str, DataFrame]:
     """A batch of queries to its tables: candidates, rows, businesses, query_metrics, summary. The search is called once and its answer written."""
     hits = written(search(specs))
     unique = written(C.dedupe(C.candidates_from_hits(limited(specs, hits))))
-    rows, merged = evaluate(unique, pages, places, get)
-    return {"candidates": unique, "rows": rows, "businesses": merged, "query_metrics": query_metrics(specs, hits, unique, rows), "summary": batch_summary(specs, hits, unique, rows)}
+    rows, merged = evaluate(unique, pages, places, get, model)
+    return {"candidates": unique, "rows": rows, "businesses": merged, "query_metrics": query_metrics(specs, hits, unique, rows), "summary": batch_summary(specs, hits, unique, rows)} | ({"model_report": model_step.report(rows), "answers": model.answers} if model is not None else {})

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, urls
-from ..operators import candidates, crawl, diagnose, enrich, evaluate, export, report, research, resolve, signals, sitemaps
+from ..functions import phrases, rules, urls
+from ..operators import candidates, crawl, diagnose, enrich, evaluate, export, model_step, report, research, resolve, signals, sitemaps
 from .catalog import SQL_DEDUPE, SQL_EXPORT, SQL_RECORDS, SQL_URL, domain_pattern, export_rows, hits, in_list, page_records, q, query, read
 
 
@@ -88,6 +90,55 @@ def site_enrichment(spark, sf):
     return crawl.enrich(found, crawl.from_table(stored))["pages"].select("seq", "place", "url", "role", "source", "error")
 
 
+# --- the model's step ---------------------------------------------------------
+
+_SAYS = {
+    "is_business": True, "business_name": "Aria House", "business_type": "MULTI_BRAND", "women_fashion": "HIGH", "physical_store": "YES", "city": "UNKNOWN", "carries_other_brands": "UNKNOWN", "designer_positioning": "UNKNOWN",
+    "sustainability_focus": "HIGH", "price_positioning": "LUXURY", "observed_price_range": "UNKNOWN", "style_fit": "HIGH", "potential_stockist": "YES", "confidence": "HIGH", "evidence": ["Presents several labels."],
+}
+#: A deterministic model: its answer depends on the search query that the payload holds.
+MODEL_ANSWERS = (
+    json.dumps(_SAYS), "no answer", json.dumps(_SAYS | {"evidence": []}), json.dumps(_SAYS | {"evidence": ["Has dresses"]}), json.dumps(_SAYS | {"is_business": False}),
+    json.dumps(_SAYS | {"business_type": "OWN_BRAND"}), json.dumps({k: v for k, v in _SAYS.items() if k != "city"}), json.dumps(_SAYS | {"physical_store": "NO", "sustainability_focus": "LOW", "price_positioning": "UNKNOWN", "potential_stockist": "NO"}),
+)
+
+
+def model_says(payload: str) -> str:
+    return MODEL_ANSWERS[int(json.loads(payload)["search_query"][1:])]
+
+
+def asked_documents(spark, sf) -> DataFrame:
+    """Every document as the page of one website, asked about with one of eight queries; one in nine is a directory's."""
+    i, unknown = F.col("doc_id"), F.lit("UNKNOWN")
+    d = read(spark, sf, "documents").select(i.alias("seq"), "text", F.concat(F.lit("q"), (i % len(MODEL_ANSWERS)).cast("string")).alias("search_query"), F.when(i % 9 == 0, "DIRECTORY").otherwise("WEBSITE").alias("source_type"))
+    return d.withColumns({c: unknown for c in ("business_name", "business_type", "women_fashion_relevance", "physical_store", "city", "confidence")} | {"website": F.lit("https://example.com"), "source_url": F.lit("https://example.com")})
+
+
+SQL_MODEL = rf"""d AS (SELECT doc_id AS seq, doc_id % 8 AS k, coalesce(doc_id % 9 <> 0 AND text <> '' AND trim(text) <> 'UNKNOWN', false) AS sent, left(coalesce(text, ''), {model_step.TEXT_CHARS}) AS b FROM documents),
+t AS (SELECT *, sent AND k NOT IN (1, 6) AS good, regexp_matches(b, {q(model_step.STORE_VISIT)}) AS visit, regexp_matches(b, {q(phrases.ONLINE_ONLY)}) AS online, regexp_matches(b, {q(model_step.SUSTAINABLE)}) AS green, regexp_matches(b, {q(model_step.PRICED)}) AS priced,
+  regexp_matches(b, {q(model_step.STOCKIST)}) OR regexp_matches(b, {q(model_step.OFFICIAL_STOCKIST)}) AS stocks, k = 5 OR regexp_matches(b, {q(model_step.OWN_LABEL)}) AS own, regexp_matches(b, {q(model_step.OWN_STORE)}) AS own_store FROM d),
+v AS (SELECT *, CASE WHEN k = 4 THEN 'not_a_business' WHEN own AND k <> 7 THEN 'own_label_not_stockist' WHEN k = 7 THEN NULL WHEN k = 2 THEN 'stockist_yes_without_evidence' WHEN k = 3 THEN 'stockist_yes_weak_evidence' WHEN stocks THEN NULL WHEN own_store THEN 'designer_store_not_stockist'
+    ELSE 'stockist_yes_without_official_site_evidence;stockist_yes_without_page_evidence' END AS c FROM t),
+w AS (SELECT *, CASE WHEN sent AND k IN (1, 6) THEN 'schema' END AS failure_kind,
+  CASE WHEN good THEN array_to_string(list_filter([CASE WHEN k <> 7 AND online THEN 'online_only_language' END, CASE WHEN k <> 7 AND NOT online AND NOT visit THEN 'physical_yes_without_storefront' END,
+    CASE WHEN k <> 7 AND NOT green THEN 'sustainability_without_evidence' END, CASE WHEN k <> 7 AND NOT priced THEN 'price_without_evidence' END, c], lambda x: x IS NOT NULL), ';') END AS rejected,
+  CASE WHEN good THEN CASE WHEN k = 4 OR own OR k = 7 THEN 'NO' WHEN k IN (2, 3) THEN 'UNKNOWN' WHEN stocks THEN 'YES' WHEN own_store THEN 'NO' ELSE 'UNKNOWN' END END AS ai_potential_stockist,
+  CASE WHEN good AND (k = 7 OR online) THEN 'NO' WHEN good AND visit THEN 'YES' ELSE 'UNKNOWN' END AS physical_store FROM v)"""
+
+
+@query("model_answers", f"WITH {SQL_MODEL} SELECT seq, sent AS attempted, failure_kind, rejected, ai_potential_stockist, physical_store FROM w")
+def model_answers(spark, sf):
+    rows, _ = model_step.qualify(asked_documents(spark, sf), model_says)
+    return rows.select("seq", "attempted", "failure_kind", F.array_join("rejected", ";").alias("rejected"), "ai_potential_stockist", "physical_store")
+
+
+@query("model_report", f"""WITH {SQL_MODEL} SELECT count(*) AS n_rows, count_if(sent) AS n_sent, (SELECT count(*) FROM (SELECT DISTINCT b, k FROM w WHERE sent)) AS n_calls, CAST(0 AS BIGINT) AS n_http_failures, CAST(0 AS BIGINT) AS n_model_failures, count_if(failure_kind = 'schema') AS n_schema_failures,
+count_if(rejected <> '') AS n_rejected, count_if(ai_potential_stockist = 'YES') AS n_stockist_yes, count_if(ai_potential_stockist = 'NO') AS n_stockist_no, count_if(ai_potential_stockist = 'UNKNOWN') AS n_stockist_unknown,
+CAST(coalesce(sum(CASE WHEN good THEN 2 + CAST(physical_store <> 'UNKNOWN' AS INTEGER) ELSE 0 END), 0) AS BIGINT) AS n_filled FROM w""")
+def model_report(spark, sf):
+    return model_step.report(model_step.qualify(asked_documents(spark, sf), model_says)[0])
+
+
 # --- diagnoses ----------------------------------------------------------------
 
 ANSWERS, POSITIONS, SKIPS = ("YES", "NO", "UNKNOWN", ""), ("OWN_LABEL", "MULTI_BRAND", "UNKNOWN"), ("insufficient_page_evidence", "source_not_website", "roundup_without_page_text")
