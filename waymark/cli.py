@@ -19,7 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("name", choices=sorted(CATALOG))
     run.add_argument("folder")
     run.add_argument("--out")
-    out = commands.add_parser("export", help="decide and write the export files of a JSON table of records")
+    out = commands.add_parser("export", help="merge and decide records of JSON files, and write the export files")
     out.add_argument("records")
     out.add_argument("folder")
     args = parser.parse_args(argv)
@@ -31,12 +31,14 @@ def main(argv: list[str] | None = None) -> int:
         df = CATALOG[args.name].run(spark, args.folder)
         df.write.mode("overwrite").parquet(args.out) if args.out else df.show(50, truncate=60)
         return 0
-    records = spark.read.json(args.records)
-    missing = {"business_name", "relationship", "geography", "seq"} - set(records.columns)
+    records = export.read_records(spark, args.records)
+    missing = {"business_name", "relationship", "geography"} - set(records.columns)
     if missing:
         print(f"{args.records}: records lack {', '.join(sorted(missing))}", file=sys.stderr)
         return 1
-    export.write_exports(export.decide(records), args.folder)
+    decided, names = export.export_records(export.complete(records))
+    export.write_exports(decided, args.folder)
+    print(f"{records.count()} records, {decided.count()} businesses, {names.count()} ambiguous names")
     return 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ GROUPS = ("LEAD", "REVIEW", "EXCLUDED")
 #: Kinds of contradiction that exclude a record.
 HARD = ("lead_yes_but_article_or_directory", "lead_yes_but_not_self", "lead_yes_but_not_business", "lead_yes_but_wrong_geo", "lead_yes_but_own_label", "self_but_listicle_evidence")
 EVIDENCE_CHARS = 500
+RETAIL_KINDS = ("BOUTIQUE", "RETAILER", "MULTI_DESIGNER", "MARKETPLACE")
 
 
 def contradictions() -> Column:
@@ -142,6 +144,36 @@ def rehydrate(df: DataFrame) -> DataFrame:
     return df.withColumns(made)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON files: objects line by line, arrays of them, or reports that hold them as business_candidates_llm; all columns as they are, enumerations as rehydrate() makes them."""
+    df = spark.read.json(path)
+    if "_corrupt_record" in df.columns:
+        df = spark.read.json(path, multiLine=True)
+    if "business_candidates_llm" in df.columns:
+        df = df.select(F.explode("business_candidates_llm").alias("r")).select("r.*")
+    df = df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())
+    return rehydrate(df)
+
+
+def complete(records: DataFrame) -> DataFrame:
+    """records with all columns that the export reads: contacts and verdicts that they lack are unknown, flags follow from the fields there are."""
+    texts = ("city", "website", "instagram", "facebook", "whatsapp", "phone", "email", "address", "source_url", "source_type", "own_label_text")
+    out = records.withColumns({c: F.lit(None).cast("string") for c in texts if c not in records.columns})
+    verdicts = ("business_type", "physical_store", "ai_stockist", "stockist_lead", "relationship", "geography", "is_business", "carries_other_brands", "confidence")
+    out = out.withColumns({c: F.lit(UNKNOWN) for c in verdicts if c not in records.columns}).drop("own_label_text")
+    contact = reduce(lambda a, b: a | b, [present(F.col(c)) for c in ("website", "instagram", "facebook", "whatsapp", "phone", "email")])
+    social = present(F.col("instagram")) | present(F.col("facebook"))
+    yes = lambda c: F.coalesce(F.upper(c) == "YES", F.lit(False))
+    made = {
+        "usable_contact": contact, "social_only": social & ~present(F.col("website")), "retail_evidence": F.coalesce(F.col("business_type").isin(*RETAIL_KINDS), F.lit(False)) | yes("physical_store"),
+        "stockist_evidence": yes("stockist_lead") | yes("ai_stockist") | yes("carries_other_brands"), "social_retail": F.coalesce(F.col("business_type").isin(*RETAIL_KINDS), F.lit(False)),
+    }
+    if "entity_quality" in out.columns:
+        made["identity_weak"] = F.coalesce(F.upper("entity_quality").isin("WEAK", "LOW", "REJECTED"), F.lit(False))
+    false = ("own_label", "listicle", "online_only", "identity_invalid", "unrelated", "identity_weak", "third_party")
+    return out.withColumns({c: v for c, v in made.items() if c not in records.columns} | {c: F.lit(False) for c in false if c not in records.columns and c not in made})
+
+
 def export_keys() -> dict[str, Column]:
     """Kind to key of a record for the export: stricter than the keys of merges.
 
@@ -196,8 +228,15 @@ def write_exports(df: DataFrame, folder: str) -> None:
     """Six outputs: CSV of all rows and of each group, all rows as JSON, and the summary.
 
     CSV rows are in the export's order, and every part file starts with a byte
-    order mark before its header.
+    order mark before its header. A table without a reason wasn't decided here: its
+    summary counts groups only, and as it may have other columns than a
+    lead's, each group is written with all of them, too, in a folder of its name.
     """
+    if "export_reason" not in df.columns:
+        every = flat(export_order(df))
+        for group in GROUPS:
+            every.where(F.col("export_group") == group).write.mode("overwrite").csv(f"{folder}/{group.lower()}", header=True, escape='"')
+        df = df.withColumn("export_reason", F.lit(None).cast("string"))
     ordered = written(export_order(df))
     for name, group in FILES.items():
         rows = ordered if group is None else ordered.where(F.col("export_group") == group)
@@ -225,5 +264,5 @@ def summary(df: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
     """Counts by group with zeros, and the commonest reasons, first seen first among equals."""
     groups = df.sparkSession.createDataFrame([(g,) for g in GROUPS], "export_group string")
     counts = groups.join(df.groupBy("export_group").agg(F.count(F.lit(1)).alias("n")), "export_group", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    reasons = df.groupBy("export_reason").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")).orderBy(F.desc("n"), "first").limit(top).drop("first")
+    reasons = df.where("export_reason IS NOT NULL").groupBy("export_reason").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")).orderBy(F.desc("n"), "first").limit(top).drop("first")
     return counts, reasons

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import ordered
+from .ledger import Ledger, Limits
 
 HIT = "title string, url string, snippet string, source string"
 PAYLOAD = "results array<struct<title string, url string, pretty_url string, content string, snippet string, engine string, engines array<string>>>"
@@ -56,7 +58,12 @@ def read_batch(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SearchSource(DataSource):
-    """``format("waymark_search")``: one partition for each query; options: queries (newline-separated), limit, client (module:function)."""
+    """``format("waymark_search")``: one partition for each query; options: queries (newline-separated), limit, client (module:function).
+
+    With the option ledger (a shared folder; see ledger.py) calls are reserved there
+    before partitions are planned, under provider, daily and monthly; calls says
+    how many a query takes. Queries beyond the limit are rows with the error "budget".
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -74,20 +81,32 @@ class _SearchReader(DataSourceReader):
         self.queries = [q for q in options.get("queries", "").split("\n") if q.strip()]
         self.limit = int(options.get("limit", "20"))
         self.client = options["client"]
+        self.ledger = Ledger(options["ledger"]) if "ledger" in options else None
+        self.provider = options.get("provider", self.client)
+        if self.ledger:
+            self.limits = Limits(int(options["daily"]), int(options["monthly"]), float(options.get("cost", "0")))
+            self.calls = int(options.get("calls", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(q) for q in self.queries] or [InputPartition(None)]
+        fits = self.ledger.reserve(self.provider, [self.calls] * len(self.queries), self.limits) if self.ledger else [True] * len(self.queries)
+        run = uuid.uuid4().hex
+        return [InputPartition((run, i, q, ok)) for i, (q, ok) in enumerate(zip(self.queries, fits))] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
         from importlib import import_module
 
+        run, i, query, admitted = partition.value
+        refused = "budget" if not admitted else "called before" if self.ledger and not self.ledger.claim(run, i) else None
+        if refused:
+            yield query, 0, None, None, None, None, refused
+            return
         module, name = self.client.split(":")
         try:
-            hits = list(getattr(import_module(module), name)(partition.value, self.limit))
+            hits = list(getattr(import_module(module), name)(query, self.limit))
         except Exception as e:  # a failed search is a row with its error; others go on
-            yield partition.value, 0, None, None, None, None, str(e)[:500]
+            yield query, 0, None, None, None, None, str(e)[:500]
             return
-        for i, h in enumerate(hits[: self.limit]):
-            yield partition.value, i, h.get("title", ""), h.get("url", ""), h.get("snippet", ""), h.get("source", ""), None
+        for ord_, h in enumerate(hits[: self.limit]):
+            yield query, ord_, h.get("title", ""), h.get("url", ""), h.get("snippet", ""), h.get("source", ""), None
