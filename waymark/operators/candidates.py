@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -16,6 +16,11 @@ def candidates_from_hits(hits: DataFrame) -> DataFrame:
     return out.withColumns({"result_type": urls.classify(F.col("normalized_url")), "discovered_by_queries": queries})
 
 
+def group_key() -> Column:
+    """What makes candidates (result_type, domain, normalized_url) one: the domain of a site, the URL of other types."""
+    return F.when(F.col("result_type") == "WEBSITE", F.concat(F.lit("WEBSITE|"), "domain")).otherwise(F.concat_ws("|", "result_type", "normalized_url"))
+
+
 def dedupe(candidates: DataFrame) -> DataFrame:
     """One row for each site, or for each URL of other types, with queries of all rows in order.
 
@@ -24,7 +29,7 @@ def dedupe(candidates: DataFrame) -> DataFrame:
     group, so a site with very many hits gathers no more than its distinct queries.
     """
     site = F.col("result_type") == "WEBSITE"
-    keyed = candidates.withColumn("group_key", F.when(site, F.concat(F.lit("WEBSITE|"), "domain")).otherwise(F.concat_ws("|", "result_type", "normalized_url")))
+    keyed = candidates.withColumn("group_key", group_key())
     score = F.when(site, urls.usefulness(F.col("url"))).otherwise(0)
     rank = F.struct((-score).alias("a"), F.when(site, F.length("url")).otherwise(0).alias("b"), F.col("seq").alias("c"))
     keep = [c for c in candidates.columns if c not in ("discovered_by_queries", "result_type")]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phrases, rules, urls
-from ..operators import candidates, crawl, diagnose, enrich, evaluate, export, model_step, report, research, resolve, signals, sitemaps
+from ..operators import candidates, crawl, diagnose, enrich, evaluate, export, model_step, paging, report, research, resolve, signals, sitemaps
 from .catalog import SQL_DEDUPE, SQL_EXPORT, SQL_RECORDS, SQL_URL, domain_pattern, export_rows, hits, in_list, page_records, q, query, read
 
 
@@ -374,6 +374,20 @@ def limited_hits(spark, sf):
     return evaluate.limited(specs, hits(spark, sf)).select("seq", "query")
 
 
+@query("paged_hits", rf"""{SQL_DEDUPE}, r AS (SELECT page_id, 'q' || page_id % 7 AS query, 10 + page_id % 7 AS lim, url, CAST(ceil(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) / 10.0) AS INTEGER) AS page FROM pages),
+f AS (SELECT r.*, k.group_key, row_number() OVER (PARTITION BY r.query, r.url ORDER BY r.page_id) AS n_url, row_number() OVER (PARTITION BY r.query, k.group_key ORDER BY r.page_id) AS n_key FROM r LEFT JOIN k USING (page_id)),
+g AS (SELECT query, lim, page, count_if(n_url = 1) AS n_new, sum(count_if(n_key = 1 AND group_key IS NOT NULL)) OVER (PARTITION BY query ORDER BY page) AS n_made FROM f GROUP BY query, lim, page),
+s AS (SELECT query, coalesce(min(page) FILTER (WHERE n_new = 0 OR n_made >= lim), 15) AS stop FROM g GROUP BY query)
+SELECT page_id, f.query, f.page FROM f JOIN s USING (query) WHERE n_url = 1 AND f.page <= least(stop, 15)""")
+def paged_hits(spark, sf):
+    """Seven queries over pages of ten rows of the table, each until its limit, the table's end or the fifteenth page."""
+    rows = read(spark, sf, "pages").withColumn("n", F.row_number().over(Window.partitionBy(F.col("page_id") % 7).orderBy("page_id")) - 1)
+    rows = rows.select(F.concat(F.lit("q"), (F.col("page_id") % 7).cast("string")).alias("query"), (F.floor(F.col("n") / 10) + 1).cast("int").alias("page"), "page_id", "url", F.col("page_id").cast("string").alias("title"), F.lit("").alias("snippet"), F.lit("table").alias("source"), (F.col("n") % 10).cast("int").alias("ord"))
+    specs = spark.range(7).select(F.col("id").alias("seq"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("query"), (F.col("id") + 10).cast("int").alias("limit"))
+    found, _ = paging.collect_pages(specs, lambda plan: plan.join(rows, ["query", "page"]).drop("page_id"))
+    return found.select(F.col("title").cast("long").alias("page_id"), "query", "page")
+
+
 @query("batch_metrics", rf"""{SQL_DEDUPE}, w1 AS (SELECT group_key, page_id FROM w WHERE rn = 1), s AS (SELECT 'q' || i AS query, i + 20 AS lim FROM range(7) AS t(i)), x AS (SELECT DISTINCT group_key, 'q' || page_id % 7 AS query FROM k),
 v AS (SELECT x.query, w1.page_id FROM x JOIN w1 USING (group_key))
 SELECT s.query, CAST(lim AS INTEGER) AS "limit", (SELECT count(*) FROM pages WHERE 'q' || page_id % 7 = s.query) AS raw_results, count(v.page_id) AS unique_candidates, count_if(v.page_id % 3 <> 0 AND v.page_id % 5 <> 0) AS businesses, count_if(v.page_id % 4 = 0) AS leads FROM s LEFT JOIN v USING (query) GROUP BY s.query, lim""")
