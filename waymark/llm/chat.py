@@ -2,7 +2,8 @@ r"""Chat formatting: heterogeneous records to canonical turns to one marked-up t
 
 Records are VARIANT values. The nested field paths of a record (types dropped)
 are hashed to a fingerprint, which selects one declarative mapping; a record
-of unknown layout gets a null mapping and null turns and stays in the output.
+of unknown layout gets a null mapping and null turns and stays in the output;
+by_layout() returns such records apart.
 
 Template, per turn: ``<turn>`` role ``<text>`` text ``</turn>`` newline. In
 roles and texts ``\``, ``<`` and ``#`` are written ``\b``, ``\l`` and ``\h``,
@@ -96,6 +97,13 @@ def canonical_turns(df: DataFrame, record_col: str, mappings: Sequence[Mapping]
     return df.withColumn("turns", turns)
 
 
+def by_layout(df: DataFrame, record_col: str, mappings: Sequence[Mapping] = MAPPINGS) -> tuple[DataFrame, DataFrame]:
+    """canonical_turns() of the records of known layouts, and those of unknown ones apart, with their field paths as ``layout``: no record is formatted as nothing."""
+    told = canonical_turns(df, record_col, mappings)
+    unknown = told.where("mapping IS NULL").drop("mapping", "turns").withColumn("layout", F.schema_of_variant(F.col(record_col)))
+    return told.where("mapping IS NOT NULL"), unknown
+
+
 def escape(text: Column) -> Column:
     for a, b in ESCAPES:
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -2,8 +2,8 @@
 
 Vectors, queries and data alike, are dealt to the nearest of a bounded sample
 of pivots, and each pivot's share into blocks of a fixed size, so that a block
-lies close together where the data allow it. In each block a cover tree is built
-once: a node's children are centres no nearer to each other than half its
+lies close together where the data allow it. A task builds a cover tree over each
+block it compares: a node's children are centres no nearer to each other than half its
 covering radius, and every point below a node lies within its radius.
 
 The largest inner product between points below two nodes is at most the
