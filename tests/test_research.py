@@ -75,3 +75,14 @@ def test_refreshed(spark):
     df = spark.createDataFrame(rows, "seq long, business_name string, city string, website string, instagram string, address string, physical_store string, snippet string, status string")
     got = {r.seq: (r.status, len(r.missing) > 0) for r in research.refreshed(df.withColumn("brands_known", F.lit(True))).collect()}
     assert got == {1: ("enriched", False), 2: ("skipped", True), 3: ("enriched", True), 4: ("pending", True)}
+
+
+def test_terms_of_any_length(spark, monkeypatch):
+    """A locality of four words is found, few terms or many."""
+    from waymark.operators import geo
+
+    terms = spark.createDataFrame([("Hill", 1), ("New Hill Road", 2), ("Upper New Hill Road East", 3), ("sector 12 b", 4), ("--", 5)], "term string, n int")
+    texts = spark.createDataFrame([(1, "At upper new hill-road east, now"), (2, "Sector 12, B"), (3, None)], "id long, t string")
+    for few in (100, 0):
+        monkeypatch.setattr(geo, "FEW_TERMS", few)
+        assert sorted((r.id, r.n) for r in geo.term_hits(texts, terms, "id", "t").collect()) == [(1, 1), (1, 2), (1, 3), (2, 4)]

@@ -78,15 +78,14 @@ def expand(areas: DataFrame) -> DataFrame:
     return of_country.unionByName(of_others)
 
 
-def term_hits(texts: DataFrame, terms_: DataFrame, id_col: str, text_col: str, longest: int = 3) -> DataFrame:
-    """(id, term and its columns) for each term of up to ``longest`` words that occurs in the text as whole words.
+def term_hits(texts: DataFrame, terms_: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term and its columns) for each term, of any number of words, that occurs in the text as whole words.
 
     Up to FEW_TERMS terms, counted first, are looked for in each text, and only
-    those found leave it; more meet the texts' n-grams by an equi join.
+    those found leave it; more meet the texts' n-grams, of the lengths that terms have, by an equi join.
     """
     spelled = terms_.withColumn("__gram", F.array_join(F.filter(F.split(F.lower("term"), NO_WORD), lambda w: w != ""), " "))
-    fits = F.size(F.split("__gram", " ")) <= longest
-    spelled = spelled.where((F.col("__gram") != "") & fits)
+    spelled = spelled.where("__gram <> ''")
     known = [r[0] for r in spelled.select("__gram").distinct().limit(FEW_TERMS + 1).collect()]
     low = F.lower(F.col(text_col))
     if len(known) <= FEW_TERMS:
@@ -95,7 +94,8 @@ def term_hits(texts: DataFrame, terms_: DataFrame, id_col: str, text_col: str, l
         grams = texts.select(id_col, F.explode(found).alias("__gram"))
     else:
         words = F.filter(F.split(low, NO_WORD), lambda w: w != "")
-        all_ = F.flatten(F.array(*[_grams(F.col("w"), n) for n in range(1, longest + 1)]))
+        lengths = sorted(r[0] for r in spelled.select(F.size(F.split("__gram", " "))).distinct().collect())  # numbers of words of a term
+        all_ = F.flatten(F.array(*[_grams(F.col("w"), n) for n in lengths]))
         grams = texts.select(id_col, words.alias("w")).select(id_col, F.explode(F.array_distinct(all_)).alias("__gram"))
     return grams.join(small(spelled), "__gram").drop("__gram")
 

@@ -68,7 +68,7 @@ def plan_initial(specs: DataFrame, limit: int) -> DataFrame:
     """
     city = F.lower("location") == F.lower("city")
     order = specs.groupBy("family").agg(F.min("seq").alias("family_seq"))
-    known = specs.join(F.broadcast(order), "family")
+    known = specs.join(order, "family")
     n_local = specs.where(~city).limit(limit // 3).count()
     chosen = round_robin(known.where(city), "family", "seq", F.col("family_seq"), limit - n_local).withColumn("part", F.lit(0))
     chosen = chosen.unionByName(round_robin(known.where(~city), "family", "seq", F.col("family_seq"), n_local).withColumn("part", F.lit(1)))
