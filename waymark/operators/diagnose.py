@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: language that tells of several brands, of an own label, of fashion ---
+# --- fixed values: phrases and limits of the diagnosis ------------------------
 CURATED = r"(?i)\b(?:concept\s+store|curated|multi[\s\-]?brand|multi[\s\-]?designer|independent\s+(?:designers?|brands?|labels?))\b"
 OWN_LABEL = r"(?i)\b(?:own[\s\-]?label|own[\s\-]?brand|our own collection|designer studio|we design)\b"
 FASHION = r"(?i)\b(?:boutique|fashion|clothing|womenswear|women'?s\s+wear|apparel)\b"

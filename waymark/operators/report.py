@@ -11,6 +11,7 @@ from ..functions import rules, urls
 from ..functions.text import present, roundup_title
 
 # --- fixed values: hints of doubtful rows -------------------------------------
+# --- fixed values: paths, publishers, places and ranks of the reports ---------
 PRODUCT_PATH = r"(?i)/(?:products?|collections?|item|sku)(?:/|$)"
 PUBLISHER = r"(?i)\b(?:times of india|hindustan times|indian express|vogue|elle|lifestyleasia|time\s*out|tripadvisor|yelp|justdial|sulekha|wikipedia|medium\.com)\b"
 MUMBAI_FAMILY = ("mumbai", "navi mumbai", "thane", "bandra", "khar", "colaba")
