@@ -67,7 +67,10 @@ FAMILIES = {
 }
 PRODUCTION_FAMILIES = ("retail_identity", "positioning", "discovery_language")
 SAMPLED_FAMILIES = ("physical_retail", "editorial")
+FAMILY_ALIASES = {"physical_store": "physical_retail", "contextual": "discovery_language"}
 MAX_QUERIES, SAMPLED_LOCALITIES = 80, 6
+#: Cities of a small batch over several cities, in order.
+SAMPLE_CITIES = ("Goa", "Mumbai", "Delhi", "Bengaluru", "Jaipur")
 
 
 def places(spark: SparkSession) -> DataFrame:
@@ -77,7 +80,8 @@ def places(spark: SparkSession) -> DataFrame:
 
 
 def templates(spark: SparkSession, families: tuple[str, ...] = PRODUCTION_FAMILIES) -> DataFrame:
-    """One row for each template: family, its rank, the template and its place in the family."""
+    """One row for each template: family (by its name or an older one), its rank, the template and its place in the family."""
+    families = tuple(FAMILY_ALIASES.get(f, f) for f in families)
     unknown = [f for f in families if f not in FAMILIES]
     if unknown:
         raise KeyError(f"unknown families: {unknown}")

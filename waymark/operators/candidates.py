@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ def group_key() -> Column:
     return F.when(F.col("result_type") == "WEBSITE", F.concat(F.lit("WEBSITE|"), "domain")).otherwise(F.concat_ws("|", "result_type", "normalized_url"))
 
 
-def dedupe(candidates: DataFrame) -> DataFrame:
-    """One row for each site, or for each URL of other types, with queries of all rows in order.
+def dedupe(candidates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row for each site, or for each URL of other types, with queries of all rows in order; with by, for each value of these columns apart.
 
     Of a site's URLs the most useful stays, then the shortest, then the first;
     other types keep the first. Rows are aggregated by group and query, then by
@@ -32,14 +34,15 @@ def dedupe(candidates: DataFrame) -> DataFrame:
     keyed = candidates.withColumn("group_key", group_key())
     score = F.when(site, urls.usefulness(F.col("url"))).otherwise(0)
     rank = F.struct((-score).alias("a"), F.when(site, F.length("url")).otherwise(0).alias("b"), F.col("seq").alias("c"))
-    keep = [c for c in candidates.columns if c not in ("discovered_by_queries", "result_type")]
-    asked = keyed.select("group_key", "result_type", "seq", rank.alias("rank"), F.struct(*keep).alias("row"), F.posexplode_outer("discovered_by_queries").alias("pos", "q"))
-    by_query = asked.groupBy("group_key", "result_type", "q").agg(
+    keep = [c for c in candidates.columns if c not in ("discovered_by_queries", "result_type", *by)]
+    group = ("group_key", "result_type", *by)
+    asked = keyed.select(*group, "seq", rank.alias("rank"), F.struct(*keep).alias("row"), F.posexplode_outer("discovered_by_queries").alias("pos", "q"))
+    by_query = asked.groupBy(*group, "q").agg(
         F.min(F.struct("seq", "pos")).alias("at"), F.min_by("row", "rank").alias("row"), F.min("rank").alias("rank"), F.min("seq").alias("first_seq"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("n_hits")
     )
     queries = F.transform(F.array_sort(F.collect_list(F.when(F.col("q").isNotNull(), F.struct("at", "q")))), lambda x: x["q"])
-    best = by_query.groupBy("group_key", "result_type").agg(F.min_by("row", "rank").alias("best"), F.min("first_seq").alias("first_seq"), F.sum("n_hits").alias("n_hits"), queries.alias("discovered_by_queries"))
-    return best.select("group_key", "result_type", "best.*", "first_seq", "n_hits", "discovered_by_queries")
+    best = by_query.groupBy(*group).agg(F.min_by("row", "rank").alias("best"), F.min("first_seq").alias("first_seq"), F.sum("n_hits").alias("n_hits"), queries.alias("discovered_by_queries"))
+    return best.select(*group, "best.*", "first_seq", "n_hits", "discovered_by_queries")
 
 
 def merge(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import places as known
 from ..functions.places import MAX_QUERIES
 
 
@@ -34,3 +37,31 @@ def generate(places: DataFrame, templates: DataFrame, max_queries: int = MAX_QUE
     asked = asked.withColumn("rn", F.row_number().over(once)).where("rn = 1").drop("rn", "template")
     place_order = Window.partitionBy("city").orderBy("kind", "o")
     return asked.withColumn("position", F.row_number().over(place_order)).where(F.col("position") <= max_queries).drop("o")
+
+
+def sampled(places: DataFrame, localities: int = known.SAMPLED_LOCALITIES, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """Queries about physical stores and in guides' words, kept apart from the production batch, with a few localities of each place.
+
+    What they find is a lead at best and proves no store.
+    """
+    return generate(places, known.templates(places.sparkSession, known.SAMPLED_FAMILIES), max_queries, localities)
+
+
+def multi_city(places: DataFrame, cities: Sequence[str] = known.SAMPLE_CITIES, per_family: int = 1) -> DataFrame:
+    """A small batch over cities: the first templates of every family for each city in turn, no localities, numbered over the batch in ``batch_position``."""
+    names = {r[0].lower(): r[0] for r in places.select("city").collect()}  # the catalogue, a few rows
+    unknown = [c for c in cities if c.lower() not in names]
+    if unknown:
+        raise KeyError(f"unknown cities: {unknown}")
+    turn = places.sparkSession.createDataFrame([(names[c.lower()], i) for i, c in enumerate(dict.fromkeys(cities))], "city string, turn int")
+    few = known.templates(places.sparkSession, tuple(known.FAMILIES)).where(F.col("template_ord") < per_family)
+    asked = generate(places.join(turn.select("city"), "city", "left_semi"), few, localities=0).join(turn, "city")
+    return asked.withColumn("batch_position", F.row_number().over(Window.orderBy("turn", "position"))).drop("turn")  # a row for each city and template
+
+
+def specs(asked: DataFrame, places: DataFrame, limit: int = 5) -> DataFrame:
+    """Generated queries as a batch takes them: (query, limit, family, location, city, state, country).
+
+    A query's place stays its city, state and country, whatever locality it names.
+    """
+    return asked.join(places.select("city", "state", "country"), "city").select("query", F.lit(limit).alias("limit"), "family", "location", "city", "state", "country", "position")

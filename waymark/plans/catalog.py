@@ -391,6 +391,45 @@ def query_generation(spark, sf):
     return queries.generate(places.places(spark), places.templates(spark)).select("city", "position", "family", "query")
 
 
+def sql_templates(families, per_family: int | None = None) -> str:
+    return ", ".join(f"({q(f)}, {i}, {q(t)}, {j})" for i, f in enumerate(families) for j, t in enumerate(places.FAMILIES[f][:per_family]))
+
+
+SQL_NATION_PLACES = """c AS (SELECT nation_id, lower(trim(city)) AS loc, min(client_id) AS first FROM clients WHERE trim(city) <> '' GROUP BY ALL),
+l AS (SELECT nation_id, loc, row_number() OVER (PARTITION BY nation_id ORDER BY first, loc) - 1 AS i FROM c), p AS (SELECT n_nationkey, n_name AS city FROM nation)"""
+
+
+def nation_places(spark, sf) -> DataFrame:
+    """Nations as places, with the first ten cities of their clients as localities."""
+    c = read(spark, sf, "clients").select("nation_id", F.lower(F.btrim("city")).alias("loc"), "client_id").where("loc <> ''")
+    first = ordered.top_k(c.groupBy("nation_id", "loc").agg(F.min("client_id").alias("first")), ["nation_id"], ["first", "loc"], 10)
+    near = first.groupBy("nation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "loc"))), lambda x: x["loc"]).alias("localities"))
+    n = read(spark, sf, "nation").join(near, F.col("n_nationkey") == F.col("nation_id"), "left")
+    none = F.array().cast("array<string>")
+    return n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("city"), F.col("n_name").alias("state"), F.lit("World").alias("country"), none.alias("aliases"), F.coalesce("localities", none).alias("localities"))
+
+
+@query("query_sampling", f"""
+WITH t(family, fo, template, o) AS (VALUES {sql_templates(places.SAMPLED_FAMILIES)}), {SQL_NATION_PLACES}, n AS (SELECT fo, count(*) AS c FROM t GROUP BY fo),
+a AS (SELECT city, 0 AS kind, fo * 1000 + o AS ord, family, city AS location, template || ' ' || city AS query FROM p, t
+  UNION ALL SELECT city, 1, i, t.family, upper(loc[1]) || loc[2:], t.template || ' ' || upper(loc[1]) || loc[2:] FROM l JOIN p ON p.n_nationkey = l.nation_id JOIN n ON n.fo = i % 2 JOIN t ON t.fo = n.fo AND t.o = (i // 2) % n.c WHERE i < {places.SAMPLED_LOCALITIES})
+SELECT query, 3 AS "limit", family, location, city, city AS state, 'World' AS country, CAST(row_number() OVER (PARTITION BY city ORDER BY kind, ord) AS INTEGER) AS position FROM a QUALIFY position <= {places.MAX_QUERIES}""")
+def query_sampling(spark, sf):
+    """The sampled mode over nations, as a batch takes it."""
+    known = nation_places(spark, sf)
+    return queries.specs(queries.sampled(known), known, 3)
+
+
+@query("query_multi_city", f"""
+WITH t(family, fo, template, o) AS (VALUES {sql_templates(places.FAMILIES, 2)}), b AS (SELECT n_nationkey, n_name AS city, count(client_id) AS n FROM nation LEFT JOIN clients ON nation_id = n_nationkey GROUP BY ALL ORDER BY n DESC, n_nationkey LIMIT 5)
+SELECT city, family, template || ' ' || city AS query, CAST(row_number() OVER (ORDER BY n DESC, n_nationkey, fo, o) AS INTEGER) AS batch_position FROM b, t""")
+def query_multi_city(spark, sf):
+    """Two templates of every family for the five nations with most clients, in turn."""
+    n = read(spark, sf, "nation").join(read(spark, sf, "clients").groupBy("nation_id").agg(F.count("client_id").alias("n")), F.col("n_nationkey") == F.col("nation_id"), "left")
+    most = [r.n_name for r in n.orderBy(F.coalesce("n", F.lit(0)).desc(), "n_nationkey").limit(5).collect()]  # five names
+    return queries.multi_city(nation_places(spark, sf), most, 2).select("city", "family", "query", "batch_position")
+
+
 @query("shared_states", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1")
 def shared_states(spark, sf):
     return read(spark, sf, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

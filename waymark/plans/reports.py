@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phrases, rules, urls
-from ..operators import candidates, crawl, diagnose, enrich, evaluate, export, model_step, paging, report, research, resolve, signals, sitemaps
+from ..operators import benchmark, candidates, crawl, diagnose, enrich, evaluate, export, model_step, paging, report, research, resolve, signals, sitemaps
 from .catalog import SQL_DEDUPE, SQL_EXPORT, SQL_RECORDS, SQL_URL, domain_pattern, export_rows, hits, in_list, page_records, q, query, read
 
 
@@ -77,9 +77,12 @@ def site_web(spark, sf) -> tuple[DataFrame, DataFrame]:
     return found, stored.unionByName(maps)
 
 
-@query("site_enrichment", rf"""WITH {SQL_URL}, h AS (SELECT domain, page_id, html, row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1 AS k, min(page_id) OVER (PARTITION BY domain) AS seq, count(*) OVER (PARTITION BY domain) AS n FROM m WHERE domain <> ''),
+SQL_SITES = rf"""WITH {SQL_URL}, h AS (SELECT domain, page_id, html, row_number() OVER (PARTITION BY domain ORDER BY page_id) - 1 AS k, min(page_id) OVER (PARTITION BY domain) AS seq, count(*) OVER (PARTITION BY domain) AS n FROM m WHERE domain <> ''),
 w AS (SELECT s.domain, s.seq, s.n, r.path, r.role, r.k, r.score FROM h AS s, (VALUES ('/contact', 'contact', 1, 100), ('/about-us', 'about', 2, 70), ('/stores', 'location', 3, 94)) AS r(path, role, k, score) WHERE s.k = 0),
-z AS (SELECT *, CASE WHEN seq % 2 = 0 OR k = 2 THEN 'homepage_link' WHEN k < n THEN 'sitemap' END AS source FROM w)
+z AS (SELECT *, CASE WHEN seq % 2 = 0 OR k = 2 THEN 'homepage_link' WHEN k < n THEN 'sitemap' END AS source FROM w)"""
+
+
+@query("site_enrichment", rf"""{SQL_SITES}
 SELECT seq, 0 AS place, 'https://' || domain || '/' AS url, 'homepage' AS role, 'candidate' AS source, NULL AS error FROM h WHERE k = 0
 UNION ALL SELECT z.seq, CAST(row_number() OVER (PARTITION BY z.seq ORDER BY z.score DESC) AS INTEGER), 'https://' || z.domain || z.path, z.role, z.source,
   CASE WHEN z.k >= z.n THEN 'not found' WHEN z.k = 3 AND p.page_id % 7 = 0 THEN 'other site' END
@@ -90,6 +93,71 @@ def site_enrichment(spark, sf):
     return crawl.enrich(found, crawl.from_table(stored))["pages"].select("seq", "place", "url", "role", "source", "error")
 
 
+# --- homepage alone or with the pages behind it -------------------------------
+
+#: What the pages of SITE_PATHS say beside their text; a homepage says nothing of it.
+CONTACTS = {
+    "/contact": lambda d: F.concat(F.lit("<p>Write to shop@"), d, F.lit("</p>")), "/about-us": lambda d: F.concat(F.lit('<p><a href="https://instagram.com/'), F.regexp_replace(d, "[^a-z0-9]", "_"), F.lit('">Follow</a></p>')),
+    "/stores": lambda d: F.lit("<p>Visit our store. 12 Hill Road, Mumbai 400050. Call +91 98765 43210.</p>"),
+}
+SQL_HAD = f"""{SQL_SITES}, a AS (SELECT z.seq, z.k, z.k < z.n AS there, z.k < z.n AND NOT (z.k = 3 AND p.page_id % 7 = 0) AS had FROM z LEFT JOIN h AS p ON p.domain = z.domain AND p.k = z.k WHERE z.source IS NOT NULL)"""
+
+
+def both_branches(spark, sf) -> dict[str, DataFrame]:
+    """The sites of site_web, whose pages carry CONTACTS, by their homepages and enriched."""
+    found, stored = site_web(spark, sf)
+    host, path = F.regexp_extract("url", "^https://([^/]+)", 1), F.regexp_extract("url", "^https://[^/]+(/.*)$", 1)
+    says = F.coalesce(*[F.when(path == k, made(host)) for k, made in CONTACTS.items()], F.lit(""))
+    stored = stored.withColumn("html", F.concat("html", says))
+    return benchmark.homepage_or_enriched(found, stored.select("url", "html"), crawl.from_table(stored))
+
+
+@query("enrichment_benchmark", f"""{SQL_HAD}, v AS (SELECT count(*) AS sites, count_if(seq % 2 = 1) AS odd, count_if(seq % 2 = 1 AND n = 1) AS bare FROM h WHERE k = 0),
+b7 AS (SELECT count(*) AS asked, count_if(NOT there) AS missing, count_if(had AND k = 1) AS contact, count_if(had AND k = 2) AS about, count_if(had AND k = 3) AS stores FROM a),
+o AS (SELECT unnest([{{'metric': 'candidates', 'homepage': sites, 'enriched': sites}}, {{'metric': 'raw_business_candidates', 'homepage': sites, 'enriched': sites}}, {{'metric': 'deduplicated_candidates', 'homepage': sites, 'enriched': sites}},
+  {{'metric': 'high_confidence', 'homepage': 0, 'enriched': 0}}, {{'metric': 'high_women_fashion', 'homepage': 0, 'enriched': 0}}, {{'metric': 'physical_store_yes', 'homepage': 0, 'enriched': stores}}, {{'metric': 'city_populated', 'homepage': 0, 'enriched': stores}},
+  {{'metric': 'address_populated', 'homepage': 0, 'enriched': stores}}, {{'metric': 'phone_populated', 'homepage': 0, 'enriched': stores}}, {{'metric': 'email_populated', 'homepage': 0, 'enriched': contact}}, {{'metric': 'instagram_populated', 'homepage': 0, 'enriched': about}},
+  {{'metric': 'total_fetches', 'homepage': sites, 'enriched': sites + asked + 2 * odd + bare}}, {{'metric': 'failed_fetches', 'homepage': 0, 'enriched': missing + odd + bare}}]) AS x FROM b7, v)
+SELECT x.metric AS metric, CAST(x.homepage AS BIGINT) AS homepage, CAST(x.enriched AS BIGINT) AS enriched, CAST(x.enriched - x.homepage AS BIGINT) AS change FROM o""")
+def enrichment_benchmark(spark, sf):
+    """Both branches' metrics: an odd site's robots file fails, then its sitemap is asked, and a second one where that lists nothing."""
+    return both_branches(spark, sf)["metrics"]
+
+
+@query("owner_changes", f"""{SQL_HAD}, f AS (SELECT * FROM (VALUES ('email', 1), ('instagram', 2), ('phone', 3), ('address', 3), ('city', 3), ('physical_store', 3)) AS t(field, k))
+SELECT h.seq, f.field, CASE WHEN a.had THEN 'gained' ELSE 'absent' END AS change, false AS worse FROM h CROSS JOIN f LEFT JOIN a ON a.seq = h.seq AND a.k = f.k WHERE h.k = 0""")
+def owner_changes(spark, sf):
+    """What the pages behind its homepage add to each site's owner."""
+    fields = ("email", "instagram", "phone", "address", "city", "physical_store")
+    return both_branches(spark, sf)["compared"].where(F.col("field").isin(*fields)).select("seq", "field", "change", "worse")
+
+
+# --- many queries, one city ---------------------------------------------------
+
+SQL_CITY = rf"""{SQL_DEDUPE}, e AS (SELECT *, 'q' || page_id % 7 AS asked, row_number() OVER (PARTITION BY page_id % 7, group_key ORDER BY sc DESC, ln, page_id) AS rn7, min(page_id) OVER (PARTITION BY page_id % 7, group_key) AS fs FROM k),
+b AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY fs) AS n, contains(lower(url), 'blog.') AS lk FROM e WHERE rn7 = 1),
+t AS (SELECT * FROM b WHERE CASE WHEN asked = 'q6' THEN lk ELSE n <= 20 + CAST(right(asked, 1) AS INTEGER) END)"""
+
+
+def city_queries(spark, sf) -> dict[str, DataFrame]:
+    """Six plain queries with limits over pages, and a seventh that looks for blogs only."""
+    i = F.col("id")
+    specs = spark.range(7).select(F.concat(F.lit("q"), i.cast("string")).alias("query"), (i + 20).cast("int").alias("limit"), (i == 6).alias("reference"))
+    return benchmark.discover(specs, hits(spark, sf), ("blog.",))
+
+
+@query("city_discovery", f"""{SQL_CITY}, r AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY sc DESC, ln, fs) AS best FROM t)
+SELECT group_key, max(CASE WHEN best = 1 THEN url END) AS url, min(fs) AS first_seq, count(*) AS n_batches, string_agg(asked, ',' ORDER BY fs) AS discovered_by FROM r GROUP BY group_key""")
+def city_discovery(spark, sf):
+    return city_queries(spark, sf)["candidates"].select("group_key", "url", "first_seq", F.col("n_hits").alias("n_batches"), F.array_join("discovered_by_queries", ",").alias("discovered_by"))
+
+
+@query("city_query_counts", f"""{SQL_CITY}, w7 AS (SELECT 'q' || page_id % 7 AS query, count(*) AS raw FROM pages GROUP BY ALL), s AS (SELECT 'q' || i AS query FROM range(7) AS g(i))
+SELECT s.query, s.query = 'q6' AS reference, coalesce(any_value(w7.raw), 0) AS raw, count(t.page_id) AS candidates, count_if(coalesce(t.lk, false)) AS reference_hits FROM s LEFT JOIN w7 USING (query) LEFT JOIN t ON t.asked = s.query GROUP BY s.query""")
+def city_query_counts(spark, sf):
+    return city_queries(spark, sf)["per_query"]
+
+
 # --- the model's step ---------------------------------------------------------
 
 _SAYS = {
