@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases, rules, urls
 from ..operators import benchmark, candidates, crawl, diagnose, enrich, evaluate, export, model_step, paging, report, research, resolve, signals, sitemaps
-from .catalog import SQL_DEDUPE, SQL_EXPORT, SQL_RECORDS, SQL_URL, domain_pattern, export_rows, hits, in_list, page_records, q, query, read
+from .catalog import _SHOWN, SQL_DEDUPE, SQL_EXPORT, SQL_RECORDS, SQL_URL, domain_pattern, export_rows, hits, in_list, page_records, q, query, read, sql_strip
 
 
 def likes(column: str, parts) -> str:
@@ -100,7 +100,12 @@ CONTACTS = {
     "/contact": lambda d: F.concat(F.lit("<p>Write to shop@"), d, F.lit("</p>")), "/about-us": lambda d: F.concat(F.lit('<p><a href="https://instagram.com/'), F.regexp_replace(d, "[^a-z0-9]", "_"), F.lit('">Follow</a></p>')),
     "/stores": lambda d: F.lit("<p>Visit our store. 12 Hill Road, Mumbai 400050. Call +91 98765 43210.</p>"),
 }
-SQL_HAD = f"""{SQL_SITES}, a AS (SELECT z.seq, z.k, z.k < z.n AS there, z.k < z.n AND NOT (z.k = 3 AND p.page_id % 7 = 0) AS had FROM z LEFT JOIN h AS p ON p.domain = z.domain AND p.k = z.k WHERE z.source IS NOT NULL)"""
+#: Pages asked of each site with whether they were had, and each site's phones: texts hold numbers that read as some, contact pages count first.
+SQL_HAD = rf"""{SQL_SITES}, a AS (SELECT z.seq, z.k, z.k < z.n AS there, z.k < z.n AND NOT (z.k = 3 AND p.page_id % 7 = 0) AS had, p.page_id FROM z LEFT JOIN h AS p ON p.domain = z.domain AND p.k = z.k WHERE z.source IS NOT NULL),
+x1 AS (SELECT page_id, seq, k, list_transform(regexp_extract_all({sql_strip(_SHOWN)}, {q(rules.PHONE)}), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS raw FROM h WHERE k <= 3),
+x2 AS (SELECT page_id, seq, k, list_filter(raw, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15 AND NOT (len(regexp_extract_all(x, '[0-9]+')) >= 5 AND len(list_filter(regexp_extract_all(x, '[0-9]+'), lambda g: length(g) > 2)) = 0))[1] AS phone FROM x1),
+x3 AS (SELECT x2.seq, x2.k, CASE WHEN x2.k = 3 THEN coalesce(phone, '+91 98765 43210') ELSE phone END AS phone FROM x2 LEFT JOIN a USING (page_id) WHERE x2.k = 0 OR a.had),
+ph AS (SELECT seq, max(CASE WHEN k = 0 THEN phone END) AS was, arg_min(phone, CASE k WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 5 END) AS becomes FROM x3 WHERE phone IS NOT NULL GROUP BY seq)"""
 
 
 def both_branches(spark, sf) -> dict[str, DataFrame]:
@@ -116,7 +121,7 @@ def both_branches(spark, sf) -> dict[str, DataFrame]:
 b7 AS (SELECT count(*) AS asked, count_if(NOT there) AS missing, count_if(had AND k = 1) AS contact, count_if(had AND k = 2) AS about, count_if(had AND k = 3) AS stores FROM a),
 o AS (SELECT unnest([{{'metric': 'candidates', 'homepage': sites, 'enriched': sites}}, {{'metric': 'raw_business_candidates', 'homepage': sites, 'enriched': sites}}, {{'metric': 'deduplicated_candidates', 'homepage': sites, 'enriched': sites}},
   {{'metric': 'high_confidence', 'homepage': 0, 'enriched': 0}}, {{'metric': 'high_women_fashion', 'homepage': 0, 'enriched': 0}}, {{'metric': 'physical_store_yes', 'homepage': 0, 'enriched': stores}}, {{'metric': 'city_populated', 'homepage': 0, 'enriched': stores}},
-  {{'metric': 'address_populated', 'homepage': 0, 'enriched': stores}}, {{'metric': 'phone_populated', 'homepage': 0, 'enriched': stores}}, {{'metric': 'email_populated', 'homepage': 0, 'enriched': contact}}, {{'metric': 'instagram_populated', 'homepage': 0, 'enriched': about}},
+  {{'metric': 'address_populated', 'homepage': 0, 'enriched': stores}}, {{'metric': 'phone_populated', 'homepage': (SELECT count(was) FROM ph), 'enriched': (SELECT count(*) FROM ph)}}, {{'metric': 'email_populated', 'homepage': 0, 'enriched': contact}}, {{'metric': 'instagram_populated', 'homepage': 0, 'enriched': about}},
   {{'metric': 'total_fetches', 'homepage': sites, 'enriched': sites + asked + 2 * odd + bare}}, {{'metric': 'failed_fetches', 'homepage': 0, 'enriched': missing + odd + bare}}]) AS x FROM b7, v)
 SELECT x.metric AS metric, CAST(x.homepage AS BIGINT) AS homepage, CAST(x.enriched AS BIGINT) AS enriched, CAST(x.enriched - x.homepage AS BIGINT) AS change FROM o""")
 def enrichment_benchmark(spark, sf):
@@ -125,7 +130,8 @@ def enrichment_benchmark(spark, sf):
 
 
 @query("owner_changes", f"""{SQL_HAD}, f AS (SELECT * FROM (VALUES ('email', 1), ('instagram', 2), ('phone', 3), ('address', 3), ('city', 3), ('physical_store', 3)) AS t(field, k))
-SELECT h.seq, f.field, CASE WHEN a.had THEN 'gained' ELSE 'absent' END AS change, false AS worse FROM h CROSS JOIN f LEFT JOIN a ON a.seq = h.seq AND a.k = f.k WHERE h.k = 0""")
+SELECT h.seq, f.field, CASE WHEN f.field <> 'phone' THEN CASE WHEN a.had THEN 'gained' ELSE 'absent' END WHEN ph.becomes IS NULL THEN 'absent' WHEN ph.was IS NULL THEN 'gained' WHEN ph.was <> ph.becomes THEN 'changed' ELSE 'same' END AS change, false AS worse
+FROM h CROSS JOIN f LEFT JOIN a ON a.seq = h.seq AND a.k = f.k LEFT JOIN ph ON ph.seq = h.seq WHERE h.k = 0""")
 def owner_changes(spark, sf):
     """What the pages behind its homepage add to each site's owner."""
     fields = ("email", "instagram", "phone", "address", "city", "physical_store")
