@@ -197,6 +197,13 @@ def test_page_evidence(spark):
     assert e[0].links[0].url == "https://x.com/about" and {f.field for f in e[0].facts} >= {"name", "addressLocality"} and e[1].text == ""
 
 
+def test_cut_references_stay_as_they_are(spark):
+    page = '<title>Rose &amp; Co &&amp</title><script type="application/ld+json">{"@type":"Store","name":"R & C &amp"}</script><!-- &amp --><h1>&lt;A&gt; &amp</h1><a href="/about?a=1&copy=2&amp;b=3">x</a>'
+    e = pages.page_evidence(spark.createDataFrame([("https://x.com/", page)], "url string, html string")).first()
+    assert (e.title, e.headings, e.text) == ("Rose & Co &&amp", ["<A> &amp"], "<A> &amp x")
+    assert e.links[0].url == "https://x.com/about?a=1&copy=2&b=3" and [f.value for f in e.facts if f.field == "name"] == ["R & C &amp"]
+
+
 def test_fetch_keeps_failures(spark):
     def get(url):
         if "bad" in url:
