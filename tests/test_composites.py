@@ -39,6 +39,14 @@ def test_sitemaps_follow_indexes_in_order_of_priority(spark):
     assert [r.doc_url for r in sitemaps.seeds_of(robots).orderBy("ord").collect()] == ["https://a.com/one.xml", "https://a.com/two.xml"]
 
 
+def test_sitemaps_are_cut_by_normal_forms(spark):
+    site, most = "https://a.com", sitemaps.MAX_LOCATIONS
+    twice = [f"https://a.com/{i}{end}" for i in range(most + 1) for end in ("", "/")]
+    docs = spark.createDataFrame([(site, "https://a.com/s.xml", urlset(*twice))], "site string, doc_url string, xml string")
+    got = sitemaps.locations(docs.select("site", "doc_url", F.lit(0).alias("ord")), docs).collect()
+    assert [r.url for r in sorted(got, key=lambda r: r.position)] == [f"https://a.com/{i}" for i in range(most)]
+
+
 def test_budgeted_providers():
     now = [datetime(2024, 1, 31, 23, tzinfo=timezone.utc)]
     budget = providers.CallBudget(2, 3, clock=lambda: now[0])
