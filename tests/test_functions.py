@@ -62,6 +62,11 @@ def test_clean_name(spark):
         assert one(spark, raw, text.clean_name) == want, raw
 
 
+def test_word_boundaries_are_ascii(spark):
+    names = spark.createDataFrame([("Ver übest mit ladies boutique",), ("Abest mit ladies boutique",), ("Bazar über",)], "v string")
+    assert [r.r for r in names.select(text.clean_name(F.col("v")).alias("r")).collect()] == ["UNKNOWN", "Abest mit", "Bazar über"]
+
+
 def test_page_parts(spark):
     page = '<html><title>A &amp; B</title><h1> One </h1><nav>x</nav><a href="/c">c</a><a href="mailto:q@r.s">m</a><script>no()</script><p>Two&nbsp;three</p></html>'
     assert one(spark, page, html.title) == "A & B"

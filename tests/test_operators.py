@@ -22,6 +22,11 @@ def test_fit_decisions(spark):
     assert got[5].multi_brand == "UNKNOWN" and got[4].multi_brand == "NO" and got[2].physical == "NO"
 
 
+def test_word_boundaries_of_scores_are_ascii(spark):
+    rows = [(i, t, None, None, None, None, None, None, None, None, None, "UNKNOWN") for i, t in enumerate(("60 chbeau enschbe, üst", "60 chbeau enschbe, est", "60 chbeau enschbe, st"))]
+    assert [r.physical_score for r in score.assess_fit(spark.createDataFrame(rows, FIT)).orderBy("id").collect()] == [5, 0, 5]
+
+
 def test_equal_labels_add_points(spark):
     df = spark.createDataFrame([("shop no 5, 12 hill road, 403001",)], "t string")
     assert df.select(score.points(F.col("t"), score.rules.PHYSICAL_SIGNALS)).first()[0] == 15
