@@ -65,6 +65,7 @@ def test_clean_name(spark):
 def test_word_boundaries_are_ascii(spark):
     names = spark.createDataFrame([("Ver übest mit ladies boutique",), ("Abest mit ladies boutique",), ("Bazar über",)], "v string")
     assert [r.r for r in names.select(text.clean_name(F.col("v")).alias("r")).collect()] == ["UNKNOWN", "Abest mit", "Bazar über"]
+    assert one(spark, "Rose élogin", text.clean_name) == "UNKNOWN" and one(spark, "Rose elogin", text.clean_name) == "Rose elogin"
 
 
 def test_page_parts(spark):
