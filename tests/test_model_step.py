@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import model_step
+from waymark.plans import CATALOG
 
 GOOD = {
     "is_business": True, "business_name": "Aria House", "business_type": "MULTI_BRAND", "women_fashion": "HIGH", "physical_store": "UNKNOWN", "city": "UNKNOWN", "carries_other_brands": "UNKNOWN",
@@ -147,3 +148,10 @@ def test_payload_is_compact(spark):
     made = json.loads(df.select(model_step.evidence_payload()).first()[0])
     assert len(made["text_excerpt"]) == 1500 and len(made["headings"]) == 8 and len(made["structured_facts"]) == 20 and len(made["structured_facts"][1]["value"]) == 180
     assert made["rule_result"]["city"] == "UNKNOWN" and made["emails"] == [] and made["search_query"] is None
+
+
+def test_answers_are_parsed_once_and_dealt_out(spark, tmp_path):
+    spark.range(4000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = CATALOG["golden_model_answers"].run(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1 and "RepartitionByExpression" in plan and rows.count() == 4000

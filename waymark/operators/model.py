@@ -66,8 +66,10 @@ def call(rows: DataFrame, client: Callable[[str], str] | None) -> DataFrame:
 
 def schema_errors(raw: Column) -> Column:
     """What is wrong with an answer's fields; an unreadable one has the one error ``json``."""
-    v = F.try_parse_json(raw)
+    return _errors(F.try_parse_json(raw))
 
+
+def _errors(v: Column) -> Column:
     def shape(field: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
 
@@ -90,11 +92,10 @@ def validate(answers: DataFrame) -> DataFrame:
     isn't in the text, a price without a currency amount, a store without an
     address or visit phrase, a stockist without a multi-brand phrase.
     """
-    v = F.try_parse_json("raw")
-    out = answers.withColumn("schema_errors", schema_errors(F.col("raw")))
-    for f in (*TEXT_FIELDS, *ENUMS):
-        out = out.withColumn(f"ai_{f}", F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(UNKNOWN)))
-    text = F.lower(F.coalesce("page_text", F.lit("")))
+    v = F.col("__v")
+    out = answers.withColumns({"__v": F.try_parse_json("raw"), "__text": F.lower(F.coalesce("page_text", F.lit("")))})  # each once a row: columns of their own
+    out = out.withColumns({"schema_errors": _errors(v)} | {f"ai_{f}": F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(UNKNOWN)) for f in (*TEXT_FIELDS, *ENUMS)})
+    text = F.col("__text")
     claims = (
         ("unsupported_name", "ai_business_name", present(F.col("ai_business_name")) & ~F.contains(text, F.lower("ai_business_name"))),
         ("unsupported_city", "ai_city", present(F.col("ai_city")) & ~F.contains(text, F.lower("ai_city"))),
@@ -104,7 +105,7 @@ def validate(answers: DataFrame) -> DataFrame:
         ("unsupported_sustainability", "ai_sustainability_focus", (F.col("ai_sustainability_focus") == "YES") & ~text.rlike(whole_word("sustainable")) & ~text.rlike(r"\b(?:handloom|organic|natural|slow fashion)\b")),
     )
     out = out.withColumn("rejected", F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, _, test in claims]), lambda x: x.isNotNull()))
-    return out.withColumns({column: F.when(F.array_contains("rejected", code), UNKNOWN).otherwise(F.col(column)) for code, column, _ in claims})
+    return out.withColumns({column: F.when(F.array_contains("rejected", code), UNKNOWN).otherwise(F.col(column)) for code, column, _ in claims}).drop("__v", "__text")
 
 
 def fill_unknown(rows: DataFrame, pairs: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:

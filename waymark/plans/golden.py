@@ -27,7 +27,7 @@ def golden(name: str, schema: str, outputs: Sequence[str], cases: Sequence[tuple
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         table = spark.createDataFrame([(i, *given) for i, (given, _) in enumerate(cases)], f"i int, {schema}")
-        rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.pmod("c_custkey", F.lit(len(cases))).cast("int").alias("i"))
+        rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.pmod("c_custkey", F.lit(len(cases))).cast("int").alias("i")).repartition("seq")  # keys are a few bytes each: without this one task gets all of a small file
         return apply(rows.join(F.broadcast(table), "i").drop("i")).select("seq", *outputs)
 
     query(name, sql)(run)
