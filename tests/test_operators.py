@@ -209,6 +209,12 @@ def test_cut_references_stay_as_they_are(spark):
     assert e.links[0].url == "https://x.com/about?a=1&copy=2&b=3" and [f.value for f in e.facts if f.field == "name"] == ["R & C &amp"]
 
 
+def test_pages_are_parsed_in_slices(spark):
+    n = 2 * pages.AT_ONCE + 1
+    some = spark.range(n).coalesce(1).select(F.concat(F.lit("https://x.com/"), "id").alias("url"), F.concat(F.lit("<h1>"), "id", F.lit("</h1>")).alias("html"))
+    assert [(r.url, r.headings) for r in pages.page_evidence(some).collect()] == [(f"https://x.com/{i}", [str(i)]) for i in range(n)]
+
+
 def test_fetch_keeps_failures(spark):
     def get(url):
         if "bad" in url:
