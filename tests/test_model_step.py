@@ -155,3 +155,16 @@ def test_answers_are_parsed_once_and_dealt_out(spark, tmp_path):
     rows = CATALOG["golden_model_answers"].run(spark, str(tmp_path))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1 and "RepartitionByExpression" in plan and rows.count() == 4000
+
+
+def test_checks_of_evidence_and_kinds_are_made_once(spark, tmp_path):
+    answer = {"physical_store": "YES", "sustainability_focus": "HIGH", "price_positioning": "LUXURY", "city": "Goa"}
+    spark.createDataFrame([row(0, answer, "Organic. Rs. 500. Online only in GOA."), row(1, answer | {"city": "Surat"}, "Goas"), row(2, "no json")], SCHEMA).write.parquet(f"{tmp_path}/rows")
+    out = model_step.believe(model_step.with_inputs(spark.read.parquet(f"{tmp_path}/rows")))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert [plan.count(p) for p in (model_step.P.ONLINE_ONLY, model_step.SUSTAINABLE, model_step.PRICED)] == [1, 1, 1]
+    assert len(model_step.FIELDS) <= plan.count("schemaOfVariant(") <= len(model_step.FIELDS) + 2
+    got = {r.seq: (r.rejected, r.ai_city) for r in out.collect()}
+    assert got == {0: (["online_only_language"], "Goa"), 1: (["physical_yes_without_storefront", "city_not_in_evidence", "sustainability_without_evidence", "price_without_evidence"], "UNKNOWN"), 2: (None, None)}
