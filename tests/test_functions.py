@@ -53,6 +53,18 @@ def test_signals(spark):
     assert one(spark, "In Goa and mumbai, not goan", lambda c: text.mentions(c, ("Mumbai", "Goa", "Delhi"))) == ["Mumbai", "Goa"]
 
 
+def test_long_texts_are_not_put_into_upper_case_and_terms_are_met_by_parts_first(spark):
+    values = [None, "", "  ", "unknown", " Unknown ", "UNKNOWN!", "UNKNOWN" * 9, "x" * 9, "ŉknown", "ß"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r.r for r in df.select(text.present(F.col("v")).alias("r")).collect()] == [False] * 5 + [True] * 5
+    plan = df.select(text.present(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "upper(substring(" in plan and "upper(trim(" not in plan
+    assert one(spark, "ΟΔΟΣ, São, NAVI MUMBAI, goaé, İgoa", lambda c: text.mentions(c, ("Mumbai", "Goa", "ΟΔΟΣ", "São"))) == ["Mumbai", "ΟΔΟΣ", "São"]
+    assert one(spark, None, lambda c: text.mentions(c, ("Goa",))) == []
+    found = df.select(text.mentions(F.col("v"), ("Goa",)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" in found.lower()
+
+
 def test_clean_name(spark):
     cases = {
         "Rose Studio | Women's Fashion": "Rose Studio", "Home": "UNKNOWN", "10 best boutiques in Goa": "UNKNOWN", "  Ahi   (@ahi) ": "Ahi", "Mira ladies boutique": "Mira",
