@@ -1,5 +1,6 @@
 import os
 
+import duckdb
 import pytest
 from oracle import same_rows
 
@@ -19,6 +20,16 @@ def test_query(spark, name):
         assert df.count() >= 0
 
 
+def test_names_with_cut_references_are_those_of_the_sql(spark, tmp_path):
+    titles = ("Rose &amp; Co", "Rose &amp Co", "Rose &copy Co", "Rose && Co")
+    pages = [(i, f"https://s{i}.example.org/", f"<html><title>{t}</title><h1>{t}</h1></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.seq: r.business_name for r in CATALOG["identified_businesses"].run(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[0]: r[1] for r in c.execute(f"SELECT seq, business_name FROM ({CATALOG['identified_businesses'].sql})").fetchall()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
