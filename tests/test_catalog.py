@@ -30,6 +30,19 @@ def test_names_with_cut_references_are_those_of_the_sql(spark, tmp_path):
     assert got == {r[0]: r[1] for r in c.execute(f"SELECT seq, business_name FROM ({CATALOG['identified_businesses'].sql})").fetchall()}
 
 
+def test_names_with_tags_and_more_titles_are_those_of_the_sql(spark, tmp_path):
+    parts = (
+        "<title>Home</title><h1>Rose<br>Lily</h1>", "<title>Home</title><h1>Ro<span>se</span> &amp; Co</h1>", "<title>Home</title><h1>Rose<!-- x -->Lily</h1>", "<title>Ro<b>se</b></title>", "<title>Rose</title><title>Lily</title>",
+        "<title>Rose</title><svg><title>icon</title></svg>", "<title></title><title>Rose</title><h1>Lily</h1>", "<title>Rose<h1>Lily</h1>", "<title>Home</title><h1>Rose<h2>Lily</h2>",
+    )
+    pages = [(i, f"https://s{i}.example.org/", f"<html>{p}</html>") for i, p in enumerate(parts)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.seq: r.business_name for r in CATALOG["identified_businesses"].run(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[0]: r[1] for r in c.execute(f"SELECT seq, business_name FROM ({CATALOG['identified_businesses'].sql})").fetchall()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -209,6 +209,13 @@ def test_cut_references_stay_as_they_are(spark):
     assert e.links[0].url == "https://x.com/about?a=1&copy=2&b=3" and [f.value for f in e.facts if f.field == "name"] == ["R & C &amp"]
 
 
+def test_words_of_names_are_parted_by_tags_and_the_first_title_counts():
+    e = pages.evidence_of("https://x.com/", '<svg><title>i</title></svg><title>Rose</title><svg><title>icon</title></svg><title>Old</title><h1>Li<b>ly</b><br>Co 2<3</h1><a href="/a">Re<i>ad</i></a>')
+    assert (e["title"], e["headings"], [l["anchor_text"] for l in e["links"]], e["text"].split()[0]) == ("Rose", ["Li ly Co 2<3"], ["Re ad"], "Li")
+    open_ = pages.evidence_of("https://x.com/", "<title>Rose<h1>Lily<h2>Daisy</h2>text")
+    assert (open_["title"], open_["headings"], open_["text"]) == (None, ["Lily Daisy"], "Rose Lily Daisy text")
+
+
 def test_pages_are_parsed_in_slices(spark):
     n = 2 * pages.AT_ONCE + 1
     some = spark.range(n).coalesce(1).select(F.concat(F.lit("https://x.com/"), "id").alias("url"), F.concat(F.lit("<h1>"), "id", F.lit("</h1>")).alias("html"))
